@@ -78,7 +78,7 @@ class BrightMask:
         if item["vec_id"] % 50 == 9:
             raise ValueError("bad frame")
         mask = (image[:, :, 0] > 200).astype(np.uint8)
-        return ev.MaskOutput(mask, float(mask.mean()))
+        return ev.MaskOutput(mask, float(mask.sum()) / 100)
 
 
 class MidFill:
@@ -169,7 +169,7 @@ SELECT vec_id, round(avg(CASE WHEN p < 110 THEN 1.0 ELSE 0.0 END), 6) AS dark_fr
        round(avg(CASE WHEN p > 150 THEN 1.0 ELSE 0.0 END), 6) AS bright_fraction FROM g GROUP BY vec_id""",
     "evaluate": f"""{_EVALUATED}
 SELECT item_id, status,
-       CASE WHEN status IN ('no_mask', 'restore_provider_error', 'restored') THEN round(nz / 64, 4) END AS confidence,
+       CASE WHEN status IN ('no_mask', 'restore_provider_error', 'restored') THEN nz / 100 END AS confidence,
        CASE WHEN status = 'skipped_cover' THEN NULL WHEN status LIKE 'mask_provider%' THEN 0.0 ELSE CAST(nz AS DOUBLE) END AS mask_nonzero,
        CASE WHEN status = 'skipped_cover' THEN NULL WHEN status LIKE 'mask_provider%' THEN 0.0 ELSE round(nz / 64, 6) END AS mask_ratio,
        CASE WHEN status = 'skipped_cover' THEN NULL WHEN status = 'restored' THEN CAST(nz AS DOUBLE) ELSE 0.0 END AS changed_nonzero,

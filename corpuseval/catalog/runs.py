@@ -359,10 +359,10 @@ FROM joined WHERE profile IS NULL OR name IS NOT NULL""",
     "keyword_tokens": f"""WITH w AS (
   SELECT CASE role WHEN 'user' THEN 0 ELSE 1 END AS rank, conv_id, turn, string_split(text, '.') AS parts
   FROM conversations WHERE role IN ('user', 'assistant')),
-u AS (SELECT 1 AS source, rank, conv_id, turn, unnest(range(len(parts))) AS at, unnest(parts) AS raw FROM w
+u AS (SELECT 1 AS source, rank, conv_id, turn, unnest(range(len(parts))) AS place, unnest(parts) AS raw FROM w
       UNION ALL SELECT 0, unnest(range(8)), 0, 0, 0, unnest(['copyright', 'allrights', 'reserved', 'watermark', '.com', '.net', '.org', '.cn'])
       UNION ALL SELECT 2, 0, 0, 0, 0, 'Acme Studio'),
 t AS (SELECT *, regexp_replace(lower(raw), {_SPACES}, '', 'g') AS token FROM u)
 SELECT token, source, conv_id, turn FROM t WHERE token <> ''
-QUALIFY row_number() OVER (PARTITION BY token ORDER BY source, rank, conv_id, turn, at) = 1""",
+QUALIFY row_number() OVER (PARTITION BY token ORDER BY source, rank, conv_id, turn, place) = 1""",
 }

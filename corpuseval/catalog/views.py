@@ -51,9 +51,9 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(done, (F.col("l_orderkey") % 97).cast("double")).otherwise(0.0).alias("changed_nonzero"),
         F.when(done, F.round(discount * 100, 6)).otherwise(0.0).alias("mean_abs_diff"),
         F.when(done, F.round(tax * 100, 6)).otherwise(0.0).alias("edge_delta"),
-        F.when(has_mask, F.round(price / q, 3)).alias("mask_latency_ms"),
-        F.when(done, F.round(price / 100, 6)).alias("restore_latency_ms"),
-        F.when(scored, F.round(price / 1000, 6)).alias("ocr_residual_latency_ms"),
+        F.when(has_mask, F.round(price * q / 10, 6)).alias("mask_latency_ms"),
+        F.when(done, F.round(price * 2, 6)).alias("restore_latency_ms"),
+        F.when(scored, price).alias("ocr_residual_latency_ms"),
         F.when(scored, F.col("l_linenumber").cast("double")).alias("ocr_residual_hits"),
         F.when(scored, F.round(discount * F.col("l_linenumber"), 6)).alias("ocr_residual_score"),
         F.when(scored, discount).alias("ocr_residual_max_score"),
@@ -77,9 +77,9 @@ eval_results AS (
          CASE WHEN l_quantity > 10 THEN CAST(l_orderkey % 97 AS DOUBLE) ELSE 0.0 END AS changed_nonzero,
          CASE WHEN l_quantity > 10 THEN round(abs(l_discount) * 100, 6) ELSE 0.0 END AS mean_abs_diff,
          CASE WHEN l_quantity > 10 THEN round(abs(l_tax) * 100, 6) ELSE 0.0 END AS edge_delta,
-         CASE WHEN l_quantity <= 4 OR l_quantity > 7 THEN round(l_extendedprice / l_quantity, 3) END AS mask_latency_ms,
-         CASE WHEN l_quantity > 10 THEN round(l_extendedprice / 100, 6) END AS restore_latency_ms,
-         CASE WHEN l_quantity > 20 THEN round(l_extendedprice / 1000, 6) END AS ocr_residual_latency_ms,
+         CASE WHEN l_quantity <= 4 OR l_quantity > 7 THEN round(l_extendedprice * l_quantity / 10, 6) END AS mask_latency_ms,
+         CASE WHEN l_quantity > 10 THEN round(l_extendedprice * 2, 6) END AS restore_latency_ms,
+         CASE WHEN l_quantity > 20 THEN l_extendedprice END AS ocr_residual_latency_ms,
          CASE WHEN l_quantity > 20 THEN CAST(l_linenumber AS DOUBLE) END AS ocr_residual_hits,
          CASE WHEN l_quantity > 20 THEN round(abs(l_discount) * l_linenumber, 6) END AS ocr_residual_score,
          CASE WHEN l_quantity > 20 THEN abs(l_discount) END AS ocr_residual_max_score,
@@ -195,11 +195,11 @@ raw_lines AS (
          CASE user_id % 3 WHEN 0 THEN 'landscape_regular' WHEN 1 THEN 'portrait_regular' ELSE 'cover_heavy' END AS category,
          CASE k % 4 WHEN 0 THEN 'Visit Example .COM' WHEN 1 THEN event_type WHEN 2 THEN 'Copy Right ' || event_type
               ELSE event_type || '.net' END AS text,
-         k / 100.0 AS score, event_id * 37 % 900 AS bx, event_id * 53 % 290 + 500 AS by,
-         event_id * 37 % 900 + 20 + k AS bx2, event_id * 53 % 290 + 500 + 10 + k % 20 AS by2
+         k / 100.0 AS score, event_id * 37 % 900 AS bx, event_id * 53 % 290 + 500 AS ty,
+         event_id * 37 % 900 + 20 + k AS bx2, event_id * 53 % 290 + 500 + 10 + k % 20 AS ty2
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
 placed AS (
-  SELECT *, (bx + bx2) / 2.0 AS cx, (by + by2) / 2.0 AS cy, lower(replace(text, ' ', '')) AS flat FROM raw_lines),
+  SELECT *, (bx + bx2) / 2.0 AS cx, (ty + ty2) / 2.0 AS cy, lower(replace(text, ' ', '')) AS flat FROM raw_lines),
 regioned AS (
   SELECT *, CASE WHEN category = 'cover_heavy' THEN 'cover_text'
      WHEN category = 'landscape_regular' THEN
@@ -216,8 +216,8 @@ marked AS (
         regexp_matches(flat, 'copyright|allrights|reserved|watermark|\\.com|\\.net|\\.org|\\.cn') OR
         (length(flat) >= 4 AND regexp_matches(flat, 'com|net|org|cn|eu|copyright|issuedby')))),
 lines_at AS (
-  SELECT *, CAST(greatest(0, greatest(0, bx) - px) AS INT) AS x1, CAST(greatest(0, greatest(0, by) - py) AS INT) AS y1,
-            CAST(least(width, least(width, bx2) + px) AS INT) AS x2, CAST(least(height, least(height, by2) + py) AS INT) AS y2
+  SELECT *, CAST(greatest(0, greatest(0, bx) - px) AS INT) AS x1, CAST(greatest(0, greatest(0, ty) - py) AS INT) AS y1,
+            CAST(least(width, least(width, bx2) + px) AS INT) AS x2, CAST(least(height, least(height, ty2) + py) AS INT) AS y2
   FROM marked),
 accepted AS (SELECT * FROM lines_at WHERE score >= 0.45 AND x2 > x1 AND y2 > y1)"""
 

@@ -169,15 +169,16 @@ def lookup_join(
     exactly as in a plain join. The salt is a hash of the row and its input partition, which a
     retried task recomputes to the same value.
     """
-    keys = names(key)
+    keys, zero = names(key), F.lit(0).cast("long")
     hot = F.broadcast(frequent_keys(left, keys, support))  # at most 1 / support rows
     hashed_key = F.xxhash64(*keys)
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns if not _is_map(left, c)]), F.lit(salts))
+    hashable = [F.col(c) for c in left.columns if not _is_map(left, c)]
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts))
     salted_left = (
         left.withColumn("_key", hashed_key)
         .withColumn("_spread", spread)
         .join(hot, "_key", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0).cast("long")))
+        .withColumn("_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(zero))
         .drop("_key", "_hot", "_spread")
     )
     salted_right = (
@@ -186,8 +187,8 @@ def lookup_join(
         .withColumn(
             "_salt",
             F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ).cast("long"),
+                F.when(F.col("_hot"), F.sequence(zero, F.lit(salts - 1).cast("long"))).otherwise(F.array(zero))
+            ),
         )
         .drop("_key", "_hot")
     )

@@ -24,7 +24,7 @@ from corpuseval.functions.marktext import (
 from corpuseval.operators.keyed import lookup_join, names
 
 LITERAL_TOKEN_LIMIT = 500
-GRAM = 3
+GRAM = 4
 
 
 def flatten_lines(df: DataFrame, polys: str, texts: str, scores: str) -> DataFrame:
@@ -215,16 +215,18 @@ def token_hits(
         words = F.array(*[F.lit(row.token) for row in few])
         hit = F.filter(words, lambda t: F.contains(F.col("_flat"), t))
         return flat.withColumn("token", F.explode(hit)).drop("_flat")
-    keyed = distinct.withColumn("_gram", F.substring("token", 1, GRAM))
+    # Tokens shorter than a gram are keyed by their whole length: at most GRAM sizes occur.
+    sized = distinct.withColumn("_size", F.least(F.length("token"), F.lit(GRAM)))
+    sizes = sorted(row._size for row in sized.select("_size").distinct().collect())
+    keyed = sized.withColumn("_gram", F.substring(F.col("token"), F.lit(1), F.col("_size"))).drop("_size")
 
     def grams(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("_flat") - (size - 1), F.lit(1)))
-        return F.transform(starts, lambda s: F.substring(F.col("_flat"), s, F.lit(size)))
+        # A lookahead yields the overlapping grams in one linear scan.
+        return F.regexp_extract_all("_flat", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
-    # Tokens shorter than a gram are keyed by their whole length.
-    all_grams = F.array_distinct(F.concat(*[grams(size) for size in range(1, GRAM + 1)]))
+    distinct_grams = F.array_distinct(F.concat(*[grams(size) for size in sizes]))
     return (
-        flat.withColumn("_gram", F.explode(all_grams))
+        flat.withColumn("_gram", F.explode(distinct_grams))
         .join(keyed, "_gram")
         .filter(F.contains(F.col("_flat"), F.col("token")))
         .drop("_flat", "_gram")

@@ -68,7 +68,7 @@ def main() -> int:
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = get_spark(
         "check", "local[8]", spark__sql__shuffle__partitions=8, spark__driver__memory="8g",
-        spark__checkpoint__dir=scratch, spark__local__dir=scratch,
+        spark__checkpoint__dir=scratch, spark__ui__showConsoleProgress="false", spark__local__dir=scratch,
     )
     spark.sparkContext.setLogLevel("ERROR")
     oracles, failures = catalog.oracle_sql(), 0
