@@ -194,11 +194,19 @@ def unknown_names(spark, sf):
 
 
 def plan_counts(spark, sf):
-    """A plan's header and its frozen items, re-counted by category."""
-    header, items = batch.plan(scan_items(spark, sf), "plan-1", {"mask_provider": "rule_based_roi", "restore_provider": "noop"})
-    stored, _ = batch.apply_plan(header, items)
-    counted = stored.groupBy("plan_id", "category").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(header, "plan_id")
+    """A plan's header: settings, item count and category counts."""
+    header, _ = batch.plan(scan_items(spark, sf), "plan-1", {"mask_provider": "rule_based_roi", "restore_provider": "noop"})
+    return header.withColumn("category_counts", F.to_json("category_counts"))
+
+
+def plan_count_check(spark, sf):
+    """Plans whose stored items differ in number from the header: one plan per supplier group."""
+    items = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 50).alias("plan_id"), "l_quantity")
+    headers = items.groupBy("plan_id").agg(F.count_if(F.col("l_quantity") < 51).alias("item_count")).withColumn(
+        "item_count", F.when(F.col("plan_id") % 5 == 0, F.col("item_count") + 1).otherwise(F.col("item_count"))
+    )
+    _, warnings = batch.apply_plan(headers, items)
+    return warnings
 
 
 def _profile_inputs(spark, sf):
@@ -252,7 +260,7 @@ QUERIES = {
         layout_category, page_name_hint, corpus_rules, category_counts, scan_summary, scan_limit,
         sequence_ids, prepare_dataset, eval_items_selected, eval_items_large, derive_status,
         pending_items, run_progress, run_summary, resume_counts, run_lookup, reconcile, last_wins,
-        ordered_distinct, json_props, validate_items, count_mismatch, unknown_names, plan_counts,
+        ordered_distinct, json_props, validate_items, count_mismatch, unknown_names, plan_counts, plan_count_check,
         resolve_profile, profile_rejects, keyword_tokens,
     )
 }
@@ -349,9 +357,12 @@ SELECT o_orderkey AS manifest_key, o_custkey % 8 AS item_count, coalesce(n, 0) A
 FROM orders LEFT JOIN loaded ON l_orderkey = o_orderkey WHERE o_custkey % 8 <> coalesce(n, 0)""",
     "unknown_names": """SELECT event_id, 'NATION_' || (user_id % 30) AS n_name FROM events
 WHERE 'NATION_' || (user_id % 30) NOT IN (SELECT n_name FROM nation)""",
-    "plan_counts": f"""WITH {SCAN}
-SELECT 'plan-1' AS plan_id, category, count(*) AS n, 1 AS plan_version, 'rule_based_roi' AS mask_provider, 'noop' AS restore_provider,
-       (SELECT count(*) FROM scan_items) AS item_count FROM scan_items GROUP BY category""",
+    "plan_counts": f"""WITH {SCAN},
+c AS (SELECT category, count(*) AS n FROM scan_items GROUP BY category)
+SELECT 'plan-1' AS plan_id, 1 AS plan_version, 'rule_based_roi' AS mask_provider, 'noop' AS restore_provider,
+       CAST(sum(n) AS BIGINT) AS item_count, '{{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}}' AS category_counts FROM c""",
+    "plan_count_check": """WITH n AS (SELECT l_suppkey % 50 AS plan_id, count(*) AS loaded_count FROM lineitem GROUP BY 1)
+SELECT plan_id, loaded_count + 1 AS item_count, loaded_count FROM n WHERE plan_id % 5 = 0""",
     "resolve_profile": f"""{_PROFILES}
 SELECT event_id, coalesce(mask_provider, pm, 'rule_based_roi') AS mask_provider, coalesce(pr, 'noop') AS restore_provider
 FROM joined WHERE profile IS NULL OR name IS NOT NULL""",

@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuseval.functions.boxes import box
 from corpuseval.functions.classify import layout_category, file_stem
+from corpuseval.functions.once import compute_once
 from corpuseval.metrics import METRICS
+from corpuseval.sources.tables import spread_small
 
 POS_COLUMNS = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"]
 POS_DESC = ", ".join(f"{c} DESC" for c in POS_COLUMNS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +164,7 @@ def event_k() -> Column:
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised text lines in 1000 x 800 frames; key is the user."""
-    k = event_k()
+    k = F.col("k")
     x = (F.col("event_id") * 37 % 900).cast("int")
     y = (F.col("event_id") * 53 % 290 + 500).cast("int")
     right, low = x + 20 + k, y + 10 + k % 20
@@ -170,7 +172,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def point(px: Column, py: Column) -> Column:
         return F.struct(px.cast("int").alias("x"), py.cast("int").alias("y"))
 
-    return table(spark, sf_dir, "events").select(
+    return compute_once(table(spark, sf_dir, "events"), "k", event_k()).select(
         F.col("user_id").alias("item_id"),
         "event_id",
         F.lit(1000).alias("width"),

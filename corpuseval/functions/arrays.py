@@ -8,25 +8,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from corpuseval.functions.once import let
+
 # Full scale of an edge map, gradient level counted as an edge.
 EDGE_FULL_SCALE = 255.0
 EDGE_LEVEL = 80.0
 
 
 def _pack(values: Column, is_set) -> Column:
-    word_count = F.ceil(F.size(values) / F.lit(64)).cast("int")
-
-    def word(w: Column) -> Column:
-        bits = F.transform(
-            F.slice(values, w * 64 + 1, F.lit(64)),
-            lambda x, i: F.when(is_set(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(
-                F.lit(0).cast("long")
-            ),
+    """Bits of 64 samples per word. ``values`` is bound once, however many words there are."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def words(v: Column) -> Column:
+        def word(w: Column) -> Column:
+            bits = F.transform(
+                F.slice(v, w * 64 + 1, F.lit(64)),
+                lambda x, i: F.when(is_set(x), F.call_function("shiftleft", one, i)).otherwise(zero),
+            )
+            return F.aggregate(bits, zero, lambda acc, b: acc.bitwiseOR(b))
+
+        last = F.ceil(F.size(v) / F.lit(64)).cast("int") - 1
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), last), word)).otherwise(
+            F.array().cast("array<bigint>")
         )
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(v))
 
-    words = F.transform(F.sequence(F.lit(0), word_count - 1), word)
-    return F.when(F.size(values) > 0, words).otherwise(F.array().cast("array<bigint>"))
+    return let(values, words)
 
 
 def pack_mask(values: Column) -> Column:
@@ -84,21 +90,21 @@ def edge_words(values: Column, width: int, level: float = EDGE_LEVEL) -> Column:
 
     A gradient map, not a Canny map: it has no smoothing, thinning or hysteresis.
     """
-    n = F.size(values)
-
-    def gradient(x: Column, i: Column) -> Column:
-        here = x.cast("double")
-        right = F.when(
-            (i % width) < width - 1, F.abs(F.get(values, i + 1).cast("double") - here)
-        ).otherwise(F.lit(0.0))
-        below = F.when(
-            i < n - width, F.abs(F.get(values, i + width).cast("double") - here)
-        ).otherwise(F.lit(0.0))
-        return right + below
 
-    return F.when(
-        values.isNotNull(), _pack(F.transform(values, gradient), lambda g: g > F.lit(level))
-    )
+    def edges(v: Column) -> Column:
+        def gradient(x: Column, i: Column) -> Column:
+            here, zero = x.cast("double"), F.lit(0.0)
+            right = F.when(
+                (i % width) < width - 1, F.abs(F.get(v, i + 1).cast("double") - here)
+            ).otherwise(zero)
+            below = F.when(
+                i < F.size(v) - width, F.abs(F.get(v, i + width).cast("double") - here)
+            ).otherwise(zero)
+            return right + below
+
+        return F.transform(v, gradient)
+
+    return F.when(values.isNotNull(), _pack(let(values, edges), lambda g: g > F.lit(level)))
 
 
 def edge_delta(a_words: Column, b_words: Column, samples: Column) -> Column:

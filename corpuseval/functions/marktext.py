@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from corpuseval.functions.classify import COVER, LANDSCAPE
+from corpuseval.functions.once import let
 
 # Default tokens, domain parts, built-in phrases, region names and the
 # relative positions that bound each region.
@@ -58,13 +59,21 @@ def contains_any(text: Column, tokens: Sequence[str]) -> Column:
 
 def is_mark_text(text: Column, region: Column, tokens: Sequence[str] = DEFAULT_TOKENS) -> Column:
     """Configured token anywhere, or a domain-like part in a corner line of four or more characters."""
-    flat = squash(F.coalesce(text, F.lit("")))
-    in_corner = F.coalesce(region.isin(MARK_REGIONS), F.lit(False)) & (F.length(flat) >= 4)
-    return contains_any(flat, tokens) | (
-        in_corner & contains_any(flat, [*DOMAIN_PARTS, *BUILT_IN_PHRASES])
+    in_corner = F.coalesce(region.isin(MARK_REGIONS), F.lit(False))
+    words = [*DOMAIN_PARTS, *BUILT_IN_PHRASES]
+    return let(
+        squash(F.coalesce(text, F.lit(""))),
+        lambda flat: contains_any(flat, tokens)
+        | (in_corner & (F.length(flat) >= 4) & contains_any(flat, words)),
     )
 
 
+def may_hold_mark(text: Column, tokens: Sequence[str], any_corner: bool) -> Column:
+    """Whether a whole text can hold a mark line at all: it must contain one of the words."""
+    words = [*tokens, *DOMAIN_PARTS, *BUILT_IN_PHRASES] if any_corner else list(tokens)
+    return let(squash(F.coalesce(text, F.lit(""))), lambda flat: contains_any(flat, words))
+
+
 def text_region(center_x: Column, center_y: Column, width: Column, height: Column, category: Column) -> Column:
     """Region of a line's centre; the left rule is tried before the right one, else NULL."""
 

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuseval.metrics import GROUP_KEYS
-from corpuseval.operators.keyed import latest_report
-from corpuseval.operators.trends import Pair
+from corpuseval.operators.trends import Pair, is_pair
 
 # Section names, issue codes, states and the default number of runs.
 REQUIRED_SECTION, OPTIONAL_SECTION = "release_blocking", "optional_stable"
@@ -20,42 +19,18 @@ MINIMUM_RUNS = 3
 
 
 def pair_summary(rollup: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
-    """Run count, item count and latest report of every provider pair.
-
-    A report found by its header's providers counts as a latest report; the run count covers the
-    same reports, both come from one rollup.
-    """
-    counts = rollup.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("run_count"), F.sum("item_count").alias("item_count")
+    """Run count, item count, latest run and latest report of every provider pair."""
+    per_run = rollup.groupBy(*keys, "run_id").agg(
+        F.count(F.lit(1)).alias("run_count"),
+        F.sum("item_count").alias("item_count"),
+        F.min("report_path").alias("report_path"),
     )
-    return counts.join(latest_report(rollup, keys), list(keys))
-
-
-def expected_pairs(
-    datasets: DataFrame, baseline: Pair, candidate: Pair, optional: Pair | None
-) -> DataFrame:
-    """Rows every dataset should have: (section, pair_role, providers)."""
-    wanted = [
-        (REQUIRED_SECTION, "baseline", *baseline),
-        (REQUIRED_SECTION, "candidate", *candidate),
-    ]
-    if optional is not None:
-        wanted += [
-            (OPTIONAL_SECTION, "baseline", *baseline),
-            (OPTIONAL_SECTION, "candidate", *optional),
-        ]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(section).alias("section"),
-                F.lit(role).alias("pair_role"),
-                F.lit(mask).alias("mask_provider"),
-                F.lit(restore).alias("restore_provider"),
-            )
-            for section, role, mask, restore in wanted
-        ]
+    return per_run.groupBy(*keys).agg(
+        F.sum("run_count").alias("run_count"),
+        F.sum("item_count").alias("item_count"),
+        F.max("run_id").alias("latest_run_id"),
+        F.max_by("report_path", "run_id").alias("latest_report"),
     )
-    return datasets.select("dataset_id", F.inline(rows))
 
 
 def evidence_gate(
@@ -68,71 +43,98 @@ def evidence_gate(
 ) -> tuple[DataFrame, DataFrame]:
     """``(sections, issues)`` per dataset.
 
-    ``sections`` has one row per dataset and section with its state and the overall state of
-    the dataset; without an optional pair that section reads ``skipped``. ``issues`` lists what
-    blocks a section. ``datasets`` names the datasets to judge, default all in the rollup.
+    ``sections`` has one row per dataset and section with its state and the overall state of the
+    dataset; without an optional pair that section reads ``skipped``. ``issues`` lists what blocks
+    a section. ``datasets`` (unique ``dataset_id``) names the datasets to judge, default all in
+    the rollup. Facts are reduced to one row per dataset before anything is judged.
     """
-    if datasets is None:
-        datasets = rollup.select("dataset_id").distinct()
-    pairs = expected_pairs(datasets, baseline, candidate, optional).join(
-        pair_summary(rollup), GROUP_KEYS, "left"
+    judged = _judge(rollup, baseline, candidate, optional, minimum_runs, datasets)
+    required, extra = F.col("required_issues"), F.col("optional_issues")
+    overall = (
+        F.when(F.size(required) > 0, ACTION_REQUIRED)
+        .when(F.size(extra) > 0, REQUIRED_READY)
+        .otherwise(READY)
     )
 
-    missing = F.col("run_count").isNull()
-    few = F.col("run_count") < minimum_runs
-    no_report = F.col("latest_report").isNull()
-    name = F.concat_ws(" + ", "mask_provider", "restore_provider")
+    def section(name: str, issues: Column, role: str, skipped: bool) -> Column:
+        state = F.lit(SKIPPED) if skipped else F.when(F.size(issues) == 0, READY).otherwise(ACTION_REQUIRED)
+        return F.struct(
+            F.lit(name).alias("section"),
+            F.size(issues).cast("long").alias("issue_count"),
+            F.col("baseline.run_count").alias("baseline_run_count"),
+            F.col("baseline.latest_run_id").alias("baseline_latest_run_id"),
+            F.col(f"{role}.run_count").alias("candidate_run_count"),
+            F.col(f"{role}.latest_run_id").alias("candidate_latest_run_id"),
+            state.alias("status"),
+        )
 
-    def issue(test: Column, code: str, detail: Column) -> Column:
-        return F.when(test, F.struct(F.lit(code).alias("issue_code"), detail.alias("detail")))
+    rows = F.array(
+        section(REQUIRED_SECTION, required, "candidate", False),
+        section(OPTIONAL_SECTION, extra, "optional", optional is None),
+    )
+    sections = judged.select("dataset_id", overall.alias("overall_status"), F.inline(rows))
+    issues = judged.select("dataset_id", F.inline(F.concat(required, extra)))
+    return sections, issues
 
-    # A missing group hides the run-count rule, as there is nothing to count.
-    found = F.array_compact(
-        F.array(
-            issue(missing, MISSING_GROUP, F.concat(name, F.lit(": no aggregated runs"))),
+
+def _judge(
+    rollup: DataFrame,
+    baseline: Pair,
+    candidate: Pair,
+    optional: Pair | None,
+    minimum_runs: int,
+    datasets: DataFrame | None,
+) -> DataFrame:
+    """One row per dataset: a struct per role and the issue list of either section."""
+    roles = {"baseline": baseline, "candidate": candidate, "optional": optional or candidate}
+    payload = F.struct("run_count", "latest_run_id", "latest_report")
+    # Not filtered by pair: a dataset that has none of them is judged as well.
+    wide = pair_summary(rollup).groupBy("dataset_id").agg(
+        *[F.max(F.when(is_pair(pair), payload)).alias(role) for role, pair in roles.items()]
+    )
+    if datasets is not None:
+        wide = datasets.select("dataset_id").join(wide, "dataset_id", "left")
+    if optional is None:
+        wide = wide.withColumn("optional", F.when(F.lit(False), F.col("optional")))
+
+    def issues(section: str, pair_role: str, role: str, pair: Pair) -> Column:
+        name, cell = " + ".join(str(p) for p in pair), F.col(role)
+        runs = cell["run_count"]
+
+        def issue(test: Column, code: str, detail: Column) -> Column:
+            return F.when(
+                test,
+                F.struct(
+                    F.lit(section).alias("section"),
+                    F.lit(pair_role).alias("pair_role"),
+                    F.lit(code).alias("issue_code"),
+                    detail.alias("detail"),
+                ),
+            )
+
+        # A missing group hides the run-count rule, as there is nothing to count.
+        return F.array(
+            issue(runs.isNull(), MISSING_GROUP, F.lit(f"{name}: no aggregated runs")),
             issue(
-                ~missing & few,
+                runs < minimum_runs,
                 FEW_RUNS,
-                F.concat(name, F.lit(": "), F.col("run_count").cast("string"), F.lit(f" of {minimum_runs} runs")),
+                F.concat(F.lit(f"{name}: "), runs.cast("string"), F.lit(f" of {minimum_runs} runs")),
             ),
-            issue(no_report, MISSING_REPORT, F.concat(name, F.lit(": no report"))),
+            issue(cell["latest_report"].isNull(), MISSING_REPORT, F.lit(f"{name}: no report")),
         )
+
+    required = F.concat(
+        issues(REQUIRED_SECTION, "baseline", "baseline", baseline),
+        issues(REQUIRED_SECTION, "candidate", "candidate", candidate),
     )
-    judged = pairs.withColumn("_issues", found)
-    issues = judged.select("dataset_id", "section", "pair_role", F.inline("_issues"))
-
-    wide = judged.groupBy("dataset_id", "section").agg(
-        F.sum(F.size("_issues")).alias("issue_count"),
-        *[
-            F.max(F.when(F.col("pair_role") == role, F.col(column))).alias(f"{role}_{column}")
-            for role in ("baseline", "candidate")
-            for column in ("run_count", "latest_run_id")
-        ],
-    )
-    required = F.max(F.when(F.col("section") == REQUIRED_SECTION, F.col("issue_count")))
-    optional_issues = F.max(F.when(F.col("section") == OPTIONAL_SECTION, F.col("issue_count")))
-    overall = wide.groupBy("dataset_id").agg(
-        F.when(required > 0, ACTION_REQUIRED)
-        .when(F.coalesce(optional_issues, F.lit(0)) > 0, REQUIRED_READY)
-        .otherwise(READY)
-        .alias("overall_status")
-    )
-    sections = wide.withColumn(
-        "status", F.when(F.col("issue_count") == 0, READY).otherwise(ACTION_REQUIRED)
-    )
+    judged = wide.withColumn("required_issues", F.array_compact(required))
     if optional is None:
-        skipped = sections.select(
-            "dataset_id",
-            F.lit(OPTIONAL_SECTION).alias("section"),
-            F.lit(0).cast("long").alias("issue_count"),
-            "baseline_run_count",
-            "baseline_latest_run_id",
-            F.lit(None).cast("long").alias("candidate_run_count"),
-            F.lit(None).cast("string").alias("candidate_latest_run_id"),
-            F.lit(SKIPPED).alias("status"),
-        )
-        sections = sections.unionByName(skipped)
-    return sections.join(overall, "dataset_id"), issues
+        return judged.withColumn("optional_issues", F.slice("required_issues", F.lit(1), F.lit(0)))
+    extra = F.concat(
+        issues(OPTIONAL_SECTION, "baseline", "baseline", baseline),
+        issues(OPTIONAL_SECTION, "candidate", "optional", optional),
+    )
+    return judged.withColumn("optional_issues", F.array_compact(extra))
 
 
 def distinct_issues(issues: DataFrame) -> DataFrame:

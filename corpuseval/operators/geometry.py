@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpuseval.functions.boxes import ROI_SPECS, compact_box, is_valid, relative_box
-from corpuseval.operators.keyed import names
+from corpuseval.operators.keyed import lookup_join, names
 from corpuseval.schemas import ROI_SPEC
 
 
@@ -117,29 +117,37 @@ def box_regions(boxes: DataFrame, key: str | Sequence[str], pos: str) -> DataFra
 def covered_pixels(boxes: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Pixels covered by the union of the boxes per key, exactly as a painted mask would count.
 
-    Boxes become row spans, equal spans collapse in the map tasks, and spans of one image row are
-    merged in a window. A group is one pixel row of one item, bounded by the frame width squared.
+    The distinct top and bottom edges of a key cut its frame into bands in which the covered
+    columns do not change. A box becomes one row per band it crosses instead of one per pixel
+    row; equal spans collapse in the map tasks, and a window merges the spans of one band. A
+    band's group is bounded by the frame width, the edge list by the frame height.
     """
     keys = names(key)
+    valid = boxes.filter(is_valid(F.col("box"))).select(
+        *keys, *[F.col(f"box.{c}").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]
+    )
+    edges = (
+        valid.select(*keys, F.explode(F.array("_y1", "_y2")).alias("_y"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_set("_y")).alias("_edges"))
+    )
+    first = F.array_position("_edges", F.col("_y1")).cast("int")
+    past = F.array_position("_edges", F.col("_y2")).cast("int")
+    tops = F.slice("_edges", first, past - first)
+    bottoms = F.slice("_edges", first + 1, past - first)
     spans = (
-        boxes.filter(is_valid(F.col("box")))
-        .select(
-            *keys,
-            F.explode(F.sequence(F.col("box.y1"), F.col("box.y2") - 1)).alias("_y"),
-            F.col("box.x1").alias("_x1"),
-            F.col("box.x2").alias("_x2"),
-        )
-        .groupBy(*keys, "_y", "_x1")
+        lookup_join(valid, edges, keys, "inner")
+        .select(*keys, "_x1", "_x2", F.explode(F.arrays_zip(tops.alias("top"), bottoms.alias("bottom"))).alias("_band"))
+        .groupBy(*keys, "_band", "_x1")
         .agg(F.max("_x2").alias("_x2"))
     )
     before = (
-        Window.partitionBy(*keys, "_y").orderBy("_x1").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, "_band").orderBy("_x1").rowsBetween(Window.unboundedPreceding, -1)
     )
     reached = F.coalesce(F.max("_x2").over(before), F.col("_x1"))
     added = F.greatest(F.lit(0), F.col("_x2") - F.greatest(F.col("_x1"), F.col("_reached")))
     return (
         spans.withColumn("_reached", reached)
-        .withColumn("_added", added)
         .groupBy(*keys)
-        .agg(F.sum("_added").alias("mask_nonzero"))
+        .agg(F.sum(added.cast("long") * (F.col("_band.bottom") - F.col("_band.top"))).alias("mask_nonzero"))
     )

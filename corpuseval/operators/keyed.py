@@ -154,6 +154,21 @@ def frequent_keys(df: DataFrame, key: str | Sequence[str], support: float = 0.01
     )
 
 
+def planned_bytes(df: DataFrame) -> float:
+    """The optimizer's size estimate; infinite where the session does not expose it."""
+    try:
+        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return float("inf")
+
+
+def broadcast_limit(df: DataFrame) -> float:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower().rstrip("b")
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    return float(text[:-1]) * units[text[-1]] if text[-1] in units else float(text)
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -164,11 +179,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join a possibly skewed ``left`` with a ``right`` that is unique per key.
 
-    Rows of frequent keys are spread over ``salts`` sub-keys and the matching right rows are
-    repeated once per sub-key, so no task receives a whole hot key. Rows of all other keys move
-    exactly as in a plain join. The salt is a hash of the row and its input partition, which a
-    retried task recomputes to the same value.
+    A right side whose planned size is below Spark's broadcast limit is joined plainly: Spark
+    broadcasts it and nothing is shuffled, so skew does not matter. Otherwise rows of frequent
+    keys are spread over ``salts`` sub-keys and the matching right rows are repeated once per
+    sub-key, so no task receives a whole hot key; all other keys move as in a plain join. The salt
+    is a hash of the row and its input partition, which a retried task recomputes to the same
+    value.
     """
+    if planned_bytes(right) <= broadcast_limit(right):
+        return left.join(right, names(key), how)
     keys, zero = names(key), F.lit(0).cast("long")
     hot = F.broadcast(frequent_keys(left, keys, support))  # at most 1 / support rows
     hashed_key = F.xxhash64(*keys)

@@ -10,17 +10,16 @@ from corpuseval.functions.arrays import overlap_scores
 from corpuseval.functions.boxes import box, clamp_box, is_valid, pad_box
 from corpuseval.functions.classify import COVER
 from corpuseval.functions.marktext import (
-    BUILT_IN_PHRASES,
     DEFAULT_SCORE,
     DEFAULT_TOKENS,
-    DOMAIN_PARTS,
-    contains_any,
     is_mark_text,
+    may_hold_mark,
     polygon_bounds,
     polygon_center,
     squash,
     text_region,
 )
+from corpuseval.functions.once import compute_once
 from corpuseval.operators.keyed import lookup_join, names
 
 LITERAL_TOKEN_LIMIT = 500
@@ -65,17 +64,17 @@ def accept_lines(
     """
     usable = lines.filter((F.coalesce("score", F.lit(0.0)) >= threshold) & (F.size("polygon") > 0))
     cx, cy = polygon_center(F.col("polygon"))
-    width, height = F.col("width"), F.col("height")
-    placed = usable.withColumn("region", text_region(cx, cy, width, height, F.col("category")))
+    x1, y1, x2, y2 = polygon_bounds(F.col("polygon"))
+    outline = F.struct(cx.alias("cx"), cy.alias("cy"), box(x1, y1, x2, y2).alias("bounds"))
+    outlined = compute_once(usable, "_o", outline)
+    width, height, category = F.col("width"), F.col("height"), F.col("category")
+    placed = outlined.withColumn("region", text_region(F.col("_o.cx"), F.col("_o.cy"), width, height, category))
     marked = placed.filter(
         F.col("region").isNotNull()
-        & ((F.col("category") == COVER) | is_mark_text(F.col("text"), F.col("region"), tokens))
+        & ((category == COVER) | is_mark_text(F.col("text"), F.col("region"), tokens))
     )
-    clamped = clamp_box(box(*polygon_bounds(F.col("polygon"))), width, height)
-    boxed = marked.withColumn("_clamped", clamped).withColumn(
-        "box", pad_box(F.col("_clamped"), width, height, F.col("region"))
-    )
-    return boxed.filter(is_valid(F.col("box"))).drop("_clamped")
+    padded = pad_box(clamp_box(F.col("_o.bounds"), width, height), width, height, F.col("region"))
+    return marked.withColumn("box", padded).filter(is_valid(F.col("box"))).drop("_o")
 
 
 def line_confidence(items: DataFrame, accepted: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -160,13 +159,8 @@ def mark_hits(lines: Column, region: str | None, tokens: Sequence[str] = DEFAULT
 
 
 def document_hits(text: Column, lines: Column, region: str | None, tokens: Sequence[str] = DEFAULT_TOKENS) -> Column:
-    """``mark_hits`` behind a whole-text test.
-
-    A line can only match if the squashed whole text contains one of the words, so texts
-    without any are settled by generated code and never split.
-    """
-    words = list(tokens) if region is None else [*tokens, *DOMAIN_PARTS, *BUILT_IN_PHRASES]
-    return F.when(contains_any(squash(text), words), mark_hits(lines, region, tokens)).otherwise(0)
+    """``mark_hits`` behind a whole-text test, so texts without any of the words are never split."""
+    return F.when(may_hold_mark(text, tokens, region is not None), mark_hits(lines, region, tokens)).otherwise(0)
 
 
 def mark_audit(items: DataFrame, group_cols: str | Sequence[str], hits: str = "hits") -> DataFrame:
@@ -208,7 +202,7 @@ def token_hits(
     """
     distinct = tokens.select(squash(F.col(token)).alias("token")).filter("token <> ''").distinct()
     few = distinct.limit(literal_limit + 1).collect()
-    flat = lines.withColumn("_flat", squash(F.coalesce(F.col(text), F.lit(""))))
+    flat = compute_once(lines, "_flat", squash(F.coalesce(F.col(text), F.lit(""))))
     if not few:
         return lines.withColumn("token", F.lit("")).filter(F.lit(False))
     if len(few) <= literal_limit:

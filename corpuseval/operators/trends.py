@@ -3,39 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuseval.functions.runs import assessment, delta
 from corpuseval.metrics import CONFIDENCE, GROUP_KEYS, METRICS, headline_rank, preference
-from corpuseval.operators.aggregate import aggregate_rollup, report_mean
-from corpuseval.operators.keyed import latest_report
+from corpuseval.operators.aggregate import pooled_mean, report_mean
 
-Pair = tuple[str, str]
+Pair = tuple[str | None, str | None]
 
 
-def latest_summaries(
+def group_profile(
     rollup: DataFrame,
     keys: Sequence[str] = GROUP_KEYS,
     metrics: Sequence[str] = METRICS,
     confidence: str = "confidence",
 ) -> DataFrame:
-    """Means of the latest report of every group, taken from the rollup (no second fact scan)."""
-    latest = latest_report(rollup, keys)
-    return (
-        rollup.join(
-            latest.withColumnsRenamed({"latest_run_id": "run_id", "latest_report": "report_path"}),
-            [*keys, "run_id", "report_path"],
-            "left_semi",
-        )
-        .select(
-            *keys,
-            "run_id",
-            "report_path",
-            "item_count",
-            *[report_mean(m).alias(m) for m in metrics],
-            report_mean(confidence).alias(CONFIDENCE),
-        )
+    """One row per group: counts and pooled means, ``latest_run_id`` and its report as ``latest``.
+
+    Everything about a group comes from one chain of aggregates over the rollup, so neither the
+    facts nor the rollup are read again for the latest report. Equal run ids resolve to the
+    smallest path.
+    """
+    measured = [*metrics, confidence]
+    report = F.struct(
+        "report_path",
+        F.col("item_count").alias("item_count"),
+        *[report_mean(m).alias(m) for m in metrics],
+        report_mean(confidence).alias(CONFIDENCE),
+    )
+    per_run = rollup.groupBy(*keys, "run_id").agg(
+        F.count(F.lit(1)).alias("run_count"),
+        F.sum("item_count").alias("item_count"),
+        *[F.sum(f"{kind}_{m}").alias(f"{kind}_{m}") for m in measured for kind in ("sum", "n")],
+        F.min_by(report, "report_path").alias("_report"),
+    )
+    return per_run.groupBy(*keys).agg(
+        F.sum("run_count").alias("run_count"),
+        F.sum("item_count").alias("item_count"),
+        *[pooled_mean(m).alias(m) for m in metrics],
+        pooled_mean(confidence).alias(CONFIDENCE),
+        F.max("run_id").alias("latest_run_id"),
+        F.max_by("_report", "run_id").alias("latest"),
     )
 
 
@@ -69,38 +80,26 @@ def headlines(assessed: DataFrame) -> DataFrame:
     )
 
 
-def trend_section(
-    reference: DataFrame, latest: DataFrame, section: str, metrics: Sequence[str] = METRICS
-) -> DataFrame:
-    """Assessed metric rows of the candidate's latest report against one reference group per dataset."""
-    ref = reference.select(
-        "dataset_id",
-        F.col("run_count").alias("reference_run_count"),
-        F.col("item_count").alias("reference_item_count"),
-        *[F.col(m).alias(f"r_{m}") for m in [*metrics, CONFIDENCE]],
-    )
-    cand = latest.select(
-        "dataset_id",
-        F.col("run_id").alias("candidate_run_id"),
-        *[F.col(m).alias(f"c_{m}") for m in [*metrics, CONFIDENCE]],
-    )
-    stacked = ref.join(cand, "dataset_id").select(
-        "dataset_id",
-        F.lit(section).alias("section"),
-        "reference_run_count",
-        "reference_item_count",
-        "candidate_run_id",
-        F.expr(metric_stack([*metrics, CONFIDENCE], "r_", "c_")),
-    )
-    return assess_deltas(stacked)
+def is_pair(pair: Pair) -> Column:
+    """Provider filter; a NULL provider matches any."""
+    tests = [F.col(c) == v for c, v in zip(("mask_provider", "restore_provider"), pair) if v is not None]
+    return reduce(and_, tests, F.lit(True))
 
 
-def is_pair(pair: Pair) -> Column:
-    return (F.col("mask_provider") == pair[0]) & (F.col("restore_provider") == pair[1])
+def by_role(groups: DataFrame, roles: dict[str, Pair], payload: Sequence[str]) -> DataFrame:
+    """One row per dataset with one struct per role, NULL where its group is missing.
 
+    A role that matches several groups takes the first in provider order. A conditional
+    aggregate instead of one join per role.
+    """
+    wanted = groups.filter(reduce(or_, [is_pair(pair) for pair in roles.values()]))
+
+    def pick(pair: Pair) -> Column:
+        test = is_pair(pair)
+        place = F.struct("mask_provider", "restore_provider")
+        return F.min_by(F.when(test, F.struct(*payload)), F.when(test, place))
 
-def of_pair(df: DataFrame, pair: Pair) -> DataFrame:
-    return df.filter(is_pair(pair))
+    return wanted.groupBy("dataset_id").agg(*[pick(pair).alias(role) for role, pair in roles.items()])
 
 
 def trend_snapshot(
@@ -111,18 +110,43 @@ def trend_snapshot(
     dataset: str | None = None,
     metrics: Sequence[str] = METRICS,
 ) -> DataFrame:
-    """Candidate's latest report against the baseline's and its own aggregate.
+    """Candidate's latest report against the baseline's and its own aggregate, a row per metric.
 
-    ``aggregates`` defaults to the rollup's own groups. A dataset whose baseline group is
-    missing yields nothing; a missing candidate aggregate only drops that section. A NULL
-    ``dataset`` matches every dataset.
+    ``aggregates`` defaults to the groups of the rollup. A dataset without a baseline group or
+    without a candidate report yields nothing; a missing candidate aggregate drops only that
+    section. NULL for ``dataset`` or a provider matches any.
     """
+    values = [*metrics, CONFIDENCE]
+    payload = ["run_count", "item_count", *values]
+    roles = {"baseline": baseline, "candidate": candidate}
     if dataset is not None:
         rollup = rollup.filter(F.col("dataset_id") == dataset)
-    wanted = rollup.filter(is_pair(baseline) | is_pair(candidate))
-    groups = aggregate_rollup(wanted, metrics=metrics) if aggregates is None else aggregates
-    latest = of_pair(latest_summaries(wanted, metrics=metrics), candidate)
-    base = trend_section(of_pair(groups, baseline), latest, "baseline_aggregate", metrics)
-    own = trend_section(of_pair(groups, candidate), latest, "candidate_aggregate", metrics)
-    # The candidate section only exists where the baseline section does.
-    return base.unionByName(own.join(base.select("dataset_id").distinct(), "dataset_id", "left_semi"))
+    profile = group_profile(rollup, metrics=metrics)
+    if aggregates is None:
+        wide = by_role(profile, roles, [*payload, "latest_run_id", "latest"]).withColumns(
+            {"_run": F.col("candidate.latest_run_id"), "_latest": F.col("candidate.latest")}
+        )
+        wide = wide.withColumns({role: F.col(role).dropFields("latest_run_id", "latest") for role in roles})
+    else:
+        newest = by_role(profile, {"candidate": candidate}, ["latest_run_id", "latest"]).select(
+            "dataset_id", F.col("candidate.latest_run_id").alias("_run"), F.col("candidate.latest").alias("_latest")
+        )
+        wide = by_role(aggregates, roles, payload).join(newest, "dataset_id")
+    sections = F.array(
+        *[
+            F.struct(F.lit(f"{role}_aggregate").alias("section"), F.col(role).alias("_ref"))
+            for role in roles
+        ]
+    )
+    rows = wide.filter("baseline is not null and _run is not null").select(
+        "dataset_id", F.col("_run").alias("candidate_run_id"), "_latest", F.inline(sections)
+    )
+    stacked = rows.filter("_ref is not null").select(
+        "dataset_id",
+        "section",
+        F.col("_ref.run_count").alias("reference_run_count"),
+        F.col("_ref.item_count").alias("reference_item_count"),
+        "candidate_run_id",
+        F.expr(metric_stack(values, "_ref.", "_latest.")),
+    )
+    return assess_deltas(stacked)

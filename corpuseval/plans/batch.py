@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpuseval.operators.aggregate import category_counts
 from corpuseval.operators.keyed import last_wins
 from corpuseval.operators.runs import pending_items
 from corpuseval.operators.validate import check_version, count_mismatch
@@ -16,14 +17,22 @@ PLAN_VERSION = 1
 
 
 def plan(items: DataFrame, plan_id: str, settings: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """``(header, plan_items)``: the settings and count of a plan, and its frozen items."""
-    header = items.agg(F.count(F.lit(1)).alias("item_count")).select(
+    """``(header, plan_items)``: settings, item count and category counts of a plan, and its frozen items.
+
+    The header is folded from the category counts, so the items are read once.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("category", "n")))
+    header = category_counts(items).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("item_count"), F.map_from_entries(entries).alias("category_counts")
+    )
+    named = header.select(
         F.lit(plan_id).alias("plan_id"),
         F.lit(PLAN_VERSION).alias("plan_version"),
         *[F.lit(v).alias(k) for k, v in settings.items()],
         "item_count",
+        "category_counts",
     )
-    return header, items.withColumn("plan_id", F.lit(plan_id))
+    return named, items.withColumn("plan_id", F.lit(plan_id))
 
 
 def write_plan(items: DataFrame, root: str, plan_id: str, settings: Mapping[str, str]) -> None:
