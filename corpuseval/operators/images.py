@@ -21,12 +21,14 @@ from corpuseval.functions.classify import (
     name_hint,
 )
 from corpuseval.operators.geometry import roi_specs
+from corpuseval.session import ship_package
 
 PIXEL_COLUMNS = ["height", "width", "nChannels", "data"]
 
 
 def patch_stats(images: DataFrame) -> DataFrame:
     """Edge density, dark and bright share of the lower-left patch; pixel bytes are dropped."""
+    ship_package(images.sparkSession)
     kept = [c for c in images.columns if c not in ("data", "nChannels")]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields if f.name in kept]
@@ -95,6 +97,7 @@ def corner_profile(images: DataFrame, specs: DataFrame | None = None) -> DataFra
     joined by path, and an image is decoded once.
     """
     spark = images.sparkSession
+    ship_package(spark)
     fields = ["region", "x1", "y1", "x2", "y2", "fx1", "fy1", "fx2", "fy2"]
     by_category = (
         (roi_specs(spark) if specs is None else specs)

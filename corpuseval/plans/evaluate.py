@@ -22,6 +22,7 @@ from corpuseval.functions.classify import COVER
 from corpuseval.metrics import METRICS
 from corpuseval.operators.masks import attach_masks
 from corpuseval.operators.validate import require_rows
+from corpuseval.session import ship_package
 from corpuseval.schemas import BOX, DOUBLE, LONG, STRING, STRING_MAP, struct
 
 
@@ -208,6 +209,7 @@ def evaluate(
     """
     masker_of = resolve(MASK_PROVIDERS, mask_provider)
     transformer_of = resolve(TRANSFORM_PROVIDERS, transform_provider)
+    ship_package(items.sparkSession)
     if check_rows:
         require_rows(items.select("item_id"), "evaluation input")
     columns = [f.name for f in RESULT.fields]

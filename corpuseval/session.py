@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,6 +47,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpuseval-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once per application, for the operators that run Python.
+
+    An installed package needs no shipping; a checkout on the driver's path does, as Python
+    workers do not inherit that path.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    archive = shutil.make_archive(
+        os.path.join(folder, "corpuseval"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpuseval.functions import pixels
 from corpuseval.functions.classify import IMAGE_SUFFIXES, file_suffix
 from corpuseval.operators.keyed import first_n
+from corpuseval.session import ship_package
 
 # Folder names left out of a recursive listing.
 EXCLUDED_DIRS = [
@@ -77,9 +78,11 @@ def read_images(spark: SparkSession, root: str, recursive: bool = True) -> tuple
         .option("dropInvalid", "false")
         .option("recursiveFileLookup", str(recursive).lower())
     )
+    # The image source escapes its paths, the file listing does not; a plus sign is literal here.
+    path = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
     rows = reader.load(root).select(
-        F.col("image.origin").alias("source_path"),
-        relative_to(F.col("image.origin"), root).alias("relative_path"),
+        path.alias("source_path"),
+        relative_to(path, root).alias("relative_path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("nChannels"),
@@ -94,6 +97,7 @@ def read_images(spark: SparkSession, root: str, recursive: bool = True) -> tuple
 
 def read_masks(spark: SparkSession, root: str) -> DataFrame:
     """Mask files as packed words: ``mask_path, height, width, mask_nonzero, words``."""
+    ship_package(spark)
     good, _ = read_images(spark, root)
     schema = "mask_path string, height int, width int, mask_nonzero long, words array<bigint>"
 

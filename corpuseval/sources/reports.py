@@ -84,20 +84,21 @@ def flatten_results(reports: DataFrame) -> DataFrame:
 
 
 def read_results_jsonl(spark: SparkSession, path: str, mode: str = "FAILFAST", schema: T.StructType = BATCH_RESULT):
-    """Appended results, one object per line. FAILFAST raises; PERMISSIVE returns ``(rows, rejects)``."""
+    """Appended results, one object per line; blank lines are skipped.
+
+    FAILFAST raises on a bad line and returns rows; PERMISSIVE returns ``(rows, rejects)``.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    lines = lines.filter(F.trim("value") != "")
     if mode.upper() == "FAILFAST":
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.read.schema(wide)
-        .option("mode", "PERMISSIVE")
-        .json(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
-    return (
-        rows.filter("_corrupt_record is null").drop("_corrupt_record"),
-        rows.filter("_corrupt_record is not null").select("source_file", F.col("_corrupt_record").alias("line")),
+    parsed = lines.withColumn(
+        "r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     )
+    bad = F.col("r._corrupt_record").isNotNull()
+    good = parsed.filter(~bad).select("source_file", *[F.col(f"r.{f.name}") for f in schema.fields])
+    return good, parsed.filter(bad).select("source_file", F.col("value").alias("line"))
 
 
 def read_manifest(spark: SparkSession, path: str, version: int = 1, kind: str = "scan") -> tuple[DataFrame, DataFrame]:

@@ -84,7 +84,7 @@ def flat_batch(results: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """CSV folder with a header, one file per task; UTF-8 without a byte order mark."""
     flat = df if columns is None else flat_report(df, columns)
-    flat.write.mode("errorifexists").option("header", "true").option("emptyValue", "").csv(path)
+    flat.write.mode("errorifexists").options(header="true", emptyValue="", escape=chr(34)).csv(path)
 
 
 def write_snapshot(df: DataFrame, root: str, snapshot_id: str) -> None:

@@ -13,6 +13,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corpuseval.operators.runs import pending_items
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def corpus_stream(
     spark: SparkSession,
@@ -22,10 +24,10 @@ def corpus_stream(
     glob: str | None = None,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """New files below ``root``. ``binaryFile`` brings its own schema; its content column is dropped."""
+    """New files below ``root``. ``binaryFile`` has a fixed schema; its content column is dropped."""
     reader = spark.readStream.format(source)
     if source == "binaryFile":
-        reader = reader.option("recursiveFileLookup", "true")
+        reader = reader.schema(BINARY_FILE).option("recursiveFileLookup", "true")
     elif schema is not None:
         reader = reader.schema(schema)
     if glob:
