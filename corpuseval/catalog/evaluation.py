@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuseval.catalog.views import EVAL, POOLED, POS_DESC, eval_results, table
-from corpuseval.functions.runs import assessment, delta, looks_like_run_id
+from corpuseval.functions.runs import assessment, delta, looks_like_run_id, run_ts
 from corpuseval.metrics import CONFIDENCE, METRICS, headline_rank, preference
 from corpuseval.operators import aggregate, compare, evidence, keyed, review, trends
 from corpuseval.sources.sinks import AGGREGATE_COLUMNS, RUN_COLUMNS, flat_report
@@ -224,7 +224,7 @@ def run_id_shape(spark, sf):
     )
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", made.alias("run_id")).withColumn(
         "is_run_id", looks_like_run_id(F.col("run_id"))
-    )
+    ).withColumn("run_day", F.date_format(run_ts(F.col("run_id")), "yyyy-MM-dd"))
 
 
 QUERIES = {
@@ -439,5 +439,6 @@ SELECT item_id, dataset_id, relative_path, status, mask_provider, restore_provid
   SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN strftime(l_shipdate, '%Y%m%d-%H%M%S-%f')
     WHEN 2 THEN strftime(l_shipdate, '%Y%m%d%H%M%S%f') WHEN 3 THEN strftime(l_shipdate, '%Y-%m-%d-%H-%M-%S')
     ELSE strftime(l_shipdate, '%Y%m%d-%H') END AS run_id FROM lineitem)
-SELECT *, length(run_id) >= 16 AND regexp_full_match(substr(run_id, 1, 8), '[0-9]{8}') AND contains(run_id, '-') AS is_run_id FROM made""",
+SELECT *, length(run_id) >= 16 AND regexp_full_match(substr(run_id, 1, 8), '[0-9]{8}') AND contains(run_id, '-') AS is_run_id,
+       strftime(try_strptime(run_id, '%Y%m%d-%H%M%S-%f'), '%Y-%m-%d') AS run_day FROM made""",
 }

@@ -349,9 +349,9 @@ u AS (SELECT role, unnest(parts) AS word, base + unnest(range(len(parts))) AS po
 SELECT role, word, CAST(min(pos) AS BIGINT) AS first_pos FROM u GROUP BY role, word""",
     "json_props": "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1",
     "validate_items": """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
-SELECT event_id, CASE WHEN k % 10 = 1 THEN 'source_path must be a non-empty string' WHEN k % 10 = 2 THEN 'relative_path must be a non-empty string'
-  WHEN event_id % 11 = 3 THEN 'width must be an integer' WHEN k % 7 = 4 THEN 'height must be an integer'
-  WHEN k % 13 = 5 THEN 'category must be a non-empty string' END AS reject_reason FROM e""",
+SELECT event_id, CASE WHEN k % 10 = 1 THEN 'source_path is missing or empty' WHEN k % 10 = 2 THEN 'relative_path is missing or empty'
+  WHEN event_id % 11 = 3 THEN 'width is not an integer' WHEN k % 7 = 4 THEN 'height is not an integer'
+  WHEN k % 13 = 5 THEN 'category is missing or empty' END AS reject_reason FROM e""",
     "count_mismatch": """WITH loaded AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS manifest_key, o_custkey % 8 AS item_count, coalesce(n, 0) AS loaded_count
 FROM orders LEFT JOIN loaded ON l_orderkey = o_orderkey WHERE o_custkey % 8 <> coalesce(n, 0)""",

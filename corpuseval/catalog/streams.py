@@ -56,21 +56,13 @@ def stream_pending(spark, sf):
 
 
 def _windowed(spark, sf, **frame) -> DataFrame:
-    """Windows as append output; the last windows stay open, so an end marker closes them."""
+    """Changed windows per micro-batch, newest per window; closed windows leave the state."""
     root = scratch_dir(spark)
     rows = _arrivals(spark, sf).select("status", "latency_ms", "ts")
-    windows = progress.windowed_status(rows, lateness="1 minute", **frame)
-    writer = (
-        windows.writeStream.outputMode("complete" if "session_gap" not in frame else "append")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{root}/windows/batch_id={batch_id}"))
-    )
-    progress.run_available(writer)
-    stored = spark.read.parquet(f"{root}/windows")
-    newest = stored.groupBy("window_start", "window_end", "status").agg(
-        F.max_by(F.struct("n", "mean_latency_ms", "max_latency_ms"), "batch_id").alias("_row")
-    )
-    return newest.select("window_start", "window_end", "status", "_row.*")
+    windows = progress.windowed_status(rows, lateness="1 day", **frame)
+    keys = ["window_start", "window_end", "status"]
+    progress.run_available(progress.write_progress(windows, f"{root}/windows", f"{root}/checkpoint"))
+    return progress.read_progress(spark, f"{root}/windows", keys)
 
 
 def _readable(df: DataFrame) -> DataFrame:

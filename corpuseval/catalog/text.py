@@ -46,27 +46,24 @@ def residual_score(spark, sf):
 
 
 def cascade(spark, sf):
-    """Strict lines, then lines by the retry score, then the corner boxes."""
-    items = _line_items(spark, sf)
-    lines = event_lines(spark, sf)
-
-    def stage(threshold: float, name: str):
-        found = geometry.covered_pixels(text.accept_lines(lines, threshold=threshold), "item_id")
-        return items.join(found, "item_id", "left").select(
-            "item_id", F.coalesce("mask_nonzero", F.lit(0)).cast("long").alias("mask_nonzero"), F.lit(name).alias("source")
-        )
+    """Strict lines, then lines by the retry score, then the corner boxes.
 
+    Lines are judged once by the lower score; a strict line serves both stages.
+    """
+    items = _line_items(spark, sf)
+    strict = 0.98
+    accepted = text.accept_lines(event_lines(spark, sf), threshold=retry_score(strict))
+    stages = F.when(F.col("score") >= strict, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    line_boxes = accepted.select("item_id", F.explode(stages).alias("stage"), "box")
     sized = items.select(
         "item_id", F.lit(1000).alias("width"), F.lit(800).alias("height"),
         F.when(F.col("item_id") % 3 == 0, "landscape_regular").when(F.col("item_id") % 3 == 1, "portrait_regular").otherwise("cover_heavy").alias("category"),
     )
-    corners = geometry.roi_boxes(sized).select("item_id", F.col("compact_box").alias("box"))
-    fallback = items.join(geometry.covered_pixels(corners, "item_id"), "item_id", "left").select(
-        "item_id", F.coalesce("mask_nonzero", F.lit(0)).cast("long").alias("mask_nonzero"), F.lit("boxes").alias("source")
-    )
-    picked = text.cascade(
-        [("primary", stage(0.98, "lines")), ("retry", stage(retry_score(0.98), "lines")), ("fallback", fallback)], "item_id"
-    )
+    corners = geometry.roi_boxes(sized).select("item_id", F.lit(2).alias("stage"), F.col("compact_box").alias("box"))
+    painted = geometry.covered_pixels(line_boxes.unionByName(corners), ["item_id", "stage"])
+    none = items.select("item_id", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("mask_nonzero"))
+    rows = painted.unionByName(none).withColumn("source", F.when(F.col("stage") == 2, "boxes").otherwise("lines"))
+    picked = text.cascade_rows(rows, "item_id", ["primary", "retry", "fallback"])
     return picked.withColumn("attempts", F.array_join("attempts", ","))
 
 

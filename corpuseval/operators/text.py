@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -107,24 +108,21 @@ def residual_score(items: DataFrame, accepted: DataFrame, key: str | Sequence[st
     )
 
 
-def cascade(stages: Sequence[tuple[str, DataFrame]], key: str | Sequence[str]) -> DataFrame:
+def cascade_rows(rows: DataFrame, key: str | Sequence[str], stage_names: Sequence[str], stage: str = "stage") -> DataFrame:
     """First stage per item with a nonempty mask; the first stage's row when all are empty.
 
-    Every stage table has the key, ``mask_nonzero`` and the same payload columns. Adds
-    ``strategy`` and ``attempts`` (the stages tried up to the one taken).
+    ``rows`` has the key, the stage number, ``mask_nonzero`` and payload columns. Adds ``strategy``
+    and ``attempts`` (the stages tried up to the one taken). One aggregate, combined map-side.
     """
     keys = names(key)
-    stage_names = [name for name, _ in stages]
-    columns = stages[0][1].columns
-    payload = [c for c in columns if c not in keys]
-    rows = None
-    for i, (_, df) in enumerate(stages):
-        tagged = df.select(*columns).withColumn("_stage", F.lit(i))
-        rows = tagged if rows is None else rows.unionByName(tagged)
+    payload = [c for c in rows.columns if c not in (*keys, stage)]
+    count = len(stage_names)
     # Empty stages rank after all others, the first of them before the rest.
-    rank = F.when(F.col("mask_nonzero") > 0, F.col("_stage")).otherwise(F.col("_stage") + len(stages))
-    picked = rows.groupBy(*keys).agg(F.min_by(F.struct("_stage", *payload), rank).alias("_row"))
-    tried = F.when(F.col("_row.mask_nonzero") > 0, F.col("_row._stage") + 1).otherwise(len(stages))
+    rank = F.when(F.col("mask_nonzero") > 0, F.col(stage)).otherwise(F.col(stage) + count)
+    picked = rows.groupBy(*keys).agg(
+        F.min_by(F.struct(F.col(stage).alias("_stage"), *payload), rank).alias("_row")
+    )
+    tried = F.when(F.col("_row.mask_nonzero") > 0, F.col("_row._stage") + 1).otherwise(count)
     all_names = F.array(*[F.lit(n) for n in stage_names])
     return picked.select(
         *keys,
@@ -134,6 +132,15 @@ def cascade(stages: Sequence[tuple[str, DataFrame]], key: str | Sequence[str]) -
     )
 
 
+def cascade(stages: Sequence[tuple[str, DataFrame]], key: str | Sequence[str]) -> DataFrame:
+    """``cascade_rows`` over one table per stage, all with the columns of the first."""
+    columns = stages[0][1].columns
+    tagged = [df.select(*columns).withColumn("_stage_no", F.lit(i)) for i, (_, df) in enumerate(stages)]
+    return cascade_rows(
+        reduce(DataFrame.unionByName, tagged), key, [name for name, _ in stages], "_stage_no"
+    )
+
+
 def document_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per line of every whole text (``line_no`` from 0)."""
     others = [c for c in documents.columns if c != text]

@@ -16,13 +16,13 @@ def check_items(df: DataFrame) -> DataFrame:
     """Add ``reject_reason``: the first required field that is missing or empty, else NULL."""
     reason = F.coalesce(
         *[
-            F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(f"{c} must be a non-empty string"))
+            F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(f"{c} is missing or empty"))
             for c in REQUIRED_TEXT[:2]
         ],
-        *[F.when(F.col(c).isNull(), F.lit(f"{c} must be an integer")) for c in REQUIRED_INT],
+        *[F.when(F.col(c).isNull(), F.lit(f"{c} is not an integer")) for c in REQUIRED_INT],
         F.when(
             F.col("category").isNull() | (F.col("category") == ""),
-            F.lit("category must be a non-empty string"),
+            F.lit("category is missing or empty"),
         ),
     )
     return df.withColumn("reject_reason", reason)

@@ -110,13 +110,13 @@ def read_manifest(spark: SparkSession, path: str, version: int = 1, kind: str =
     column = f"{kind}_version"
     docs = spark.read.schema(MANIFEST).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     docs = check_version(docs.withColumn("manifest_path", F.col("_metadata.file_path")), column, version)
-    listed = F.assert_true(F.col("items").isNotNull(), F.lit("manifest field items must be a list"))
+    listed = F.assert_true(F.col("items").isNotNull(), F.lit("the item list is missing"))
     counted = F.assert_true(
         F.coalesce(F.col("item_count") == F.size("items"), F.lit(False)),
         F.concat(
-            F.lit("declared item_count "),
+            F.lit("item_count says "),
             F.coalesce(F.col("item_count").cast("string"), F.lit("none")),
-            F.lit(" but loaded "),
+            F.lit(", found "),
             F.coalesce(F.size("items"), F.lit(0)).cast("string"),
         ),
     )

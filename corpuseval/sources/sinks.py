@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuseval.metrics import CONFIDENCE, METRICS
+from corpuseval.metrics import CONFIDENCE, GROUP_KEYS, METRICS
 
 # CSV column order of each report kind.
 RUN_COLUMNS = [
@@ -87,6 +87,15 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     flat.write.mode("errorifexists").options(header="true", emptyValue="", escape=chr(34)).csv(path)
 
 
+def write_results(results: DataFrame, path: str, keys: Sequence[str] = GROUP_KEYS, mode: str = "append") -> None:
+    """Fact rows as parquet partitioned by the group keys, so provider filters prune folders.
+
+    ``rebalance`` lets AQE split a hot partition over several tasks and merge small ones, instead
+    of one writer per key or one file per key and task.
+    """
+    results.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+
+
 def write_snapshot(df: DataFrame, root: str, snapshot_id: str) -> None:
     """Append ``df`` as one partition of a snapshot table. A repeated id is replaced as a whole."""
     (

@@ -56,9 +56,11 @@ def write_progress(counts: DataFrame, target: str, checkpoint: str) -> DataStrea
 
 
 def read_progress(spark: SparkSession, target: str, keys: Sequence[str] = ("run_id", "status")) -> DataFrame:
-    """Latest count per key from the stored changes."""
+    """Latest values per key from the stored changes."""
     changes = spark.read.parquet(target)
-    return changes.groupBy(*keys).agg(F.max_by("n", "batch_id").alias("n"))
+    values = [c for c in changes.columns if c not in (*keys, "batch_id")]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
+    return newest.select(*keys, "_row.*")
 
 
 def append_stream(

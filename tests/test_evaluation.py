@@ -18,7 +18,7 @@ def result(item_id, status="restored", confidence=0.9, **metrics):
     }
 
 
-def write_report(root, run_id, results, mask="seed", restore="telea", dataset="d", name=None, **extra):
+def write_report(root, run_id, results, mask="seed", restore="fill", dataset="d", name=None, **extra):
     doc = {
         "run_id": run_id,
         "dataset_id": dataset,
@@ -52,36 +52,36 @@ def test_aggregate_pools_items_not_run_means(spark, tree):
     assert headers.count() == 3 and rejects.count() == 0
     groups = aggregate.aggregate_runs(results, headers=headers)
     assert rows(groups, "restore_provider", "run_count", "item_count", "mean_abs_diff") == [
+        ("fill", 2, 3, 3.0),
         ("noop", 1, 1, 0.0),
-        ("telea", 2, 3, 3.0),
     ]
-    ranged = aggregate.filter_runs(results, run_after=SECOND, run_before=SECOND, restore="telea")
+    ranged = aggregate.filter_runs(results, run_after=SECOND, run_before=SECOND, restore="fill")
     assert rows(aggregate.aggregate_runs(ranged), "run_count", "mean_abs_diff") == [(1, 4.0)]
-    assert rows(aggregate.merge_status_maps(headers, ["restore_provider"])) == [("noop", "restored", 1), ("telea", "restored", 3)]
+    assert rows(aggregate.merge_status_maps(headers, ["restore_provider"])) == [("fill", "restored", 3), ("noop", "restored", 1)]
 
 
 def test_reader_fallbacks_and_rejects(spark, tmp_path):
-    with_provider = {**result("i1"), "mask_provider": "seed", "restore_provider": "fill"}
+    with_provider = {**result("i1"), "mask_provider": "seed", "restore_provider": "first"}
     write_report(tmp_path, None, [with_provider], mask=None, restore=None, name="a.json")
     write_report(tmp_path, SECOND, [], name="empty.json")
     (tmp_path / "bad.json").write_text("{ not json")
     (tmp_path / "other.json").write_text(json.dumps({"dataset_id": "d"}))
     headers, results, rejects = reports.read_reports(spark, str(tmp_path))
     assert rows(headers, "run_id", "mask_provider", "restore_provider", "item_count") == [
-        ("20260101-000000-000001", "seed", "fill", 1),
-        (SECOND, "seed", "telea", 0),
+        ("20260101-000000-000001", "seed", "first", 1),
+        (SECOND, "seed", "fill", 0),
     ]
     assert rows(rejects, "reject_reason") == [("no results",), ("not parsable",)]
     groups = aggregate.aggregate_runs(results, headers=headers)
     assert rows(groups, "restore_provider", "run_count", "item_count", "mean_abs_diff") == [
-        ("fill", 1, 1, None),
-        ("telea", 1, 0, None),
+        ("fill", 1, 0, None),
+        ("first", 1, 1, None),
     ]
 
 
 def test_compare_with_itself_and_last_wins(spark, tree):
     _, results, _ = reports.read_reports(spark, str(tree))
-    one = results.filter((F.col("run_id") == SECOND) & (F.col("restore_provider") == "telea"))
+    one = results.filter((F.col("run_id") == SECOND) & (F.col("restore_provider") == "fill"))
     items = compare.compare_runs(one, one)
     assert rows(items, "item_id", "delta_mean_abs_diff") == [("i1", 0.0), ("i2", 0.0)]
     assert rows(compare.status_pairs(items)) == [("restored__restored", 2)]
@@ -95,7 +95,7 @@ def test_compare_with_itself_and_last_wins(spark, tree):
 
 def test_one_sided_items(spark, tree):
     _, results, _ = reports.read_reports(spark, str(tree))
-    base = results.filter("restore_provider = 'telea'")
+    base = results.filter("restore_provider = 'fill'")
     cand = results.filter("restore_provider = 'noop'")
     assert rows(compare.coverage(base, cand)) == [(1, 1, 0)]
     assert compare.compare_runs(base, cand).count() == 1
@@ -104,21 +104,21 @@ def test_one_sided_items(spark, tree):
 def test_trend_takes_the_latest_candidate(spark, tree):
     _, results, _ = reports.read_reports(spark, str(tree))
     rollup = aggregate.report_rollup(results)
-    trend = trends.trend_snapshot(rollup, ("seed", "telea"), ("seed", "noop"))
+    trend = trends.trend_snapshot(rollup, ("seed", "fill"), ("seed", "noop"))
     row = trend.filter("section = 'baseline_aggregate' and metric_key = 'mean_abs_diff'").first()
     assert (row.reference_run_count, row.candidate_run_id, row.delta, row.assessment) == (2, SECOND, -3.0, "improved")
     own = trend.filter("section = 'candidate_aggregate'")
     assert own.count() == 12 and trends.headlines(own).count() == 0
-    without = aggregate.aggregate_runs(results).filter("restore_provider = 'telea'")
-    only = trends.trend_snapshot(rollup, ("seed", "telea"), ("seed", "noop"), aggregates=without)
+    without = aggregate.aggregate_runs(results).filter("restore_provider = 'fill'")
+    only = trends.trend_snapshot(rollup, ("seed", "fill"), ("seed", "noop"), aggregates=without)
     assert rows(only.select("section").distinct()) == [("baseline_aggregate",)]
     assert trends.trend_snapshot(rollup, ("seed", "none"), ("seed", "noop")).count() == 0
-    assert trends.trend_snapshot(rollup, (None, "telea"), (None, "noop"), dataset="d").count() == 24
+    assert trends.trend_snapshot(rollup, (None, "fill"), (None, "noop"), dataset="d").count() == 24
 
 
 def evidence_rollup(spark, runs):
     data = [("d", m, r, run, f"{run}/{m}/{r}", "i1", "restored", 0.5, 1.0) for run in runs for m, r in
-            (("seed", "telea"), ("ocr", "telea"), ("seed", "lama"))]
+            (("seed", "fill"), ("ocr", "fill"), ("seed", "other"))]
     facts = spark.createDataFrame(
         data, "dataset_id string, mask_provider string, restore_provider string, run_id string, report_path string, "
         "item_id string, status string, confidence double, mean_abs_diff double"
@@ -127,7 +127,7 @@ def evidence_rollup(spark, runs):
     return aggregate.report_rollup(facts)
 
 
-BASE, CAND, OPTIONAL = ("seed", "telea"), ("ocr", "telea"), ("seed", "lama")
+BASE, CAND, OPTIONAL = ("seed", "fill"), ("ocr", "fill"), ("seed", "other")
 
 
 def test_evidence_ready(spark):
@@ -164,11 +164,11 @@ def test_evidence_missing_pair_and_dataset(spark):
 
 def test_review_labels_and_common_items(spark):
     labels = spark.createDataFrame(
-        [("brushnet", "run-base", 1), ("brushnet", "run-tuned", 2), ("telea", "r", 3), ("x", "", 4), ("x", None, 5)],
+        [("patch", "run-base", 1), ("patch", "run-tuned", 2), ("fill", "r", 3), ("x", "", 4), ("x", None, 5)],
         "label string, run_id string, pos int",
     )
     assert rows(review.dedupe_labels(labels, "label", "pos"), "pos", "unique_label") == [
-        (1, "brushnet@run-base"), (2, "brushnet@run-tuned"), (3, "telea"), (4, "x@1"), (5, "x@2"),
+        (1, "patch@run-base"), (2, "patch@run-tuned"), (3, "fill"), (4, "x@1"), (5, "x@2"),
     ]
     facts = spark.createDataFrame(
         [("a", "i1", "s1", 0.41, 1), ("b", "i1", "s2", 0.5, 2), ("a", "i2", "s3", 0.5, 3), ("b", "i1", "s4", 0.7, 4)],
@@ -225,6 +225,16 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.read_snapshot(spark, root, "20260101-a")) == [("i1", "20260101-a")]
 
 
+def test_result_table_prunes_partitions(spark, tree, tmp_path):
+    _, results, _ = reports.read_reports(spark, str(tree))
+    path = str(tmp_path / "facts")
+    sinks.write_results(results.drop("metrics"), path)
+    stored = aggregate.filter_runs(spark.read.parquet(path), "d", restore="fill")
+    assert rows(aggregate.aggregate_runs(stored), "run_count", "mean_abs_diff") == [(2, 3.0)]
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset_id" in plan
+
+
 def test_latest_artifact(spark):
     docs = spark.createDataFrame([("a", 1, "d1"), ("b", 3, "d1"), ("c", 5, "d2")], "path string, modified int, dataset_id string")
     assert rows(reports.latest_matching(docs, *reports.matches(dataset_id="d1", mask=None)), "path") == [("b",)]
