@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuseval.catalog.views import LINES, event_lines, table
 from corpuseval.functions.marktext import is_mark_text, retry_score
+from corpuseval.functions.sql import register_sql
 from corpuseval.operators import geometry, text
 
 CORNER = "bottom_left"
@@ -23,6 +24,25 @@ def mark_text_any_region(spark, sf):
     return lines.filter(is_mark_text(F.col("line"), F.lit(None).cast("string"))).select("doc_id", "line_no", "line")
 
 
+def mark_text_sql(spark, sf):
+    """``mark_text`` through the registered SQL function."""
+    register_sql(spark)
+    lines = text.document_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return lines.filter(f"is_mark_text(line, '{CORNER}')").select("doc_id", "line_no", "line")
+
+
+def flatten_lines_sql(spark, sf):
+    """Lines of a recogniser's parallel arrays through the table function."""
+    register_sql(spark)
+    event_lines(spark, sf).groupBy("event_id").agg(
+        F.array(F.max("polygon")).alias("polys"), F.array(F.max("text"), F.lit("cut")).alias("texts"),
+        F.array(F.max("score")).alias("scores"),
+    ).createOrReplaceTempView("recognised_events")
+    return spark.sql(
+        "SELECT event_id, l.text, l.score, l.polygon[0].x AS x FROM recognised_events, LATERAL flatten_lines(polys, texts, scores) AS l"
+    )
+
+
 def accept_lines(spark, sf):
     rows = text.accept_lines(event_lines(spark, sf))
     return rows.select(
@@ -126,7 +146,7 @@ def text_precision_recall(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        mark_text, mark_text_any_region, accept_lines, line_confidence, residual_score, cascade,
+        mark_text, mark_text_any_region, mark_text_sql, flatten_lines_sql, accept_lines, line_confidence, residual_score, cascade,
         flatten_lines, token_hits, token_hits_join, mark_audit_docs, mark_audit_pages,
         text_precision_recall,
     )
@@ -163,6 +183,8 @@ SELECT doc_id, line_no, token FROM flat_lines JOIN tokens ON contains(flat, toke
 ORACLES = {
     "mark_text": f"WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM judged WHERE by_corner",
     "mark_text_any_region": f"WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM judged WHERE by_token",
+    "mark_text_sql": f"WITH {_DOC_LINES} SELECT doc_id, line_no, line FROM judged WHERE by_corner",
+    "flatten_lines_sql": f"WITH {LINES} SELECT event_id, text, score, CAST(bx AS INT) AS x FROM raw_lines",
     "accept_lines": f"WITH {LINES} SELECT item_id, event_id, region, text, score, x1, y1, x2, y2 FROM accepted",
     "line_confidence": f"""WITH {LINES},
 a AS (SELECT item_id, count(*) AS n, avg(score) AS m FROM accepted GROUP BY item_id)

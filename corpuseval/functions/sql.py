@@ -32,15 +32,17 @@ def register_sql(spark: SparkSession, tokens: Sequence[str] = DEFAULT_TOKENS) ->
 
     The scalar ones are SQL functions: Catalyst inlines their bodies, no Python is involved.
     """
-    squash = f"translate(lower(t), {_literal(WHITESPACE)}, '')"
+    squash = f"translate(lower(coalesce(t, '')), {_literal(WHITESPACE)}, '')"
     regions = ", ".join(_literal(r) for r in MARK_REGIONS)
-    corner = f"coalesce(region IN ({regions}), false) AND length({squash}) >= 4"
+    corner = f"coalesce(region IN ({regions}), false) AND length(f) >= 4"
+    # The lambda variable holds the squashed line, which every test of the chain reads.
+    marked = f"{_any_of('f', tokens)} OR ({corner} AND {_any_of('f', [*DOMAIN_PARTS, *BUILT_IN_PHRASES])})"
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION squash_text(t STRING) RETURNS STRING RETURN {squash}"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION is_mark_text(t STRING, region STRING) RETURNS BOOLEAN "
-        f"RETURN {_any_of(squash, tokens)} OR ({corner} AND {_any_of(squash, [*DOMAIN_PARTS, *BUILT_IN_PHRASES])})"
+        f"RETURN exists(array({squash}), f -> {marked})"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION mask_iou(shared BIGINT, a BIGINT, b BIGINT) RETURNS DOUBLE "

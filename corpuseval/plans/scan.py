@@ -66,8 +66,10 @@ def route_items(items: DataFrame) -> DataFrame:
 def sequence_ids(items: DataFrame, partition: str = "dataset_id", order: str = "relative_path") -> DataFrame:
     """Add ``item_id`` such as ``regular-0001`` in path order per dataset."""
     numbered = ordered_number(items, partition, order, "_seq")
+    digits = F.col("_seq").cast("string")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
     return numbered.withColumn(
-        "item_id", F.format_string("%s-%04d", id_prefix(F.col(partition)), F.col("_seq"))
+        "item_id", F.concat(id_prefix(F.col(partition)), F.lit("-"), padded)
     ).drop("_seq")
 
 

@@ -23,6 +23,8 @@ def get_spark(app: str = "corpuseval", master: str | None = None, **conf: object
         # HotSpot does not compile methods above 8000 bytecodes; wide aggregates reach that.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
+        # Every column expression would record its Python call site.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
