@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuseval.catalog.views import EVAL, SCAN, POS_DESC, eval_results, event_k, scan_items, table
+from corpuseval.catalog.views import EVAL, SCAN, eval_results, event_k, scan_items, table
 from corpuseval.functions.classify import file_stem, name_hint
-from corpuseval.metrics import GROUP_KEYS
 from corpuseval.operators import keyed, profiles, runs, validate
 from corpuseval.operators.aggregate import category_counts as count_categories
 from corpuseval.plans import batch, scan

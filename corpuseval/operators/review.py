@@ -31,6 +31,13 @@ def provider_label(mask: Column, restore: Column) -> Column:
     )
 
 
+def review_key(item_id: Column, relative_path: Column) -> Column:
+    """Item id, else relative path; NULL for a result that has neither."""
+    return F.coalesce(
+        F.when(not_blank(item_id), F.trim(item_id)), F.when(not_blank(relative_path), F.trim(relative_path))
+    )
+
+
 def dedupe_labels(reports: DataFrame, label: str, order: str | Sequence[str], run: str = "run_id") -> DataFrame:
     """Add ``unique_label``: a repeated label gets ``@run_id``, or ``@ordinal`` where the run id is blank.
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from conftest import rows, write_png
 from corpuseval.functions import pixels
-from corpuseval.operators import images as image_ops, masks as mask_ops, runs, validate
+from corpuseval import schemas
+from corpuseval.operators import images as image_ops, masks as mask_ops, review, runs, text, validate
 from corpuseval.plans import batch, evaluate as ev, evidence, scan
-from corpuseval.sources import corpus, reports
+from corpuseval.sources import corpus, reports, sinks
 
 # Python workers cannot import this file, so its providers travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -260,3 +261,40 @@ def test_result_key_and_reconcile(spark):
     summary = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1)], "run_id string, v int")
     lines = spark.createDataFrame([("x", 10), ("y", 11), ("z", 12)], "run_id string, v int")
     assert rows(runs.reconcile_results(summary, lines)) == [("x", 1), ("x", 2), ("y", 11), ("z", 12)]
+
+
+def test_flat_batch_report(spark, tmp_path):
+    path = tmp_path / "results.jsonl"
+    full = {
+        "item": {"source_path": "/a", "relative_path": "a", "category": "c", "width": 1, "height": 1},
+        "status": "restored", "note": "", "mask_provider": "m", "restore_provider": "r", "mask_path": "/m",
+        "detection": {"category": "c", "mask_nonzero": 7, "confidence": 0.12345, "boxes": []},
+        "restore_meta": {"session_mode": "shared"}, "mask_latency_ms": 1.5,
+    }
+    path.write_text(json.dumps(full) + "\n" + json.dumps({"item": {"relative_path": "b"}, "status": "scanned"}))
+    flat = sinks.flat_batch(reports.read_results_jsonl(spark, str(path)))
+    assert flat.columns == sinks.BATCH_COLUMNS
+    got = rows(flat, "relative_path", "mask_nonzero", "confidence", "mask_latency_ms", "restore_latency_ms", "restore_session_mode")
+    assert got == [("a", "7", "0.1235", "1.500", "", "shared"), ("b", "0", "0.0000", "", "", "")]
+
+
+def test_stored_artifacts(spark, tmp_path):
+    for name, dataset in (("one", "d1"), ("two", "d1"), ("latest", "d9")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"dataset_id": dataset}, indent=1))
+    found = reports.read_artifacts(spark, str(tmp_path), schemas.struct(dataset_id=schemas.STRING))
+    assert rows(found, "dataset_id") == [("d1",), ("d1",)]
+    newest = reports.latest_matching(found, *reports.matches(dataset_id="d1")).first()
+    assert newest.path.endswith(("one.json", "two.json"))
+
+
+def test_nested_recogniser_entries(spark):
+    df = spark.createDataFrame(
+        [(1, [([(1, 2)], "t", 0.5), ([(3, 4)], "u", 0.6)])],
+        "i int, entries array<struct<polygon:array<struct<x:int,y:int>>,text:string,score:double>>",
+    )
+    assert rows(text.flatten_entries(df, "entries"), "line_no", "text", "score") == [(0, "t", 0.5), (1, "u", 0.6)]
+
+
+def test_review_key(spark):
+    df = spark.createDataFrame([(" a ", "p"), ("", " p "), (None, None)], "i string, r string")
+    assert rows(df.select(review.review_key(F.col("i"), F.col("r")).alias("k"))) == [("a",), ("p",), (None,)]
