@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuseval.catalog.views import EVAL, POOLED, POS_DESC, eval_results, table
+from corpuseval.functions.arrays import pack_mask
 from corpuseval.functions.runs import assessment, delta, looks_like_run_id, run_ts
 from corpuseval.metrics import CONFIDENCE, METRICS, headline_rank, preference
 from corpuseval.operators import aggregate, compare, evidence, keyed, review, trends
-from corpuseval.sources.sinks import AGGREGATE_COLUMNS, RUN_COLUMNS, flat_report
+from corpuseval.plans import compare as compare_job
+from corpuseval.sources.sinks import RUN_COLUMNS, flat_aggregate, flat_report
 
 BASELINE, CANDIDATE, OPTIONAL = ("F", "p0"), ("O", "p1"), ("O", "p9")
 PAIR_KEY = ["dataset_id", "restore_provider", "item_id"]
@@ -42,7 +44,8 @@ def status_map_report(spark, sf):
     counted = rows.groupBy("dataset_id", "mask_provider", "restore_provider", "status").agg(F.count(F.lit(1)).alias("n"))
     keys = ["dataset_id", "mask_provider", "restore_provider"]
     maps = aggregate.counts_to_map(counted, keys, "status", alias="status_counts")
-    return flat_report(maps, [c for c in AGGREGATE_COLUMNS if c in maps.columns])
+    flat = flat_aggregate(aggregate.aggregate_runs(rows), maps)
+    return flat.select(*keys, "run_count", "item_count", "status_counts")
 
 
 def dataset_counts(spark, sf):
@@ -93,6 +96,20 @@ def delta_summary(spark, sf):
     return compare.delta_summary(compare_items(spark, sf))
 
 
+def compare_masks(spark, sf):
+    """Comparison rows with mask overlap: many rows share a mask, some masks are missing."""
+    rows = eval_results(spark, sf).withColumn(
+        "mask_path", F.concat(F.lit("m/"), ((F.col("item_id").cast("int") * 7 + F.length("dataset_id") + F.ascii("mask_provider")) % 600).cast("string"))
+    )
+    masks = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("m/"), F.col("vec_id").cast("string")).alias("mask_path"), pack_mask(F.col("embedding")).alias("words")
+    )
+    parts = compare_job.compare_reports(
+        rows.filter("mask_provider = 'F'"), rows.filter("mask_provider = 'O'"), masks, PAIR_KEY, store=False
+    )
+    return parts["items"].select(*PAIR_KEY, "baseline_status", "candidate_status", "mask_iou", "mask_precision", "mask_recall")
+
+
 def status_pairs(spark, sf):
     return compare.status_pairs(compare_items(spark, sf))
 
@@ -232,7 +249,7 @@ QUERIES = {
     for f in (
         aggregate_runs, aggregate_filtered, aggregate_run_range, group_runs, status_counts,
         status_map_report, dataset_counts, merge_status_maps, report_summary, side_summary,
-        compare_items, compare_coverage, delta_summary, status_pairs, set_common,
+        compare_items, compare_masks, compare_coverage, delta_summary, status_pairs, set_common,
         set_baseline_only, union_datasets, latest_report, trend, headlines, assess_delta,
         evidence_gate, evidence_issues, distinct_issues, review_common, review_table,
         review_queue, review_queue_all, dedupe_labels, flat_run_report, run_id_shape,
@@ -365,9 +382,10 @@ ORACLES = {
 SELECT CASE WHEN grouping(dataset_id) = 1 THEN 'all' ELSE dataset_id END AS dataset_id, status, count(*) AS n
 FROM eval_results GROUP BY GROUPING SETS ((dataset_id, status), (status))""",
     "status_map_report": f"""WITH {EVAL},
-counted AS (SELECT {_GROUP}, status, count(*) AS n FROM eval_results GROUP BY ALL)
-SELECT {_GROUP}, '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}' AS status_counts
-FROM counted GROUP BY {_GROUP}""",
+counted AS (SELECT {_GROUP}, status, count(*) AS n FROM eval_results GROUP BY ALL),
+runs AS (SELECT {_GROUP}, count(DISTINCT report_path) AS run_count FROM eval_results GROUP BY ALL)
+SELECT {_GROUP}, CAST(max(run_count) AS VARCHAR) AS run_count, CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) AS item_count, '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}' AS status_counts
+FROM counted JOIN runs USING ({_GROUP}) GROUP BY {_GROUP}""",
     "dataset_counts": f"WITH {EVAL} SELECT dataset_id, count(*) AS item_count FROM eval_results GROUP BY dataset_id",
     "merge_status_maps": """
 WITH entries AS (
@@ -381,6 +399,16 @@ SELECT run_id, status, CAST(sum(n) AS BIGINT) AS n FROM entries GROUP BY run_id,
     ),
     "side_summary": f"WITH {EVAL} SELECT count(*) AS item_count, {POOLED}, round(avg(round(confidence, 6)), 6) AS mean_confidence FROM eval_results",
     "compare_items": f"{_PAIRED} SELECT * FROM items",
+    "compare_masks": f"""{_PAIRED},
+n AS (SELECT *, CAST(item_id AS INT) * 7 + 1 + ascii('F') AS fb, CAST(item_id AS INT) * 7 + 1 + ascii('O') AS fc FROM items),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+p AS (SELECT DISTINCT fb % 600 AS b, fc % 600 AS c FROM n),
+u AS (SELECT b, c, unnest(x.bits) AS s, unnest(y.bits) AS t FROM p JOIN v x ON x.vec_id = b JOIN v y ON y.vec_id = c),
+o AS (SELECT b, c, count(*) FILTER (s AND t) AS i, count(*) FILTER (s OR t) AS un, count(*) FILTER (s) AS nb, count(*) FILTER (t) AS nc FROM u GROUP BY b, c)
+SELECT dataset_id, restore_provider, item_id, baseline_status, candidate_status,
+       CASE WHEN un = 0 THEN 1.0 ELSE round(i / un, 6) END AS mask_iou, CASE WHEN un = 0 THEN 1.0 ELSE round(i / greatest(1, nc), 6) END AS mask_precision,
+       CASE WHEN un = 0 THEN 1.0 ELSE round(i / greatest(1, nb), 6) END AS mask_recall
+FROM n LEFT JOIN o ON o.b = fb % 600 AND o.c = fc % 600""",
     "compare_coverage": f"""WITH {EVAL},
 b AS (SELECT DISTINCT dataset_id, run_id, item_id, 1 AS hit FROM eval_results WHERE mask_provider = 'F'),
 c AS (SELECT DISTINCT dataset_id, run_id, item_id, 1 AS hit FROM eval_results WHERE mask_provider = 'O')

@@ -47,8 +47,9 @@ def compare_items(
     pairs: DataFrame,
     key: str | Sequence[str] = "item_id",
     metrics: Sequence[str] = METRICS,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Wide comparison rows of the common items."""
+    """Wide comparison rows of the common items; ``carried`` payload columns are kept per side."""
     columns = [
         *[F.col(k) for k in names(key)],
         F.col("b.relative_path").alias("relative_path"),
@@ -64,6 +65,9 @@ def compare_items(
             c.alias(f"candidate_{m}"),
             delta(b, c).alias(f"delta_{m}"),
         ]
+    columns += [
+        F.col(f"{side[0]}.{name}").alias(f"{side}_{name}") for name in carried for side in ("baseline", "candidate")
+    ]
     return pairs.filter("b is not null and c is not null").select(*columns)
 
 

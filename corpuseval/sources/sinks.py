@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuseval.metrics import CONFIDENCE, GROUP_KEYS, METRICS
+from corpuseval.metrics import CONFIDENCE, GROUP_KEYS, LATENCY_METRICS, METRICS
 
 # CSV column order of each report kind.
 RUN_COLUMNS = [
@@ -23,7 +23,7 @@ BATCH_COLUMNS = [
 ]
 AGGREGATE_COLUMNS = [
     "dataset_id", "mask_provider", "restore_provider", "run_count", "item_count", CONFIDENCE,
-    "status_counts", *METRICS,
+    "status_counts", *METRICS, "mean_mask_latency_ms", "mean_restore_latency_ms", "mean_ocr_residual_latency_ms",
 ]
 COMPARE_COLUMNS = [
     "item_id", "relative_path", "baseline_status", "candidate_status", "baseline_confidence",
@@ -81,6 +81,14 @@ def flat_batch(results: DataFrame) -> DataFrame:
     return flat_report(rows, BATCH_COLUMNS)
 
 
+def flat_aggregate(groups: DataFrame, status_maps: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
+    """Group aggregates with their status map as flat rows; the runs of a group are a table of their own."""
+    named = groups.join(status_maps, list(keys), "left").select(
+        "*", *[F.col(m).alias(f"mean_{m}") for m in LATENCY_METRICS]
+    )
+    return flat_report(named, AGGREGATE_COLUMNS)
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     """CSV folder with a header, one file per task; UTF-8 without a byte order mark."""
     flat = df if columns is None else flat_report(df, columns)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from corpuseval.metrics import METRICS
 from corpuseval.operators import aggregate, compare, evidence, review, trends
+from corpuseval.plans import compare as comparison
 from corpuseval.sources import reports, sinks
 
 
@@ -239,3 +240,18 @@ def test_latest_artifact(spark):
     docs = spark.createDataFrame([("a", 1, "d1"), ("b", 3, "d1"), ("c", 5, "d2")], "path string, modified int, dataset_id string")
     assert rows(reports.latest_matching(docs, *reports.matches(dataset_id="d1", mask=None)), "path") == [("b",)]
     assert reports.latest_matching(docs, F.col("dataset_id") == "none").count() == 0
+
+
+def test_whole_comparison_with_masks(spark, tree):
+    _, results, _ = reports.read_reports(spark, str(tree))
+    one = results.filter((F.col("run_id") == SECOND) & (F.col("restore_provider") == "fill")).withColumn(
+        "mask_path", F.when(F.col("item_id") == "i1", "m1").otherwise("gone")
+    )
+    masks = spark.createDataFrame([("m1", [3])], "mask_path string, words array<long>")
+    parts = comparison.compare_reports(one, one, masks)
+    assert rows(parts["items"], "item_id", "mask_iou", "delta_mean_abs_diff") == [("i1", 1.0, 0.0), ("i2", None, 0.0)]
+    assert rows(parts["overlap_summary"]) == [(1, 1.0, 1.0, 1.0)]
+    assert rows(parts["coverage"]) == [(2, 0, 0)] and rows(parts["status_pairs"]) == [("restored__restored", 2)]
+    assert parts["baseline_summary"].first().mean_abs_diff == 4.0
+    flat = sinks.flat_report(parts["items"], sinks.COMPARE_COLUMNS)
+    assert flat.columns == sinks.COMPARE_COLUMNS and flat.count() == 2
