@@ -94,6 +94,19 @@ BATCH_RESULT = struct(
     restore_latency_ms=DOUBLE,
 )
 
+RUN_SUMMARY = struct(
+    run_version=INT,
+    run_status=STRING,
+    run_id=STRING,
+    resume_count=LONG,
+    image_count=LONG,
+    completed_item_count=LONG,
+    pending_item_count=LONG,
+    category_counts=COUNT_MAP,
+    status_counts=COUNT_MAP,
+    results=T.ArrayType(BATCH_RESULT),
+)
+
 # Header fields that may appear in a scan manifest, a plan or a run manifest.
 MANIFEST = struct(
     scan_version=INT,

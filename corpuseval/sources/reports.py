@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from corpuseval.functions.runs import looks_like_run_id
 from corpuseval.metrics import METRICS
 from corpuseval.operators.validate import check_version
-from corpuseval.schemas import BATCH_RESULT, MANIFEST, REPORT
+from corpuseval.schemas import BATCH_RESULT, MANIFEST, REPORT, RUN_SUMMARY
 
 
 def _path_run_id(path: Column) -> Column:
@@ -101,6 +101,48 @@ def read_results_jsonl(spark: SparkSession, path: str, mode: str = "FAILFAST", s
     return good, parsed.filter(bad).select("source_file", F.col("value").alias("line"))
 
 
+def read_run_summaries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``(headers, results)`` of the runs below ``root``.
+
+    A run folder's ``summary.json`` is used when it can be parsed, else its ``reports/report.json``.
+    Only the paths are compared across files; the chosen documents are then read in place. Missing
+    header fields get their defaults: a completed run, no resumes, counts from the results.
+    """
+    schema = T.StructType([*RUN_SUMMARY.fields, T.StructField("_corrupt_record", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    docs = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "{summary,report}.json")
+        .text(root, wholetext=True)
+        .select(F.from_json("value", schema, options).alias("d"), F.col("_metadata.file_path").alias("summary_path"))
+        .select("d.*", "summary_path")
+        .withColumn("run_dir", F.regexp_replace("summary_path", "(/reports)?/[^/]+$", ""))
+    )
+    is_summary = F.col("summary_path").endswith("/summary.json")
+    in_place = is_summary | F.col("summary_path").endswith("/reports/report.json")
+    usable = docs.filter(F.col("_corrupt_record").isNull() & in_place)
+    chosen = usable.groupBy("run_dir").agg(
+        F.min_by("summary_path", F.when(is_summary, 0).otherwise(1)).alias("summary_path")
+    )
+    picked = usable.drop("_corrupt_record").join(chosen.select("summary_path"), "summary_path", "left_semi")
+    run_id = F.coalesce(F.nullif("run_id", F.lit("")), F.substring_index("run_dir", "/", -1))
+    loaded = F.coalesce(F.size("results"), F.lit(0)).cast("long")
+    total = F.coalesce("image_count", loaded)
+    headers = picked.select(
+        run_id.alias("run_id"),
+        "run_dir",
+        "summary_path",
+        F.coalesce("run_status", F.lit("completed")).alias("run_status"),
+        F.coalesce("resume_count", F.lit(0)).alias("resume_count"),
+        total.alias("image_count"),
+        F.coalesce("completed_item_count", loaded).alias("completed_item_count"),
+        F.coalesce("pending_item_count", F.greatest(F.lit(0).cast("long"), total - loaded)).alias("pending_item_count"),
+        "status_counts",
+    )
+    results = picked.select(run_id.alias("run_id"), F.inline("results"))
+    return headers, results
+
+
 def read_manifest(spark: SparkSession, path: str, version: int = 1, kind: str = "scan") -> tuple[DataFrame, DataFrame]:
     """``(header, items)`` of scan manifests, plans or run manifests (``kind`` names the version field).
 

@@ -298,3 +298,31 @@ def test_nested_recogniser_entries(spark):
 def test_review_key(spark):
     df = spark.createDataFrame([(" a ", "p"), ("", " p "), (None, None)], "i string, r string")
     assert rows(df.select(review.review_key(F.col("i"), F.col("r")).alias("k"))) == [("a",), ("p",), (None,)]
+
+
+def test_run_summaries_fall_back_and_reconcile(spark, tmp_path):
+    def entry(path, status="restored"):
+        return {"item": {"relative_path": path}, "status": status}
+
+    def put(run, name, text):
+        target = tmp_path / run / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text)
+
+    whole = {"run_id": "r1", "run_status": "interrupted", "image_count": 3, "resume_count": 1, "results": [entry("a")]}
+    put("r1", "summary.json", json.dumps(whole, indent=1))
+    put("r1", "reports/report.json", json.dumps({**whole, "run_status": "other"}))
+    put("r2", "summary.json", '{"run_id": "r2", "results": [')
+    put("r2", "reports/report.json", json.dumps({"results": [entry("a"), entry("b")]}))
+    put("r1", "results.jsonl", json.dumps(entry("a")) + "\n" + json.dumps(entry("b")) + "\n")
+    put("r2", "results.jsonl", json.dumps(entry("a")) + "\n")
+    headers, results = reports.read_run_summaries(spark, str(tmp_path))
+    assert rows(headers, "run_id", "run_status", "resume_count", "image_count", "completed_item_count", "pending_item_count") == [
+        ("r1", "interrupted", 1, 3, 1, 2), ("r2", "completed", 0, 2, 2, 0),
+    ]
+    key = results.select("run_id", "item.relative_path")
+    lines = None
+    for run in ("r1", "r2"):
+        part = reports.read_results_jsonl(spark, str(tmp_path / run / "results.jsonl")).select(F.lit(run).alias("run_id"), "item.relative_path")
+        lines = part if lines is None else lines.unionByName(part)
+    assert rows(runs.reconcile_results(key, lines)) == [("r1", "a"), ("r1", "b"), ("r2", "a"), ("r2", "b")]
