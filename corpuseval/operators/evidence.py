@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,7 +90,10 @@ def _judge(
     """One row per dataset: a struct per role and the issue list of either section."""
     roles = {"baseline": baseline, "candidate": candidate, "optional": optional or candidate}
     payload = F.struct("run_count", "latest_run_id", "latest_report")
-    # Not filtered by pair: a dataset that has none of them is judged as well.
+    if datasets is not None:
+        # Named datasets are joined back below, so the facts can be cut to the pairs at the scan.
+        rollup = rollup.filter(reduce(or_, [is_pair(pair) for pair in roles.values()]))
+    # Otherwise unfiltered: a dataset that has none of the pairs is judged as well.
     wide = pair_summary(rollup).groupBy("dataset_id").agg(
         *[F.max(F.when(is_pair(pair), payload)).alias(role) for role, pair in roles.items()]
     )
