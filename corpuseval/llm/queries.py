@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpuseval.llm import secrets
+from corpuseval.llm.decontaminate import find_leaks
+from corpuseval.llm.jaccard_join import join_texts
 from corpuseval.llm.language import predict_language
+from corpuseval.llm.line_dedup import repeated_lines
 from corpuseval.llm.lm_score import score_texts
 from corpuseval.llm.packing import pack_documents
+from corpuseval.llm.quality_rules import apply_rules
 from corpuseval.llm.token_counts import count_tokens
 from corpuseval.llm.toxicity import score_toxicity
 
@@ -17,10 +23,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
+    FROM documents
+), placed AS (
+    SELECT doc_id, k, line, length(line) AS length,
+        coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM cut
+), lines AS (
+    SELECT doc_id, start, length, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit,
+        trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
+    FROM placed WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), ranked AS (
+    SELECT *, length(plain) - length(replace(plain, ' ', '')) + 1 AS n_words,
+        first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS nth
+    FROM lines WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit)
+), runs AS (
+    SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE nth > 1
+), summed AS (
+    SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS words FROM runs
+)
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length,
+    CAST(n_words AS BIGINT) AS n_words, first_doc_id, CAST(first_start AS INTEGER) AS first_start
+FROM summed WHERE words >= 25
+"""
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,13 +82,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and verdicts; the query names a candidate by its digest only."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, secrets.train_on(secrets.labelled_findings(docs)))
+    return found.select("doc_id", "start", "length", F.sha2("text", 256).alias("digest"), "score", "is_secret")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_lm_score, op6_toxicity, op7_language, op8_token_counts, op10_best_fit_packing)}
+    found = [
+        op1_decontamination, op2_quality_rules, op3_lm_score, op4_line_dedup, op5_jaccard_join,
+        op6_toxicity, op7_language, op8_token_counts, op9_secret_scan, op10_best_fit_packing,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn from labels, use a vocabulary file or are too slow as SQL; tests compare them with brute force."""
+    return {"op4_line_dedup": OP4_SQL}
