@@ -22,18 +22,20 @@ own; a null id has no number to give to a component; other columns are not read;
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm.units import LOWER, chunks, coded, gather, split_units, spread, text_bytes
 from corpuseval.session import materialize, ship_package
 
 KEY_BITS = 24  # of a shingle's key within its partition; equal keys only ever let more texts pass
-PARTITION_BYTES = 24_000_000  # of text for each partition of step 1
+PARTITION_BYTES = 12_000_000  # of text for each partition of step 1
 NO_TEXT = 0xFFFF
+BATCH = 1000  # rows of an Arrow batch: texts and sets are large
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,6 +251,18 @@ def _size_fits(share: int) -> Column:
     return 100 * F.least("na", "nb") >= share * F.greatest("na", "nb")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the tables written inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -273,7 +287,8 @@ def join_texts(
     found = {r.p: r.id for r in numbers.collect()}
     buckets = [found.get(p, p) for p in range(partitions)]
     dealt = texts.mapInArrow(_split(partitions, buckets, size), SPLIT).repartition(partitions, "bucket")
-    seen = materialize(dealt.mapInArrow(_shared(warm_texts), FOUND))
+    with batches_of(spark, BATCH):
+        seen = materialize(dealt.mapInArrow(_shared(warm_texts), FOUND))
     sizes = seen.where("row_key is not null").groupBy("row_key").agg(F.max("n").alias("n"), F.sum("u").alias("u"))
     sizes = materialize(sizes)
     chosen = sizes.where((F.col("n") > 0) & (100 * F.col("u") >= share * F.col("n"))).select("row_key")
@@ -281,7 +296,9 @@ def join_texts(
         chosen = F.broadcast(chosen)
     often = seen.where("warm is not null").orderBy(F.desc("df"), "warm").limit(warm).select("warm", "df").toArrow().sort_by("warm")
     order = [often.column(i).to_numpy() for i in range(2)]
-    sets = materialize(texts.join(chosen, "row_key", "left_semi").mapInArrow(_ordered(partitions, *order, size, share), SETS))
+    similar = texts.join(chosen, "row_key", "left_semi")
+    with batches_of(spark, BATCH):
+        sets = materialize(similar.mapInArrow(_ordered(partitions, *order, size, share), SETS))
 
     classes = sets.groupBy("klass").agg(F.first("family").alias("family"), F.first("n").alias("n"))
     classes = materialize(classes)
@@ -294,7 +311,8 @@ def join_texts(
         """Links among pairs of classes; a leader's set is sent to its partners' partitions once per pair."""
         side = lambda name: members.select(F.col("klass").alias(name), F.col("members").alias(f"m{name}"))
         whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
-        return materialize(whole.mapInArrow(_verified(share), "a bigint, b bigint"))
+        with batches_of(spark, BATCH):
+            return materialize(whole.mapInArrow(_verified(share), "a bigint, b bigint"))
 
     def expanded(pairs: DataFrame) -> DataFrame:
         """Pairs of classes from pairs of groups (fa, fb), which may be one group twice."""
