@@ -346,7 +346,7 @@ def join_texts(
     more = verify(rest.join(tried, ["a", "b"], "left_anti"))
     final = components(links.union(more))
 
-    by_class = sets.select("row_key", "klass").join(final.withColumnRenamed("node", "klass"), "klass", "left")
+    by_class = sets.select("row_key", "klass").distinct().join(final.withColumnRenamed("node", "klass"), "klass", "left")
     nodes = by_class.select("row_key", F.coalesce("label", "klass").alias("label"))
     ids = rows.select("row_key", "doc_id").distinct().join(sizes.select("row_key", "n"), "row_key")
     ids = materialize(ids.join(nodes, "row_key", "left"))

@@ -1,0 +1,316 @@
+"""The text operators on small fixtures, against brute force, and on awkward rows."""
+
+from __future__ import annotations
+
+import collections
+import math
+import os
+import re
+import sys
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from corpuseval.llm import decontaminate, jaccard_join, language, line_dedup, lm_score, packing, quality_rules, secrets, toxicity
+from corpuseval.llm import token_counts
+from corpuseval.llm.subword import encoder
+from corpuseval.llm.units import coded, split_units, text_bytes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"wort{i % 977}x{i % 31}" for i in range(30_000))
+TEXTS = [
+    (1, "The quick brown fox jumps over the lazy dog near the river bank today. It said hello."),
+    (1, "The quick brown fox jumps over the lazy dog near the river bank today. It said hello."),
+    (2, "the quick brown fox jumps over the lazy dog near the river bank today. it said hello."),
+    (3, None), (4, ""), (5, " \t\n "), (6, "one"), (7, LONG), (8, LONG + " end"), (None, "no id here but some words stand in a row"),
+    (9, "café  naïve\n\n　 it's <|endoftext|> \U0001f600 a\x1cb  tail \n"), (10, "x" * 5000),
+]
+SCHEMA = "doc_id bigint, text string, lang string, hits int, n int, row_key string, word string"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame([(i, t, None if i == 6 else "en", 1, 2, "k", "w") for i, t in TEXTS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def given_docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def given_labels(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+
+
+def rows_by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("aB1 é'.,<|\n ß"))), max_size=5))
+def test_units_and_ids_equal_the_library(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    for file in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tokens = encoder(file)
+        units, of_text = split_units(*text_bytes(pa.array(texts, pa.string())), keep_space=not tokens.word_ends)
+        assert [u.strip(" ") for u in units.to_pylist()] == [w for t in texts for w in WORD.findall(t)]
+        codes, names = coded(units)
+        offsets, ids = tokens.encode(names)
+        for k, name in enumerate(names.to_pylist()):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == tokens.library.encode(name, add_special_tokens=False).ids
+
+
+def test_token_counts(awkward, empty, given_docs):
+    library = encoder("byte_bpe_50k.json").library
+    size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    want = collections.Counter()
+    for i, t in TEXTS:
+        want[i] += size(t)
+    got = rows_by_id(token_counts.count_tokens(awkward, hot_units=3))
+    assert {i: r.n_tokens for i, r in got.items()} == dict(want)
+    assert got[7].over_limit and not got[3].over_limit and got[3].n_bytes == 0
+    got = rows_by_id(token_counts.count_tokens(given_docs))
+    for r in given_docs.collect():
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].n_bytes) == (size(r.text), len(r.text.encode()))
+    assert token_counts.count_tokens(empty).count() == 0
+
+
+def test_packing(awkward, empty, given_docs):
+    library = encoder("word_bpe_49k.json").library
+    for docs in (awkward, given_docs):
+        places, want = collections.defaultdict(list), collections.Counter()
+        rows = packing.pack_documents(docs, shard=40).collect()
+        for r in rows:
+            places[r.sequence_id].append((r.offset, r.length))
+        for own in places.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 4096
+        for r in docs.collect():
+            ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+            for k, at in enumerate(range(0, len(ids), 4096)):
+                cut = ids[at : at + 4096]
+                want[r.doc_id, k, at, len(cut), zlib.crc32(cut.tobytes())] += 1
+        assert want == collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_packing_is_near_the_bound():
+    rng = np.random.default_rng(0)
+    lengths = np.clip(rng.lognormal(6.5, 1, 5000).astype(np.int64), 1, 4096)
+    sequence, _ = packing.pack(lengths, 4096)
+    assert np.bincount(sequence, weights=lengths).max() <= 4096
+    assert sequence.max() + 1 <= math.ceil(lengths.sum() / 4096) * 1.01 + 1
+
+
+def brute_components(texts, size=5, share=75):
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= share * (len(sets[a]) + len(sets[b]) - both):
+                label = [label[b] if x == label[a] else x for x in label]
+    return sets, label
+
+
+def test_jaccard_join(spark, awkward, empty, given_docs):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 400, 60)]
+    texts = []
+    for k in range(60):  # a chain of drifting copies, copies of copies, and texts sharing one passage
+        if k % 3 == 0:
+            base[int(rng.integers(0, 60))] = f"n{k}"
+        texts.append(" ".join(base) if k % 2 else " ".join([*base[:30], *[f"u{k}_{i}" for i in range(40)]]))
+    texts += [texts[1].upper(), "a b", "A b", "", None, "  "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for frame in (docs, given_docs):
+        rows = frame.select("doc_id", "text").orderBy("doc_id").collect()
+        sets, label = brute_components([r.text for r in rows])
+        least = {}
+        for r, x in zip(rows, label, strict=True):
+            least.setdefault(x, r.doc_id)
+        got = rows_by_id(jaccard_join.join_texts(frame, warm_texts=2))
+        for r, s, x in zip(rows, sets, label, strict=True):
+            assert (got[r.doc_id].n_shingles, got[r.doc_id].component_id) == (len(s), least[x])
+    got = jaccard_join.join_texts(awkward).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(dict.fromkeys([i for i, _ in TEXTS], 1))
+    assert {r.doc_id: r.component_id for r in got if r.doc_id in (1, 2, 7, 8)} == {1: 1, 2: 1, 7: 7, 8: 7}
+    assert jaccard_join.join_texts(empty).count() == 0
+
+
+def test_gaps_round_trip():
+    for keys in ([0], [5, 70_000, 200_000], [65_535, 131_070, 131_071]):
+        assert jaccard_join._ungaps(jaccard_join._gaps(np.array(keys))).tolist() == keys
+
+
+def test_line_dedup(spark, awkward, empty):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame(
+        [(1, f"head\n{passage}\ntail"), (2, f"other\n\n{passage.upper()}  \nend"), (3, "short\nshort"), (4, passage.replace(" p15 ", "\np15 ")),
+         (5, passage.replace(" p15 ", "\np15 "))],
+        "doc_id bigint, text string",
+    )
+    got = {(r.doc_id, r.start, r.length, r.first_doc_id, r.first_start) for r in line_dedup.repeated_lines(docs).collect()}
+    left = len(" ".join(f"p{i}" for i in range(15)))
+    assert got == {(2, 7, len(passage) + 2, 1, 5), (5, 0, left, 4, 0), (5, left + 1, len(passage) - left - 1, 4, left + 1)}
+    ids = collections.Counter(r.doc_id for r in line_dedup.repeated_lines(awkward, min_words=5).collect())
+    assert ids == {1: 1, 2: 1}
+    assert line_dedup.repeated_lines(empty).count() == 0
+
+
+def test_decontamination(spark, awkward, empty):
+    item = "The committee shall review every proposal within thirty days, and publish its reasons in full, so that all members can reply."
+    edited = item.replace("thirty", "twenty").upper()
+    far = " ".join(w[::-1] for w in item.split())
+    docs = spark.createDataFrame(
+        [(1, f"Intro. {item} End."), (2, "a\n" + edited.replace(" ", "\n ")), (3, far), (None, item), (5, None)], "doc_id bigint, text string"
+    )
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "short"), (None, "")], "item_id bigint, text string")
+    for chars in (1_000_000, 40):
+        got = decontaminate.find_leaks(docs, bench, block_chars=chars).collect()
+        assert {(r.doc_id, r.item_id, r.edits > 0) for r in got} == {(1, 7, False), (2, 7, True), (None, 7, False)}
+        assert [(r.start, r.end) for r in got if r.doc_id == 1] == [(7, 7 + len(item))]
+    assert decontaminate.find_leaks(awkward, bench).count() == 0
+    assert decontaminate.find_leaks(empty, bench).count() == 0
+    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_quality_rules(spark, awkward, empty, given_docs, given_labels):
+    got = quality_rules.apply_rules(awkward, given_labels.limit(0)).collect()
+    assert len(got) == len(TEXTS)
+    by = {r.doc_id: r for r in got}
+    assert by[3].n_words == by[4].n_words == by[5].word_chars == 0 and by[3].base_failed and not by[3].kept
+    assert by[7].n_words == 30_000 and by[7].n_repeat_words == 0
+    tail = spark.createDataFrame([(1, "a b c d e x\na b c d e\na b c d e")], "doc_id bigint, text string")
+    row = quality_rules.statistics(tail).first()
+    assert (row.n_words, row.n_dup_lines, row.n_repeat_words) == (16, 1, 15)
+    assert quality_rules.apply_rules(empty, given_labels).count() == 0
+    kept = rows_by_id(quality_rules.apply_rules(given_docs, given_labels))
+    right = [kept[r.doc_id].kept == bool(r.quality) for r in given_labels.collect() if not kept[r.doc_id].base_failed]
+    assert np.mean(right) > 0.85
+
+
+def test_decision_list_finds_a_conjunction():
+    x = np.random.default_rng(1).random((3000, len(quality_rules.FEATURES)))
+    bad = (x[:, 2] > 0.7) & (x[:, 4] < 0.4)
+    rules = quality_rules.learn_rules(x, bad)
+    met = np.any([r.meets(x) for r in rules], axis=0)
+    assert (met == bad).mean() > 0.97
+
+
+def test_secrets(spark, awkward, empty):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [(i, f'set token = "{key[:-1]}{i % 10}" here') for i in range(30)]
+    texts += [(100 + i, f"see commit {key[:-1]}{i % 10} and card 4111111111111{i:03d} paid") for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("__x", F.lit(1))
+    forest = secrets.train_on(secrets.labelled_findings(docs))
+    got = secrets.scan_secrets(docs, forest).collect()
+    assert {r.doc_id for r in got if r.is_secret} == set(range(30))
+    assert sum(not r.is_secret for r in got) == 60
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert clean[3] == 'set token = "[SECRET]" here' and clean[101] == texts[31][1]
+    assert secrets.redact(awkward, forest).columns == awkward.columns
+    assert secrets.redact(awkward, forest).count() == len(TEXTS)
+    none = secrets.train_on(secrets.labelled_findings(empty))
+    assert secrets.scan_secrets(docs, none).where("is_secret").count() == 0
+
+
+def test_toxicity(spark, awkward, empty, given_docs, given_labels):
+    rows, marks = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, f"this text number w{i} is " + ("Dummkopf!" if i % 8 == 0 else "schurkisch." if bad else "fine.")))
+        marks.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([*marks, (None, 1), (5, None)], "doc_id bigint, toxic int")
+    got = rows_by_id(toxicity.score_toxicity(docs, labels))
+    assert all(got[i].predicted == t for i, t in marks) and {r.held_out for r in got.values()} == {True, False}
+    got = toxicity.score_toxicity(awkward, labels.limit(0)).collect()
+    assert len(got) == len(TEXTS) and all(r.score == 0 and r.predicted == 0 for r in got)
+    assert toxicity.score_toxicity(empty, given_labels).count() == 0
+    assert toxicity.score_toxicity(given_docs, given_labels).where("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_grammar_reads_clauses():
+    grammar = toxicity.Grammar.composed()
+    kinds = lambda *c: grammar.read(np.array(c))[:6].tolist()
+    assert kinds(0, 1, 0) == [1, 0, 0, 0, 0, 0]
+    assert kinds(3, 1) == [1, 1, 0, 0, 0, 0]
+    assert kinds(4, 0, 1) == [1, 0, 1, 0, 0, 0]
+    assert kinds(4, 0, 0, 0, 1) == [1, 0, 0, 0, 0, 0]
+    assert kinds(5, 0, 1) == [1, 0, 0, 1, 0, 0]
+    assert kinds(2, 3) == [0, 0, 0, 0, 1, 1]
+
+
+def test_language(awkward, empty, given_docs):
+    got = rows_by_id(language.predict_language(given_docs))
+    right = [got[r.doc_id].lang_pred == r.lang for r in given_docs.collect() if r.n_chars > 60]
+    assert np.mean(right) > 0.98
+    got = language.predict_language(awkward).collect()
+    assert len(got) == len(TEXTS)
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == {3, 4, 5}
+    assert all(0 <= r.score <= 1 for r in got)
+    assert language.predict_language(empty).count() == 0
+
+
+def test_language_products_are_those_of_bound_vectors():
+    p = np.random.default_rng(0).standard_normal((2, language.DIMENSIONS))
+    codes = np.array([0, 77, 4096 * 3 + 64 * 9 + 5, 262143])
+    assert np.allclose(language.products(p)[codes], language.bound(codes).astype(float) @ p.T, atol=1e-2)
+
+
+def test_lm_score(awkward, empty, given_docs):
+    for docs in (given_docs, awkward):
+        rows = [(r.doc_id, [*WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or "")), ""]) for r in docs.collect()]
+        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        c = collections.Counter(w for i, words in rows if not held(i) for w in words)
+        n, v = sum(c.values()), len(c)
+        base, tokens, known = collections.Counter(), collections.Counter(), collections.Counter()
+        for i, words in rows:
+            tokens[i] += len(words)
+            known[i] += sum(c[w] > 0 for w in words)
+            base[i] += sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words)
+        got = rows_by_id(lm_score.score_texts(docs, steps=20, hot=50))
+        for i in base:
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), tokens[i], known[i], n)
+            assert r.base_score == pytest.approx(base[i], rel=1e-9) and r.score < 0
+    assert lm_score.score_texts(empty, steps=2).count() == 0
+
+
+def test_lm_windows_score_each_subword_once():
+    vocabulary = lm_score.Vocabulary.of(np.ones(lm_score.END + 1))
+    bounds = np.array([0, 3, 3, 60, 84])
+    _, place, text = lm_score.windows(np.zeros(84, dtype=np.int64), bounds, vocabulary)
+    assert sorted(place[place >= 0].tolist()) == list(range(84)) and set(text) == {0, 2, 3}
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    vocabulary = lm_score.Vocabulary.of(rng.integers(0, 50, lm_score.END + 1))
+    ids = rng.integers(0, 300, 2000)
+    model = lm_score.fit(vocabulary, ids, np.array([0, 2000]), steps=3)
+    ends = np.arange(lm_score.END + 1)
+    runs = np.column_stack([np.full(len(ends), 17), ends]).ravel()
+    both = lm_score.score(model, vocabulary, runs, np.arange(0, len(runs) + 1, 2))
+    one = lm_score.score(model, vocabulary, np.array([17]), np.array([0, 1]))[0]
+    assert (10 ** (both - one)).sum() == pytest.approx(1, abs=1e-3)
