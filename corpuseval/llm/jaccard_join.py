@@ -8,7 +8,7 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Two texts li
    chunk holds several times is counted there, so a frequent one is one small entry per chunk.
 2. The remaining texts order their sets by frequency (of the ``warm`` most frequent shingles, by exact count; the rest count
    as rare) and hash. Texts with equal sets are one class; classes with the same size and prefix are one group.
-3. Groups meet in the lists of their prefix shingles. First each group is paired only with a few leaders of every list, and
+3. Groups meet in the lists of their prefix shingles. First each group is paired only with a few leaders of its ``LISTS`` fullest lists, and
    classes are expanded and verified. Components of these links are found, and then every pair of a list that is still
    in different components is tried. Pairs inside a component are left out: no component changes by them. So copies
    and near copies of one text cost one pair each, and no link between components is lost.
@@ -27,14 +27,16 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuseval.llm.units import LOWER, chunks, coded, gather, split_units, spread, text_bytes
 from corpuseval.session import materialize, ship_package
 
 KEY_BITS = 24  # of a shingle's key within its partition; equal keys only ever let more texts pass
-PARTITION_BYTES = 12_000_000  # of text for each partition of step 1
+PARTITION_BYTES = 24_000_000  # of text for each partition of step 1
 NO_TEXT = 0xFFFF
+LISTS = 3  # of each group, those with most groups, whose leaders it meets first
 BATCH = 1000  # rows of an Arrow batch: texts and sets are large
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -326,7 +328,9 @@ def join_texts(
         F.count("*").alias("many"), F.min("family").alias("l1"), F.max("family").alias("l2"),
         F.min_by("family", F.struct("n", "family")).alias("l3"), F.max_by("family", F.struct("n", "family")).alias("l4"),
     ).where("many > 1")
-    pairs = lists.join(leaders, "token").select("family", F.explode(F.array_distinct(F.array("l1", "l2", "l3", "l4"))).alias("other"))
+    fullest = W.partitionBy("family").orderBy(F.desc("many"), "token")
+    chosen_lists = lists.join(leaders, "token").withColumn("nth", F.row_number().over(fullest)).where(F.col("nth") <= LISTS)
+    pairs = chosen_lists.select("family", F.explode(F.array_distinct(F.array("l1", "l2", "l3", "l4"))).alias("other"))
     first = pairs.where("family <> other").select(F.least("family", "other").alias("fa"), F.greatest("family", "other").alias("fb")).distinct()
     inner = kin.groupBy("family").agg(F.count("*").alias("many"), F.min("klass").alias("head")).where("many > 1")
     inside = kin.join(inner, "family").where("klass <> head").select(F.least("klass", "head").alias("a"), F.greatest("klass", "head").alias("b"))
