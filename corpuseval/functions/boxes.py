@@ -85,12 +85,17 @@ def rescale(value: Column, scale: Column, offset: Column | int = 0) -> Column:
     return F.bround(value * scale).cast("int") + shift
 
 
+def _area(width: Column, height: Column) -> Column:
+    """Pixels of a frame; the product of two ints can pass the int range."""
+    return width.cast("bigint") * height
+
+
 def mask_ratio(nonzero: Column, width: Column, height: Column) -> Column:
-    return F.round(nonzero / F.greatest(F.lit(1), width * height), 6)
+    return F.round(nonzero / F.greatest(F.lit(1), _area(width, height)), 6)
 
 
 def mask_confidence(nonzero: Column, width: Column, height: Column) -> Column:
-    frame = F.greatest(F.lit(1.0), width * height * F.lit(FULL_CONFIDENCE_SHARE))
+    frame = F.greatest(F.lit(1.0), _area(width, height) * F.lit(FULL_CONFIDENCE_SHARE))
     return F.least(F.lit(1.0), nonzero / frame)
 
 
@@ -151,7 +156,7 @@ def edge_impact(
                     F.lit(edge).alias("edge"),
                     kept_width.alias("kept_width"),
                     kept_height.alias("kept_height"),
-                    F.round(removed / F.greatest(F.lit(1), width * height), 6).alias("removed_ratio"),
+                    F.round(removed / F.greatest(F.lit(1), _area(width, height)), 6).alias("removed_ratio"),
                 ),
             )
         )

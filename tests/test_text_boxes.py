@@ -198,3 +198,13 @@ def test_profiles(spark):
     good, bad = profiles.resolve_profiles(asked, known, {"mask": "dm", "restore": "dr"})
     assert rows(good, "id", "mask", "restore") == [(1, "m1", "dr"), (2, "x", "dr"), (3, "dm", "y")]
     assert rows(bad, "id") == [(4,)]
+
+
+def test_areas_beyond_the_int_range(spark):
+    from pyspark.sql import functions as F
+
+    from corpuseval.functions import boxes
+
+    frame = spark.createDataFrame([(9_000_000, 60_000, 60_000)], "n bigint, w int, h int")
+    row = frame.select(boxes.mask_ratio(F.col("n"), F.col("w"), F.col("h")).alias("r")).first()
+    assert row.r == 0.0025
