@@ -8,9 +8,9 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Two texts li
    chunk holds several times is counted there, so a frequent one is one small entry per chunk.
 2. The remaining texts order their sets by frequency (of the ``warm`` most frequent shingles, by exact count; the rest count
    as rare) and hash. Texts with equal sets are one class; classes with the same size and prefix are one group.
-3. Groups meet in the lists of their prefix shingles. First each group is paired only with a few leaders of its ``LISTS`` fullest lists, and
-   classes are expanded and verified. Components of these links are found, and then every pair of a list that is still
-   in different components is tried. Pairs inside a component are left out: no component changes by them. So copies
+3. Groups meet in the lists of their prefix shingles. First each group is paired only with the two leaders of
+   each of its ``LISTS`` fullest lists, and classes are expanded and verified on their texts. Components of these links are
+   found, and then every pair of a list that is still in different components is tried, if its places there allow a link. Pairs inside a component are left out: no component changes by them. So copies
    and near copies of one text cost one pair each, and no link between components is lost.
 4. Components of all verified links carry the smallest id.
 
@@ -26,6 +26,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from corpuseval.session import materialize, ship_package
 KEY_BITS = 24  # of a shingle's key within its partition; equal keys only ever let more texts pass
 PARTITION_BYTES = 24_000_000  # of text for each partition of step 1
 NO_TEXT = 0xFFFF
-LISTS = 3  # of each group, those with most groups, whose leaders it meets first
+LISTS = 3  # of each group, those with most groups, whose two leaders it meets first
 BATCH = 1000  # rows of an Arrow batch: texts and sets are large
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,15 +90,19 @@ def global_key(h: np.ndarray, partitions: int) -> np.ndarray:
     return (part << KEY_BITS) | key
 
 
-SPLIT = "bucket bigint, part bigint, keys binary, refs binary, ids array<bigint>, often binary, row_key bigint, n bigint, u bigint"
-NAMES = ["bucket", "part", "keys", "refs", "ids", "often", "row_key", "n", "u"]
+SPLIT = "bucket bigint, part bigint, chunk bigint, keys binary, refs binary, often binary, ids array<bigint>, n binary, u binary"
+NAMES = ["bucket", "part", "chunk", "keys", "refs", "often", "ids", "n", "u"]
 
 
 def _split(partitions: int, buckets: list[int], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of two kinds: a text with its set's size and how many of it the chunk repeats; a chunk's keys for a partition."""
+    """Rows of two kinds: a chunk's texts with their sets' sizes and how many of each the chunk repeats; its keys for a partition.
+
+    A chunk's number comes from its partition, so a retried task gives the same ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, 1):
+        base = TaskContext.get().partitionId() << 32
+        for number, chunk in enumerate(chunks(batches, 1), start=base):
             ids = chunk.column(0).to_numpy(zero_copy_only=False)
             h, rows = shingle_sets(chunk.column(1), size)
             part, key = _place(h, partitions)
@@ -107,27 +112,18 @@ def _split(partitions: int, buckets: list[int], size: int) -> Callable[[Iterator
             starts = np.flatnonzero(new)
             counts = np.diff(np.append(starts, len(at)))
             alone = np.repeat(counts == 1, counts)
-            n = np.bincount(rows, minlength=len(ids))
-            own = np.bincount(rows[~alone], minlength=len(ids))
-            none = lambda kind, k=len(ids): pa.nulls(k, kind)
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids ^ (ids >> 7)), *[none(k) for k in kinds], pa.array(ids), pa.array(n), pa.array(own)], names=NAMES
-            )
+            n = np.bincount(rows, minlength=len(ids)).astype("<u4").tobytes()
+            own = np.bincount(rows[~alone], minlength=len(ids)).astype("<u4").tobytes()
+            out = [(number, None, number, None, None, None, ids, n, own)]
             values, parts, refs = key[starts], part[starts], np.where(counts == 1, rows[starts], NO_TEXT)
             ends = np.searchsorted(parts, np.arange(partitions + 1))
-            out: list[list] = [[] for _ in range(6)]
             for p in np.flatnonzero(np.diff(ends)):
-                v, r, c = (a[ends[p] : ends[p + 1]] for a in (values, refs, counts))
-                used = np.unique(r[r != NO_TEXT])
-                local = np.where(r == NO_TEXT, NO_TEXT, np.searchsorted(used, r))
-                packed = (buckets[p], int(p), _gaps(v), local.astype("<u2").tobytes())
-                for column, value in zip(out, (*packed, ids[used], c[r == NO_TEXT].astype("<u2").tobytes()), strict=True):
-                    column.append(value)
-            m = len(out[0])
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(m, pa.int64())] * 3], names=NAMES)
+                v, r, c = (x[ends[p] : ends[p + 1]] for x in (values, refs, counts))
+                often = c[r == NO_TEXT].astype("<u2").tobytes()
+                out.append((buckets[p], int(p), number, _gaps(v), r.astype("<u2").tobytes(), often, None, None, None))
+            kinds = [*[pa.int64()] * 3, *[pa.binary()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 2]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
 
     return run
 
@@ -147,28 +143,29 @@ def _ungaps(raw: bytes) -> np.ndarray:
     return np.cumsum(steps)[steps != 0xFFFF]
 
 
-FOUND = "row_key bigint, n bigint, u bigint, warm bigint, df bigint"
+FOUND = "chunk bigint, ids array<bigint>, n binary, u binary, refs binary, warm bigint, df bigint"
 
 
 def _shared(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """How many of each text's keys other texts have; and the keys of at least ``least`` texts with their counts."""
+    """How many of each text's keys other chunks have, one row per chunk; and the keys of at least ``least`` texts with their counts."""
+    names = ["chunk", "ids", "n", "u", "refs", "warm", "df"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, counts, names = [], [], [], ["row_key", "n", "u", "warm", "df"]
+        keys, owners, counts, numbers = [], [], [], []
         for batch in batches:
             texts = batch.filter(batch.column(1).is_null())
-            if texts.num_rows:
-                none = pa.nulls(texts.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*texts.columns[6:], none, none], names=names)
+            if k := texts.num_rows:
+                columns = [texts.column(2), *texts.columns[6:], pa.nulls(k, pa.binary()), *[pa.nulls(k, pa.int64())] * 2]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
             for row in batch.filter(batch.column(1).is_valid()).select(NAMES[1:6]).to_pylist():
                 refs = np.frombuffer(row["refs"], dtype="<u2").astype(np.int64)
-                own = np.array([*row["ids"], 0], dtype=np.int64)
                 many = refs == NO_TEXT
                 count = np.ones(len(refs), dtype=np.int64)
-                count[many] = np.frombuffer(row["often"], dtype="<u2")
+                count[many] = -np.frombuffer(row["often"], dtype="<u2").astype(np.int64)
                 keys.append(row["part"] << KEY_BITS | _ungaps(row["keys"]))
-                owners.append(own[np.where(many, -1, refs)])
-                counts.append(np.where(many, -count, count))
+                owners.append(len(numbers) << 16 | refs)
+                counts.append(count)
+                numbers.append(row["chunk"])
         if not keys:
             return
         key, owner, count = (np.concatenate(x) for x in (keys, owners, counts))
@@ -178,18 +175,43 @@ def _shared(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         df = np.add.reduceat(np.abs(count), starts)
-        shared = np.repeat(sizes > 1, sizes) & (count > 0)
-        ids, n = np.unique(owner[shared], return_counts=True)
-        zero, none = pa.array(np.zeros(len(ids), dtype=np.int64)), pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids), zero, pa.array(n), none, none], names=names)
+        found, n = np.unique(owner[np.repeat(sizes > 1, sizes) & (count > 0)], return_counts=True)
+        ends = np.searchsorted(found >> 16, np.arange(len(numbers) + 1))
+        out = []
+        for k in np.flatnonzero(np.diff(ends)):
+            refs, u = (x[ends[k] : ends[k + 1]] for x in (found & 0xFFFF, n))
+            out.append((numbers[k], u.astype("<u4").tobytes(), refs.astype("<u2").tobytes()))
+        chunk, u, refs = zip(*out, strict=True) if out else ((), (), ())
+        m, long = len(out), pa.int64()
+        arrays = [pa.array(chunk, long), pa.nulls(m, pa.list_(long)), pa.nulls(m, pa.binary()), pa.array(u, pa.binary()), pa.array(refs, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(m, long), pa.nulls(m, long)], names=names)
         warm = df >= least
-        none = pa.nulls(int(warm.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(key[starts][warm]), pa.array(df[warm])], names=names)
+        m = int(warm.sum())
+        none = [pa.nulls(m, k) for k in (long, pa.list_(long), pa.binary(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(key[starts][warm]), pa.array(df[warm])], names=names)
 
     return run
 
 
-SETS = "row_key bigint, n bigint, klass bigint, family bigint, prefix array<bigint>, members binary"
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's set size and shared shingles, from its chunk's rows, which all come to one task."""
+    texts: dict[int, dict] = {}
+    more: dict[int, list[tuple[bytes, bytes]]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["refs"] is None:
+                texts[row["chunk"]] = row
+            else:
+                more.setdefault(row["chunk"], []).append((row["refs"], row["u"]))
+    for chunk, row in texts.items():
+        u = np.frombuffer(row["u"], dtype="<u4").astype(np.int64)
+        for refs, count in more.pop(chunk, []):
+            u[np.frombuffer(refs, dtype="<u2")] += np.frombuffer(count, dtype="<u4")
+        n = np.frombuffer(row["n"], dtype="<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(n), pa.array(u)], names=["row_key", "n", "u"])
+
+
+SETS = "row_key bigint, n bigint, klass bigint, family bigint, prefix array<bigint>"
 
 
 def _ordered(
@@ -214,23 +236,24 @@ def _ordered(
             family = _mixed(sums[ends[:-1] + long] - sums[ends[:-1]] + n.astype(np.uint64))
             take = gather(ends[:-1], long)
             prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(long)]).astype(np.int32), pa.array(h[take].view(np.int64)))
-            whole = pa.array([h[ends[k] : ends[k + 1]].tobytes() for k in range(chunk.num_rows)], pa.binary())
-            arrays = [chunk.column(0), pa.array(n), pa.array(klass.view(np.int64)), pa.array(family.view(np.int64)), prefix, whole]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row_key", "n", "klass", "family", "prefix", "members"])
+            arrays = [chunk.column(0), pa.array(n), pa.array(klass.view(np.int64)), pa.array(family.view(np.int64)), prefix]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row_key", "n", "klass", "family", "prefix"])
 
     return run
 
 
-def _verified(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verified(size: int, share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) of texts whose sets are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (left, right))
-                both = np.sort(np.concatenate([a, b]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= share * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for chunk in chunks(batches, 2):
+            (h, rows), (g, others) = (shingle_sets(chunk.column(k), size) for k in (2, 3))
+            h, rows = np.concatenate([h, g]), np.concatenate([rows, others])
+            order = np.lexsort((h, rows))
+            h, rows = h[order], rows[order]
+            both = np.bincount(rows[1:][(h[1:] == h[:-1]) & (rows[1:] == rows[:-1])], minlength=chunk.num_rows)
+            union = np.bincount(rows, minlength=chunk.num_rows) - both
+            yield chunk.select(["a", "b"]).filter(pa.array(100 * both >= share * union))
 
     return run
 
@@ -253,6 +276,14 @@ def _size_fits(share: int) -> Column:
     return 100 * F.least("na", "nb") >= share * F.greatest("na", "nb")
 
 
+def _places_fit(share: int) -> Column:
+    """Whether two sets that first meet at these places of their order can share enough shingles.
+
+    A pair must pass at its first common shingle only: nothing before it is common, so what follows bounds the intersection.
+    """
+    return (100 + share) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= share * (F.col("na") + F.col("nb"))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for the tables written inside."""
@@ -291,8 +322,9 @@ def join_texts(
     dealt = texts.mapInArrow(_split(partitions, buckets, size), SPLIT).repartition(partitions, "bucket")
     with batches_of(spark, BATCH):
         seen = materialize(dealt.mapInArrow(_shared(warm_texts), FOUND))
-    sizes = seen.where("row_key is not null").groupBy("row_key").agg(F.max("n").alias("n"), F.sum("u").alias("u"))
-    sizes = materialize(sizes)
+        by_chunk = seen.where("chunk is not null").select("chunk", "ids", "n", "u", "refs").repartition(partitions, "chunk")
+        sizes = by_chunk.mapInArrow(_summed, "row_key bigint, n bigint, u bigint")
+        sizes = materialize(sizes.groupBy("row_key").agg(F.max("n").alias("n"), F.sum("u").alias("u")))
     chosen = sizes.where((F.col("n") > 0) & (100 * F.col("u") >= share * F.col("n"))).select("row_key")
     if chosen.count() <= broadcast_rows:
         chosen = F.broadcast(chosen)
@@ -302,19 +334,32 @@ def join_texts(
     with batches_of(spark, BATCH):
         sets = materialize(similar.mapInArrow(_ordered(partitions, *order, size, share), SETS))
 
-    classes = sets.groupBy("klass").agg(F.first("family").alias("family"), F.first("n").alias("n"))
-    classes = materialize(classes)
-    heads = sets.join(classes.groupBy("family").agg(F.min("klass").alias("klass")), ["family", "klass"]).dropDuplicates(["family"])
-    lists = heads.select(F.explode("prefix").alias("token"), "family", "n")
-    members = sets.groupBy("klass").agg(F.first("members").alias("members"))
+    classes = materialize(
+        sets.groupBy("klass").agg(F.first("family").alias("family"), F.first("n").alias("n"), F.min("row_key").alias("row_key"))
+    )
     kin = classes.select("family", "klass", "n")
+    heads = classes.groupBy("family").agg(F.min("row_key").alias("row_key"))
+    heads = sets.join(heads, ["family", "row_key"]).dropDuplicates(["family"])
+    lists = heads.select(F.posexplode("prefix").alias("place", "token"), "family", "n")
+    # leaders: the set in which the list's shingle comes earliest, so with the fewest rarer ones, and the smallest
+    leaders = lists.groupBy("token").agg(
+        F.count("*").alias("many"),
+        F.min("family").alias("l1"),
+        F.min_by("family", F.struct(F.col("place") / F.col("n"), "family")).alias("l2"),
+    ).where("many > 1")
+    lists = materialize(lists.join(leaders, "token"))
+
+    named_texts = classes.select("klass", "row_key")
+    if named_texts.count() <= broadcast_rows:
+        named_texts = F.broadcast(named_texts)
+    whole = materialize(texts.join(named_texts, "row_key").select("klass", "text").dropDuplicates(["klass"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Links among pairs of classes; a leader's set is sent to its partners' partitions once per pair."""
-        side = lambda name: members.select(F.col("klass").alias(name), F.col("members").alias(f"m{name}"))
-        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb")
+        """Links among pairs of classes. Texts take less room than their sets."""
+        side = lambda name: whole.select(F.col("klass").alias(name), F.col("text").alias(f"t{name}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
         with batches_of(spark, BATCH):
-            return materialize(whole.mapInArrow(_verified(share), "a bigint, b bigint"))
+            return materialize(both.mapInArrow(_verified(size, share), "a bigint, b bigint"))
 
     def expanded(pairs: DataFrame) -> DataFrame:
         """Pairs of classes from pairs of groups (fa, fb), which may be one group twice."""
@@ -323,15 +368,10 @@ def join_texts(
         both = pairs.join(left, "fa").join(right, "fb").where("ka <> kb").where(_size_fits(share))
         return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
 
-    # leaders: the smallest by two orders, and by size
-    leaders = lists.groupBy("token").agg(
-        F.count("*").alias("many"), F.min("family").alias("l1"), F.max("family").alias("l2"),
-        F.min_by("family", F.struct("n", "family")).alias("l3"), F.max_by("family", F.struct("n", "family")).alias("l4"),
-    ).where("many > 1")
     fullest = W.partitionBy("family").orderBy(F.desc("many"), "token")
-    chosen_lists = lists.join(leaders, "token").withColumn("nth", F.row_number().over(fullest)).where(F.col("nth") <= LISTS)
-    pairs = chosen_lists.select("family", F.explode(F.array_distinct(F.array("l1", "l2", "l3", "l4"))).alias("other"))
-    first = pairs.where("family <> other").select(F.least("family", "other").alias("fa"), F.greatest("family", "other").alias("fb")).distinct()
+    own_lists = lists.withColumn("nth", F.row_number().over(fullest)).where(F.col("nth") <= LISTS)
+    pairs = own_lists.select("family", F.explode(F.array_distinct(F.array("l1", "l2"))).alias("other")).where("family <> other")
+    first = materialize(pairs.select(F.least("family", "other").alias("fa"), F.greatest("family", "other").alias("fb")).distinct())
     inner = kin.groupBy("family").agg(F.count("*").alias("many"), F.min("klass").alias("head")).where("many > 1")
     inside = kin.join(inner, "family").where("klass <> head").select(F.least("klass", "head").alias("a"), F.greatest("klass", "head").alias("b"))
     links = verify(expanded(first).union(inside).distinct())
@@ -339,13 +379,13 @@ def join_texts(
     labels = components(links)
     named = kin.join(labels.withColumnRenamed("node", "klass"), "klass", "left").withColumn("label", F.coalesce("label", "klass"))
     named = materialize(named)
-    each = lists.select("token", "family").union(kin.select(F.col("family").alias("token"), "family")).distinct()
-    spots = each.join(named, "family").select("token", "klass", "n", "label")
+    each = lists.select("token", "family", "place").union(kin.select(F.col("family").alias("token"), "family", F.lit(0)).distinct())
+    spots = each.join(named, "family").select("token", "klass", "n", "place", "label")
     mixed = spots.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     open_spots = materialize(spots.join(mixed, "token"))
-    left = open_spots.select("token", F.col("klass").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = open_spots.select("token", F.col("klass").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = left.join(right, "token").where("a < b and la <> lb").where(_size_fits(share)).select("a", "b").distinct()
+    side = lambda x: [F.col(old).alias(new + x) for old, new in (("klass", ""), ("n", "n"), ("place", "p"), ("label", "l"))]
+    left, right = open_spots.select("token", *side("a")), open_spots.select("token", *side("b"))
+    rest = left.join(right, "token").where("a < b and la <> lb").where(_size_fits(share) & _places_fit(share)).select("a", "b").distinct()
     tried = expanded(first).union(inside)
     more = verify(rest.join(tried, ["a", "b"], "left_anti"))
     final = components(links.union(more))
