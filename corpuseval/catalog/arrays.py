@@ -56,6 +56,17 @@ def mask_overlap(spark, sf):
     return _overlaps(spark, sf).select("vec_id", "mask_iou", "mask_precision", "mask_recall")
 
 
+def mask_shape_guard(spark, sf):
+    """Masks of 8 x 8 next to masks of 7 x 8, which take one word as well."""
+    low = F.col("vec_id") % 3 == 0
+    rows = vectors(spark, sf).select(
+        "vec_id", fa.pack_mask(F.when(low, F.slice("embedding", 1, 56)).otherwise(F.col("embedding"))).alias("words"),
+        F.when(low, 7).otherwise(8).alias("words_height"), F.lit(8).alias("words_width"),
+    )
+    pairs = masks.consecutive_pairs(rows, "vec_id", ["words", "words_height", "words_width"])
+    return masks.mask_overlap(pairs, "a_words", "b_words").select("vec_id", "mask_shape_differs", "mask_iou")
+
+
 def overlap_summary(spark, sf):
     return compare.overlap_summary(_overlaps(spark, sf))
 
@@ -102,7 +113,7 @@ def _evaluated(spark, sf):
         F.when(F.col("label") == 0, "cover_heavy").otherwise("portrait_regular").alias("source_category"),
     )
     images = ev.gray_images(rows, F.col("pixels"), 8, 8).drop("pixels")
-    return ev.evaluate(images, "bright", "mid_fill", skip_cover=True, check_rows=False)
+    return ev.evaluate(images, "bright", "mid_fill", check_rows=False)
 
 
 def evaluate(spark, sf):
@@ -119,7 +130,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mask_nonzero, mask_ratios, changed_nonzero, mean_abs_diff, edge_delta, mask_overlap,
-        overlap_summary, tone_fractions, evaluate, evaluate_statuses,
+        mask_shape_guard, overlap_summary, tone_fractions, evaluate, evaluate_statuses,
     )
 }
 
@@ -144,7 +155,7 @@ overlap AS (
 _EVALUATED = f"""WITH {VECTORS},
 s AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, vec_id, label, len(list_filter(pixels, lambda p: p > 200)) AS nz,
              list_sum(list_transform(pixels, lambda p: CASE WHEN p > 200 THEN abs(p - 128) ELSE 0 END)) AS total FROM vectors),
-t AS (SELECT *, CASE WHEN label = 0 THEN 'skipped_cover' WHEN vec_id % 50 = 8 THEN 'mask_provider_unavailable'
+t AS (SELECT *, CASE WHEN vec_id % 50 = 8 THEN 'mask_provider_unavailable'
              WHEN vec_id % 50 = 9 THEN 'mask_provider_error' WHEN nz = 0 THEN 'no_mask' WHEN vec_id % 50 = 11 THEN 'restore_provider_error'
              ELSE 'restored' END AS status FROM s)"""
 
@@ -161,6 +172,10 @@ e AS (SELECT vec_id,
   (CASE WHEN i % 8 < 7 THEN abs(bp[i + 2] - bp[i + 1]) ELSE 0 END + CASE WHEN i < 56 THEN abs(bp[i + 9] - bp[i + 1]) ELSE 0 END) > 60 AS y FROM g)
 SELECT vec_id, round(count(*) FILTER (x <> y) * 255.0::DOUBLE / 64, 6) AS edge_delta FROM e GROUP BY vec_id""",
     "mask_overlap": f"{_OVERLAP} SELECT * FROM overlap",
+    "mask_shape_guard": f"""{_OVERLAP},
+full_pairs AS (SELECT vec_id, CASE WHEN u = 0 THEN 1.0 ELSE round(i / u, 6) END AS iou FROM n)
+SELECT vec_id, (vec_id % 3 = 0) <> ((vec_id + 1) % 3 = 0) AS mask_shape_differs,
+       CASE WHEN (vec_id % 3 = 0) = ((vec_id + 1) % 3 = 0) THEN iou END AS mask_iou FROM full_pairs""",
     "overlap_summary": f"""{_OVERLAP} SELECT count(mask_iou) AS paired_count, round(avg(mask_iou), 6) AS mean_iou,
        round(avg(mask_precision), 6) AS mean_precision, round(avg(mask_recall), 6) AS mean_recall FROM overlap""",
     "tone_fractions": f"""WITH {VECTORS},
@@ -170,10 +185,10 @@ SELECT vec_id, round(avg(CASE WHEN p < 110 THEN 1.0 ELSE 0.0 END), 6) AS dark_fr
     "evaluate": f"""{_EVALUATED}
 SELECT item_id, status,
        CASE WHEN status IN ('no_mask', 'restore_provider_error', 'restored') THEN nz / 100 END AS confidence,
-       CASE WHEN status = 'skipped_cover' THEN NULL WHEN status LIKE 'mask_provider%' THEN 0.0 ELSE CAST(nz AS DOUBLE) END AS mask_nonzero,
-       CASE WHEN status = 'skipped_cover' THEN NULL WHEN status LIKE 'mask_provider%' THEN 0.0 ELSE round(nz / 64, 6) END AS mask_ratio,
-       CASE WHEN status = 'skipped_cover' THEN NULL WHEN status = 'restored' THEN CAST(nz AS DOUBLE) ELSE 0.0 END AS changed_nonzero,
-       CASE WHEN status = 'skipped_cover' THEN NULL WHEN status = 'restored' THEN round(total / 64, 6) ELSE 0.0 END AS mean_abs_diff
+       CASE WHEN status LIKE 'mask_provider%' THEN 0.0 ELSE CAST(nz AS DOUBLE) END AS mask_nonzero,
+       CASE WHEN status LIKE 'mask_provider%' THEN 0.0 ELSE round(nz / 64, 6) END AS mask_ratio,
+       CASE WHEN status = 'restored' THEN CAST(nz AS DOUBLE) ELSE 0.0 END AS changed_nonzero,
+       CASE WHEN status = 'restored' THEN round(total / 64, 6) ELSE 0.0 END AS mean_abs_diff
 FROM t""",
     "evaluate_statuses": f"{_EVALUATED} SELECT 'vectors' AS dataset_id, status, count(*) AS n FROM t GROUP BY status",
 }

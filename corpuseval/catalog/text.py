@@ -95,9 +95,7 @@ def flatten_lines(spark, sf):
             "texts", lambda t, i: F.array(F.struct(i.alias("x"), F.length(t).alias("y")))
         ).alias("polys"),
         "texts",
-        F.transform(
-            F.slice("texts", F.lit(1), F.greatest(F.size("texts") - 1, F.lit(0))), lambda t: (F.length(t) % 100) / F.lit(100.0)
-        ).alias("scores"),
+        F.transform("texts", lambda t: (F.length(t) % 100) / F.lit(100.0)).alias("scores"),
     )
     flat = text.flatten_lines(shaped, "polys", "texts", "scores")
     return flat.select("doc_id", "line_no", "text", "score", F.get("polygon", F.lit(0))["y"].alias("y"))
@@ -211,8 +209,8 @@ SELECT i.item_id, coalesce(n.mask_nonzero, 0) AS mask_nonzero,
        CASE b.stage WHEN 0 THEN 'primary' WHEN 1 THEN 'primary,retry' ELSE 'primary,retry,fallback' END AS attempts
 FROM items i LEFT JOIN best b USING (item_id) LEFT JOIN nonzero n ON n.item_id = i.item_id AND n.stage = b.stage""",
     "flatten_lines": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-u AS (SELECT doc_id, len(parts) AS n, CAST(unnest(range(len(parts))) AS INT) AS line_no, unnest(parts) AS text FROM s)
-SELECT doc_id, line_no, text, (length(text) % 100) / 100.0::DOUBLE AS score, CAST(length(text) AS INT) AS y FROM u WHERE line_no < n - 1""",
+u AS (SELECT doc_id, CAST(unnest(range(len(parts))) AS INT) AS line_no, unnest(parts) AS text FROM s)
+SELECT doc_id, line_no, text, (length(text) % 100) / 100.0::DOUBLE AS score, CAST(length(text) AS INT) AS y FROM u""",
     "token_hits": _TOKEN_HITS,
     "token_hits_join": _TOKEN_HITS,
     "mark_audit_docs": f"""WITH {_DOC_LINES},

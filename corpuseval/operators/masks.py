@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, functions as F
 from corpuseval.functions.arrays import and_count, overlap_scores, popcount
 from corpuseval.operators.keyed import lookup_join, names
 
+SHAPE = ("height", "width")
+
 
 def mask_overlap(pairs: DataFrame, baseline: str = "baseline_words", candidate: str = "candidate_words", drop: bool = True) -> DataFrame:
     """Add ``mask_iou``, ``mask_precision``, ``mask_recall`` from packed masks.
 
-    NULL when a mask is missing or the sizes differ; ``mask_shape_differs`` marks the latter.
+    NULL when a mask is missing or the shapes differ; ``mask_shape_differs`` marks the latter. Shapes are the columns
+    ``<mask>_height`` and ``<mask>_width`` of ``attach_masks``; without them only the number of words can be compared.
     """
     b, c = F.col(baseline), F.col(candidate)
+    shapes = [s for s in SHAPE if {f"{baseline}_{s}", f"{candidate}_{s}"} <= set(pairs.columns)]
     differs = F.size(b) != F.size(c)
+    for s in shapes:
+        differs = differs | ~F.col(f"{baseline}_{s}").eqNullSafe(F.col(f"{candidate}_{s}"))
     counted = (
         pairs.withColumn("mask_shape_differs", F.when(b.isNotNull() & c.isNotNull(), differs))
         .withColumn("_comparable", F.coalesce(~F.col("mask_shape_differs"), F.lit(False)))
@@ -25,7 +31,8 @@ def mask_overlap(pairs: DataFrame, baseline: str = "baseline_words", candidate:
         .withColumn("_c", F.when(F.col("_comparable"), popcount(c)))
     )
     scores = overlap_scores(F.col("_shared"), F.col("_b"), F.col("_c"))
-    gone = {"_comparable", "_shared", "_b", "_c"} | ({baseline, candidate} if drop else set())
+    used = {baseline, candidate, *[f"{m}_{s}" for m in (baseline, candidate) for s in shapes]}
+    gone = {"_comparable", "_shared", "_b", "_c"} | (used if drop else set())
     return counted.select(
         *[x for x in counted.columns if x not in gone],
         *[F.when(F.col("_comparable"), s).alias(f"mask_{n}") for n, s in scores.items()],
@@ -33,11 +40,13 @@ def mask_overlap(pairs: DataFrame, baseline: str = "baseline_words", candidate:
 
 
 def attach_masks(rows: DataFrame, masks: DataFrame, path_col: str, alias: str) -> DataFrame:
-    """Packed mask words of ``masks(mask_path, words)`` by path; NULL when the path or file is missing.
+    """Packed words of ``masks(mask_path, words, height, width)`` by path, and ``<alias>_height`` and ``<alias>_width``.
 
-    One mask may serve many rows (a shared seed), so hot paths are salted.
+    NULL when the path or file is missing. One mask may serve many rows (a shared seed), so hot paths are salted.
     """
-    unique = masks.groupBy(F.col("mask_path").alias(path_col)).agg(F.first("words").alias(alias))
+    shape = [F.col(s).alias(f"{alias}_{s}") for s in SHAPE if s in masks.columns]
+    mask = F.first(F.struct(F.col("words").alias(alias), *shape)).alias("_mask")
+    unique = masks.groupBy(F.col("mask_path").alias(path_col)).agg(mask).select(path_col, "_mask.*")
     return lookup_join(rows, unique, path_col, "left")
 
 

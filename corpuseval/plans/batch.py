@@ -11,6 +11,7 @@ from corpuseval.operators.keyed import last_wins
 from corpuseval.operators.runs import pending_items
 from corpuseval.operators.validate import check_version, count_mismatch
 from corpuseval.plans.evaluate import evaluate
+from corpuseval.session import materialize
 from corpuseval.sources.sinks import read_snapshot, write_snapshot
 
 PLAN_VERSION = 1
@@ -63,18 +64,24 @@ def run_batch(
     transform_provider: str,
     run_id: str,
     scan_only: bool = False,
-) -> DataFrame:
-    """Result rows of a run. Items whose provider failed are left out, so they stay pending."""
+) -> tuple[DataFrame, DataFrame]:
+    """``(results, failures)`` of a run. Failures have a provider's status and note; not being results, they stay pending.
+
+    The rows are stored once, so that no provider runs twice for the two tables.
+    """
     if scan_only:
-        return images.select(
+        scanned = images.select(
             "item_id",
             "relative_path",
             F.lit("scanned").alias("status"),
             F.lit("scan_only").alias("note"),
             F.lit(run_id).alias("run_id"),
         )
+        return scanned, scanned.limit(0)
     results = evaluate(images, mask_provider, transform_provider, skip_cover=True, check_rows=False)
-    return results.filter(~F.col("status").contains("_provider_")).withColumn("run_id", F.lit(run_id))
+    stored = materialize(results.withColumn("run_id", F.lit(run_id)))
+    failed = F.col("status").contains("_provider_")
+    return stored.filter(~failed), stored.filter(failed)
 
 
 def resume_batch(
@@ -85,8 +92,8 @@ def resume_batch(
     transform_provider: str,
     run_id: str,
     key: str = "relative_path",
-) -> DataFrame:
-    """Result rows of the items still pending; empty when there are none.
+) -> tuple[DataFrame, DataFrame]:
+    """``(results, failures)`` of the items still pending; empty when there are none.
 
     Keys are matched on the narrow manifest first. Pixels are joined last and only for pending
     items, and an append of the returned rows twice is undone by ``merged_results``.

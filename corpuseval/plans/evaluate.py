@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from time import perf_counter
 from typing import Any, Protocol
 
@@ -55,7 +56,11 @@ class TransformProvider(Protocol):
 
 
 class SeedMask:
-    """The prepared mask in column ``seed_mask`` (packed words); empty when missing."""
+    """The prepared mask in column ``seed_mask`` (packed words); empty when missing.
+
+    A mask of another shape than the frame is an error. Its shape is in ``seed_mask_height`` and ``seed_mask_width``;
+    without them the words must at least be as many as the frame needs, and hold nothing beyond it.
+    """
 
     def detect(self, item: dict[str, Any], image: np.ndarray) -> MaskOutput:
         height, width = image.shape[:2]
@@ -63,6 +68,9 @@ class SeedMask:
         if words is None:
             return MaskOutput(np.zeros((height, width), np.uint8), meta={"note": "missing seed mask"})
         bits = np.unpackbits(np.asarray(words, dtype="<i8").view(np.uint8), bitorder="little")
+        shape = (item.get("seed_mask_height", height), item.get("seed_mask_width", width))
+        if shape != (height, width) or len(words) != -(-height * width // 64) or bits[height * width :].any():
+            raise ValueError(f"seed mask of another shape than the frame of {height} x {width}")
         mask = bits[: height * width].reshape(height, width)
         return MaskOutput(mask, 1.0 if mask.any() else 0.0)
 
@@ -142,6 +150,18 @@ def _mask_metrics(mask: np.ndarray) -> dict[str, float | None]:
     }
 
 
+def _mask_cells(found: MaskOutput) -> dict[str, Any]:
+    if np.ndim(found.mask) != 2:
+        raise ValueError("a mask has height and width")
+    return {
+        **_mask_metrics(found.mask),
+        "confidence": round(float(found.confidence), 4),
+        "boxes": found.boxes,
+        "mask_words": pixels.pack(found.mask),
+        "mask_meta": found.meta,
+    }
+
+
 def _call(function, *args):
     """``(output, failure, note, milliseconds)``; failure is None, ``unavailable`` or ``error``."""
     start = perf_counter()
@@ -154,27 +174,28 @@ def _call(function, *args):
 
 
 def _evaluate_item(item, image, masker, transformer, scorer, skip_cover):
+    """``image`` is called for the pixels; what it or a provider's output raises is a status as well."""
     row: dict[str, Any] = {"status": "", "note": "", "confidence": None}
     if skip_cover and item.get("source_category") == COVER:
         return {**row, "status": "skipped_cover", "note": "cover item"}
+    image, failure, note, _ = _call(image)
+    if failure:
+        return {**row, "status": "decode_provider_error", "note": note}
     found, failure, note, mask_ms = _call(masker.detect, item, image)
+    if not failure:
+        cells, failure, note, _ = _call(_mask_cells, found)
     if failure:
         empty = np.zeros(image.shape[:2], np.uint8)
         return {**row, **_mask_metrics(empty), "status": f"mask_provider_{failure}", "note": note, "mask_words": pixels.pack(empty)}
-    row.update(_mask_metrics(found.mask))
-    row.update(
-        confidence=round(float(found.confidence), 4),
-        boxes=found.boxes,
-        mask_words=pixels.pack(found.mask),
-        mask_meta=found.meta,
-        mask_latency_ms=round(mask_ms, 3),
-    )
+    row.update(cells, mask_latency_ms=round(mask_ms, 3))
     if row["mask_nonzero"] == 0:
         return {**row, "status": "no_mask", "note": "the mask is empty"}
     made, failure, note, restore_ms = _call(transformer.restore, item, image, found.mask)
+    if not failure:
+        changes, failure, note, _ = _call(lambda: pixels.change_metrics(image, made.restored))
     if failure:
         return {**row, "status": f"restore_provider_{failure}", "note": note}
-    row.update(pixels.change_metrics(image, made.restored))
+    row.update(changes)
     row.update(
         restore_latency_ms=round(restore_ms, 3),
         restore_meta=made.meta,
@@ -193,6 +214,10 @@ def _evaluate_item(item, image, masker, transformer, scorer, skip_cover):
     return row
 
 
+def _decoded(record: dict[str, Any]) -> np.ndarray:
+    return pixels.decode(record["data"], *(int(record[c]) for c in ("height", "width", "nChannels")))
+
+
 def evaluate(
     items: DataFrame,
     mask_provider: str,
@@ -220,7 +245,7 @@ def evaluate(
             details = [c for c in batch.columns if c != "data"]
             rows = []
             for record in batch.to_dict("records"):
-                image = pixels.decode(*(record[c] for c in ("data", "height", "width", "nChannels")))
+                image = partial(_decoded, record)
                 item = {c: record[c] for c in details}
                 row = dict.fromkeys(columns)
                 row.update({c: record[c] for c in CARRIED})

@@ -165,6 +165,28 @@ def test_seed_masks(spark):
     ]
 
 
+@pytest.mark.parametrize(("height", "width", "set_bits"), [(8, 16, 128), (2, 8, 16), (4, 5, 20)])
+def test_seed_mask_of_another_shape_is_an_error(spark, height, width, set_bits):
+    mask = np.zeros(height * width, np.uint8)
+    mask[:set_bits] = 1
+    words = [int(x) for x in pixels.pack(mask)]
+    plain = spark.createDataFrame([("m", words)], "mask_path string, words array<long>")
+    items = eval_images(spark, "f").withColumn("seed_mask_path", F.lit("m"))
+    shaped = plain.withColumn("height", F.lit(height)).withColumn("width", F.lit(width))
+    for masks in (shaped, plain) if set_bits > 16 else (shaped,):
+        got = ev.evaluate(ev.with_seed_masks(items, masks), "seed_manifest", "noop")
+        assert rows(got, "status") == [("mask_provider_error",)]
+
+
+def test_odd_pixels_and_outputs_are_rows(spark, providers):
+    made = {"none": None, "flat": np.zeros(16)}
+    for name, mask in made.items():
+        ev.MASK_PROVIDERS[name] = lambda mask=mask: type("Odd", (), {"detect": lambda s, i, im: ev.MaskOutput(mask, 1.0)})()
+        assert rows(ev.evaluate(eval_images(spark, "f"), name, "fill"), "status", "mask_nonzero") == [("mask_provider_error", 0.0)]
+    blank = eval_images(spark, "f").withColumn("data", F.lit(None).cast("binary"))
+    assert rows(ev.evaluate(blank, "fussy", "fill"), "item_id", "status", "mask_nonzero") == [("f", "decode_provider_error", None)]
+
+
 def test_repeated_evidence(spark, providers):
     made = evidence.repeated_evidence(eval_images(spark, "fh"), ("fussy", "fill"), ("fussy", "noop"), repetitions=2)
     assert rows(made["sections"], "section", "status", "overall_status", "baseline_run_count") == [
@@ -177,20 +199,21 @@ def test_repeated_evidence(spark, providers):
 
 def test_batch_resume(spark, providers):
     items = eval_images(spark, "bf")
-    first = batch.run_batch(items, "fussy", "fill", "run-1")
+    first, failures = batch.run_batch(items, "fussy", "fill", "run-1")
     assert rows(first, "item_id", "status") == [("f", "restored")]
+    assert [(r.item_id, r.run_id, "_provider_" in r.status, bool(r.note)) for r in failures.collect()] == [("b", "run-1", True, True)]
     progress = runs.run_progress(spark.createDataFrame([("run-1", 2)], "run_id string, image_count long"), first)
     assert rows(progress) == [("run-1", 2, 1, 1)]
     ev.MASK_PROVIDERS["steady"] = lambda: type("Steady", (), {"detect": lambda s, i, im: ev.MaskOutput(np.ones((4, 4)), 1.0)})()
     manifest = items.select("relative_path")
-    second = batch.resume_batch(manifest, first, items, "steady", "fill", "run-1")
-    assert rows(second, "item_id", "status") == [("b", "restored")]
+    second, failures = batch.resume_batch(manifest, first, items, "steady", "fill", "run-1")
+    assert rows(second, "item_id", "status") == [("b", "restored")] and failures.count() == 0
     both = first.unionByName(second)
-    assert batch.resume_batch(manifest, both, items, "steady", "fill", "run-1").count() == 0
+    assert batch.resume_batch(manifest, both, items, "steady", "fill", "run-1")[0].count() == 0
     assert rows(runs.resume_counts(manifest, first, both, "relative_path")) == [(2, 1, 1, 1, 0, 1)]
-    cover = batch.run_batch(eval_images(spark, "f", "cover_heavy"), "fussy", "fill", "r")
+    cover, _ = batch.run_batch(eval_images(spark, "f", "cover_heavy"), "fussy", "fill", "r")
     assert rows(cover, "status") == [("skipped_cover",)]
-    assert rows(batch.run_batch(items, "fussy", "fill", "r", scan_only=True), "status") == [("scanned",), ("scanned",)]
+    assert rows(batch.run_batch(items, "fussy", "fill", "r", scan_only=True)[0], "status") == [("scanned",), ("scanned",)]
 
 
 def test_plan(spark, tmp_path):
