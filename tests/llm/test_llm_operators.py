@@ -314,3 +314,35 @@ def test_lm_probabilities_sum_to_one():
     both = lm_score.score(model, vocabulary, runs, np.arange(0, len(runs) + 1, 2))
     one = lm_score.score(model, vocabulary, np.array([17]), np.array([0, 1]))[0]
     assert (10 ** (both - one)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_learns_order_from_all_places(spark):
+    """The only pairs that tell the scored texts apart stand behind the first 20,000 characters of the texts."""
+    rng = np.random.default_rng(3)
+    filler = [" ".join(f"w{i}" for i in rng.integers(0, 300, 5_000)) for _ in range(6)]
+    held = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    free = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 7 != 2][:6]
+    assert all(len(t) > 20_000 for t in filler)
+    rows = [(i, t + " red blue" * 800) for i, t in zip(free, filler, strict=True)]
+    rows += [(held[0], "red blue " * 60), (held[1], "red red " * 30 + "blue blue " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = rows_by_id(lm_score.score_texts(docs, steps=60))
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 50
+
+
+def test_lm_windows_to_fit_on_grow_and_pairs_are_whole(spark):
+    texts = [(i, f"alpha beta gamma{i % 7} delta epsilon " * 400) for i in range(20)]
+    vocabulary = lm_score.Vocabulary.of(np.ones(lm_score.END + 1))
+    file = "byte_bpe_50k.json"
+    ids, bounds = lm_score.stream(file, *lm_score._words(pa.array([t for _, t in texts])))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    work = docs.mapInArrow(lm_score._training(file, vocabulary, 0.1), lm_score.TRAINING).toArrow()
+    cells = collections.Counter()
+    for c, n in zip(work["cell"].to_pylist(), work["n"].to_pylist(), strict=True):
+        if c is not None:
+            cells[c] += n
+    want = lm_score.pair_counts(vocabulary, ids, bounds)
+    assert cells == {c: want[c] for c in np.flatnonzero(want)} and want.sum() == len(ids)
+    taken, size = sum(v is not None for v in work["x"].to_pylist()), len(lm_score.starts(bounds)[0])
+    assert 0.07 < taken / size < 0.13
