@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma: diagonal bands of shared character q-grams, then banded alignment.
 
 Benchmark texts and documents are lower-cased with white space as single spaces. A benchmark text is searched as passages of
-at most ``passage`` characters, every half passage; so a copied part that holds one passage is found as well. A passage of m
+at most ``passage`` characters, every half passage, and as ones of ``short`` characters, every quarter; so a verbatim part of
+``short * 5 / 4`` characters is found wherever it is cut. Edits are those of the best long passage found, or else of the best
+short one. A passage of m
 characters with at most k = floor(rate x m) edits shares at least m - q + 1 - k q of its q-grams with its copy, on diagonals
 that lie within k + 1 of each other. Shared q-grams are counted by (document, passage, band); bands are 2 (k + 1) diagonals
 wide and overlap by half, so every copy lies whole in one. Bands with enough q-grams are aligned: an edit-distance table of
@@ -77,8 +79,8 @@ def _grams(text: np.ndarray) -> np.ndarray:
 class Index:
     """Passages of a block of benchmark texts and where their q-grams are."""
 
-    def __init__(self, texts: list[str], rate: float, passage: int, min_chars: int) -> None:
-        self.item, self.text = [], []
+    def __init__(self, texts: list[str], rate: float, passage: int, short: int, min_chars: int) -> None:
+        self.item, self.text, self.part = [], [], []
         for i, text in enumerate(texts):
             chars, bounds, _ = normal(pa.array([text]))
             chars = chars[: bounds[-1]]
@@ -86,10 +88,14 @@ class Index:
                 chars = chars[:-1]
             if len(chars) < min_chars:
                 continue
-            last = max(len(chars) - passage, 0)
-            for at in sorted({*range(0, last, passage // 2), last}):
-                self.item.append(i)
-                self.text.append(chars[at : at + passage])
+            for size, step, part in ((passage, passage // 2, 0), (short, short // 4, 1)):
+                if part and len(chars) <= size:
+                    continue  # already there as a whole
+                last = max(len(chars) - size, 0)
+                for at in sorted({*range(0, last, step), last}):
+                    self.item.append(i)
+                    self.text.append(chars[at : at + size])
+                    self.part.append(part)
         lengths = np.array([len(t) for t in self.text], dtype=np.int64)
         self.edits = np.floor(rate * lengths).astype(np.int64)
         self.least = np.maximum(lengths - Q + 1 - self.edits * Q, 1)
@@ -176,9 +182,11 @@ def align(index: Index, text: np.ndarray, bounds: np.ndarray, found: np.ndarray)
     return edits, begin, end
 
 
-def _search(texts: list[str], rate: float, passage: int, min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(
+    texts: list[str], rate: float, passage: int, short: int, min_chars: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts, rate, passage, min_chars)
+        index = Index(texts, rate, passage, short, min_chars)
         for chunk in chunks(batches, 1, CHUNK):
             text, bounds, place = normal(chunk.column(1))
             found = candidates(index, text, bounds)
@@ -187,8 +195,9 @@ def _search(texts: list[str], rate: float, passage: int, min_chars: int) -> Call
             best: dict[tuple[int, int], list[int]] = {}
             for (doc, p, _), e, b, z in zip(found[good].tolist(), edits[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True):
                 z = min(z, int(bounds[doc + 1]))
-                own = best.setdefault((doc, index.item[p]), [b, z, e, 0])
-                best[doc, index.item[p]] = [min(own[0], b), max(own[1], z), min(own[2], e), 0]
+                kind = (index.part[p], e)
+                own = best.setdefault((doc, index.item[p]), (b, z, kind))
+                best[doc, index.item[p]] = (min(own[0], b), max(own[1], z), min(own[2], kind))
             keys = list(best)
             spans = [best[k] for k in keys]
             arrays = [
@@ -196,7 +205,7 @@ def _search(texts: list[str], rate: float, passage: int, min_chars: int) -> Call
                 pa.array([k[1] for k in keys], pa.int64()),
                 pa.array([int(place[s[0]]) for s in spans], pa.int64()),
                 pa.array([int(place[s[1] - 1]) + 1 for s in spans], pa.int64()),
-                pa.array([s[2] for s in spans], pa.int64()),
+                pa.array([s[2][1] for s in spans], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item", "start", "end", "edits"])
 
@@ -212,6 +221,7 @@ def find_leaks(
     passage: int = 160,
     min_chars: int = 24,
     block_chars: int = 1_000_000,
+    short: int = 64,
 ) -> DataFrame:
     """doc_id, item_id, start, end (characters of the document), edits (of the best passage): one row per text and item."""
     spark = docs.sparkSession
@@ -223,7 +233,7 @@ def find_leaks(
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         found = texts.mapInArrow(
-            _search([r.text for r in block], rate, passage, min_chars), "doc_id bigint, item bigint, start bigint, end bigint, edits bigint"
+            _search([r.text for r in block], rate, passage, short, min_chars), "doc_id bigint, item bigint, start bigint, end bigint, edits bigint"
         )
         ids = F.array(*[F.lit(r.item_id).cast("bigint") for r in block]) if block else F.array().cast("array<bigint>")
         named = found.select("doc_id", F.get(ids, F.col("item").cast("int")).alias("item_id"), "start", "end", "edits")

@@ -346,3 +346,19 @@ def test_lm_windows_to_fit_on_grow_and_pairs_are_whole(spark):
     assert cells == {c: want[c] for c in np.flatnonzero(want)} and want.sum() == len(ids)
     taken, size = sum(v is not None for v in work["x"].to_pylist()), len(lm_score.starts(bounds)[0])
     assert 0.07 < taken / size < 0.13
+
+
+def test_decontamination_finds_cut_passages(spark):
+    """Verbatim parts of items, cut anywhere, between other text."""
+    rng = np.random.default_rng(8)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(3, 9, 400)]
+    text = lambda n: " ".join(words[i] for i in rng.integers(0, 400, n))[:n]
+    items = {k: text(n) for k, n in enumerate([233, 233, 350, 100, 400])}
+    cuts = [(0, 20, 207), (1, 20, 215), (2, 20, 220), (3, 0, 86), (4, 37, 117), (4, 301, 381)]
+    docs = [(i, f"{text(150)} {items[k][a:b]} {text(150)}") for i, (k, a, b) in enumerate(cuts)]
+    found = decontaminate.find_leaks(
+        spark.createDataFrame([*docs, (99, text(2_000))], "doc_id bigint, text string"),
+        spark.createDataFrame(list(items.items()), "item_id bigint, text string"),
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, k) for i, (k, _, _) in enumerate(cuts)}
+    assert all(r.edits == 0 for r in found)
