@@ -154,6 +154,32 @@ def frequent_keys(df: DataFrame, key: str | Sequence[str], support: float = 0.01
     )
 
 
+def key_filter(keys: DataFrame, key: str, bits_per_key: int = 64, most_bits: int = 2**27) -> Column | None:
+    """A test on column ``key`` that every key of ``keys`` passes and hardly any other; None for no keys.
+
+    The keys' hashes mark bits of a map of at most ``most_bits`` (16 MB), built in 4 KB pieces by the executors and held as a
+    literal, so the test moves no rows: it can prune files by their metadata and thin wide rows before they are worked on. With
+    more than most_bits / bits_per_key keys more others pass. An exact join on narrow rows has to follow.
+    """
+    n = keys.count()
+    if not n:
+        return None
+    bits = min(most_bits, max(2**15, 1 << (n * bits_per_key - 1).bit_length()))
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits).cast("long"))
+
+    piece = keys.select(place(F.col(key)).alias("_at")).select(
+        F.shiftright("_at", 15).alias("_piece"), F.col("_at").bitwiseAND(F.lit(2**15 - 1)).alias("_bit")
+    )
+    held = bytearray(bits // 8)
+    for row in piece.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_map")).toLocalIterator():
+        held[row["_piece"] * 4096 : (row["_piece"] + 1) * 4096] = row["_map"]
+    at = place(F.col(key))
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("getbit", byte, at.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1
+
+
 def planned_bytes(df: DataFrame) -> float:
     """The optimizer's size estimate; infinite where the session does not expose it."""
     try:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuseval.operators.aggregate import category_counts
-from corpuseval.operators.keyed import last_wins
+from corpuseval.operators.keyed import key_filter, last_wins
 from corpuseval.operators.runs import pending_items
 from corpuseval.operators.validate import check_version, count_mismatch
 from corpuseval.plans.evaluate import evaluate
@@ -95,13 +95,15 @@ def resume_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """``(results, failures)`` of the items still pending; empty when there are none.
 
-    Keys are matched on the narrow manifest first. Pixels are joined last and only for pending
-    items, and an append of the returned rows twice is undone by ``merged_results``.
+    Keys are matched on the narrow manifest. Images are only filtered, by ``key_filter``: with images of ``read_images`` and
+    ``relative_path`` as the key, finished files are not opened, and no pixels are shuffled. The few other images that pass
+    the filter are taken out of the narrow results. An append of the returned rows twice is undone by ``merged_results``.
     """
-    pending = pending_items(manifest.select(key), results, key)
-    return run_batch(
-        images.join(pending, key, "left_semi"), mask_provider, transform_provider, run_id
-    )
+    pending = materialize(pending_items(manifest.select(key), results, key))
+    wanted = key_filter(pending, key)
+    chosen = images.filter(F.lit(False) if wanted is None else wanted)
+    done, failed = run_batch(chosen, mask_provider, transform_provider, run_id)
+    return done.join(pending, key, "left_semi"), failed.join(pending, key, "left_semi")
 
 
 def merged_results(results: DataFrame, key: str = "relative_path", pos: str = "appended_at") -> DataFrame:

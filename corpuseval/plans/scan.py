@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuseval.functions.classify import REGULAR_DATASET, dataset_of, id_prefix
 from corpuseval.operators.aggregate import category_counts
 from corpuseval.operators.images import classify_images
-from corpuseval.operators.keyed import TOP_K_LIMIT, first_n, ordered_number, top_per_group
+from corpuseval.operators.keyed import first_n, ordered_number, top_per_group
 from corpuseval.operators.validate import require_rows
 from corpuseval.sources.corpus import list_corpus, read_images, select_images
 
@@ -23,17 +23,16 @@ def scan_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """``(items, rejects)``: list, limit, then decode and classify what is left.
 
-    Without a limit the listing rules are filters on the image rows, so pixels never meet a
-    join. A limit picks its paths from file metadata first.
+    All rules are filters on the path, applied to the file listing before a file is opened. A limit is the greatest path it
+    admits, found from file metadata, so the same holds for it whatever its size; pixels never meet a join.
     """
     good, bad = read_images(spark, root, recursive)
-    if limit is None:
-        images, rejects = (select_images(df, recursive, excluded) for df in (good, bad))
-    else:
-        paths = list_corpus(spark, root, recursive, excluded, limit).select("relative_path")
-        if limit <= TOP_K_LIMIT:
-            paths = F.broadcast(paths)
-        images, rejects = (df.join(paths, "relative_path", "left_semi") for df in (good, bad))
+    images, rejects = (select_images(df, recursive, excluded) for df in (good, bad))
+    if limit is not None:
+        listed = list_corpus(spark, root, recursive, excluded, limit)
+        last = listed.agg(F.max("relative_path").alias("last")).first()["last"]
+        inside = F.lit(False) if last is None else F.col("relative_path") <= F.lit(last)
+        images, rejects = images.filter(inside), rejects.filter(inside)
     return classify_images(images), rejects
 
 

@@ -72,14 +72,18 @@ def select_images(files: DataFrame, recursive: bool = True, excluded: Sequence[s
 
 
 def read_images(spark: SparkSession, root: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(good, rejects)``: decoded images and files that could not be decoded."""
+    """``(good, rejects)``: decoded images and files that could not be decoded.
+
+    Paths are the files' metadata, so a filter on ``relative_path`` alone is applied while the scan is planned: files that it
+    drops are not opened, let alone decoded.
+    """
     reader = (
         spark.read.format("image")
         .option("dropInvalid", "false")
         .option("recursiveFileLookup", str(recursive).lower())
     )
-    # The image source escapes its paths, the file listing does not; a plus sign is literal here.
-    path = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    # The metadata path is escaped, the file listing's is not; a plus sign is literal here.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rows = reader.load(root).select(
         path.alias("source_path"),
         relative_to(path, root).alias("relative_path"),
