@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuseval.catalog.views import VECTORS, vectors
 from corpuseval.functions import arrays as fa, boxes as fb
-from corpuseval.operators import compare, masks
+from corpuseval.operators import compare, geometry, masks
 from corpuseval.plans import evaluate as ev
 
 EDGE_LEVEL = 60.0
@@ -18,6 +18,30 @@ def mask_nonzero(spark, sf):
     return rows.select("vec_id", fa.popcount(fa.pack_mask(F.col("embedding"))).alias("mask_nonzero"))
 
 
+MARK_LEVEL = 0.25
+
+
+def _marks(spark, sf):
+    """Sparse 8 x 8 masks, some empty."""
+    level = F.transform("embedding", lambda v: v.cast("double") - MARK_LEVEL)
+    return vectors(spark, sf).select("vec_id", fa.pack_mask(level).alias("words"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+
+
+def mask_extent(spark, sf):
+    box = fa.mask_extent(F.col("words"), F.col("width"), F.col("height"))
+    return _marks(spark, sf).select("vec_id", box.alias("box")).select("vec_id", "box.*")
+
+
+def source_box(spark, sf):
+    """Boxes of every third vector, some invalid; masks of all but every seventh stand in for the rest."""
+    marks, v = _marks(spark, sf), F.col("vec_id")
+    x, y = (v % 8).cast("int"), (v % 5).cast("int")
+    boxes = marks.filter(v % 3 == 0).select(
+        "vec_id", "width", "height", fb.box(x, y, (x + v % 4 - 1).cast("int"), y + 2).alias("box")
+    )
+    return geometry.source_box(marks, boxes, marks.filter(v % 7 != 0), "vec_id", padding=1)
+
+
 def mask_ratios(spark, sf):
     rows = mask_nonzero(spark, sf)
     nonzero, w, h = F.col("mask_nonzero"), F.lit(8), F.lit(8)
@@ -129,7 +153,7 @@ def evaluate_statuses(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        mask_nonzero, mask_ratios, changed_nonzero, mean_abs_diff, edge_delta, mask_overlap,
+        mask_nonzero, mask_extent, source_box, mask_ratios, changed_nonzero, mean_abs_diff, edge_delta, mask_overlap,
         mask_shape_guard, overlap_summary, tone_fractions, evaluate, evaluate_statuses,
     )
 }
@@ -159,7 +183,21 @@ t AS (SELECT *, CASE WHEN vec_id % 50 = 8 THEN 'mask_provider_unavailable'
              WHEN vec_id % 50 = 9 THEN 'mask_provider_error' WHEN nz = 0 THEN 'no_mask' WHEN vec_id % 50 = 11 THEN 'restore_provider_error'
              ELSE 'restored' END AS status FROM s)"""
 
+_EXTENTS = f"""WITH {VECTORS},
+cells AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM vectors),
+extents AS (SELECT vec_id, CAST(min(i % 8) AS INT) AS x1, CAST(min(i // 8) AS INT) AS y1, CAST(max(i % 8) + 1 AS INT) AS x2,
+                   CAST(max(i // 8) + 1 AS INT) AS y2 FROM cells WHERE CAST(v AS DOUBLE) - {MARK_LEVEL} > 0 GROUP BY vec_id)"""
+
 ORACLES = {
+    "mask_extent": f"{_EXTENTS} SELECT vec_id, x1, y1, x2, y2 FROM vectors LEFT JOIN extents USING (vec_id)",
+    "source_box": f"""{_EXTENTS},
+b AS (SELECT vec_id, CAST(vec_id % 8 AS INT) AS l, CAST(vec_id % 5 AS INT) AS t, CAST(vec_id % 8 + vec_id % 4 - 1 AS INT) AS r FROM vectors
+      WHERE vec_id % 3 = 0 AND vec_id % 4 > 1),
+c AS (SELECT vec_id, l, t, r, t + 2 AS d, 'boxes' AS box_status FROM b
+      UNION ALL SELECT v.vec_id, x1, y1, x2, y2, CASE WHEN v.vec_id % 7 = 0 THEN 'no_mask' WHEN x1 IS NULL THEN 'empty_mask' ELSE 'mask' END
+      FROM vectors v LEFT JOIN (SELECT * FROM extents WHERE vec_id % 7 <> 0) e USING (vec_id) WHERE v.vec_id NOT IN (SELECT vec_id FROM b))
+SELECT vec_id, CASE WHEN l IS NOT NULL THEN greatest(0, l - 1) END AS x1, CASE WHEN l IS NOT NULL THEN greatest(0, t - 1) END AS y1,
+       CASE WHEN l IS NOT NULL THEN least(8, r + 1) END AS x2, CASE WHEN l IS NOT NULL THEN least(8, d + 1) END AS y2, box_status FROM c""",
     "mask_nonzero": f"{_NONZERO} SELECT * FROM m",
     "mask_ratios": f"""{_NONZERO} SELECT vec_id, round(mask_nonzero / 64, 6) AS mask_ratio,
        round(least(1.0::DOUBLE, mask_nonzero / (640 * 0.08::DOUBLE)), 6) AS confidence FROM m""",

@@ -9,6 +9,8 @@ from corpuseval.functions.classify import file_stem, name_hint
 from corpuseval.operators import keyed, profiles, runs, validate
 from corpuseval.operators.aggregate import category_counts as count_categories
 from corpuseval.plans import batch, scan
+from corpuseval.session import scratch_dir
+from corpuseval.sources import reports
 from corpuseval.sources.corpus import select_images
 
 PROMPTS = {"cover_heavy": "dense cover text", "landscape_regular": "corner text", "portrait_regular": "corner text"}
@@ -34,6 +36,23 @@ def corpus_rules(spark, sf):
     return select_images(files)
 
 
+def numbered_results(spark, sf):
+    """Result lines written out by return flag, every 50th spoilt in one of three ways, read back with their places."""
+    flag, key = F.col("l_returnflag"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    k = F.col("l_orderkey") % 150
+    good = F.to_json(F.struct(F.struct(key.alias("relative_path")).alias("item"), F.col("l_linestatus").alias("status")))
+    line = F.when(k == 0, F.concat(F.lit("{bad "), key)).when(k == 50, F.lit("[1]")).when(k == 100, F.lit(" ")).otherwise(good)
+    root = f"{scratch_dir(spark)}/lines"
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf, "lineitem").select(flag.alias("flag"), line.alias("value"), *order)
+    rows.repartition("flag").sortWithinPartitions("flag", *order).select("flag", "value").write.partitionBy("flag").text(root)
+    found, bad = reports.read_results_jsonl(spark, f"{root}/*/*", mode="PERMISSIVE")
+    flag_of = F.regexp_extract("source_file", "flag=([A-Z])", 1)
+    both = found.select("source_file", "line_no", F.col("item.relative_path").alias("relative_path"), F.lit(None).cast("string").alias("line"))
+    both = both.unionByName(bad.select("source_file", "line_no", F.lit(None).cast("string").alias("relative_path"), "line"))
+    return both.select(flag_of.alias("flag"), "line_no", "relative_path", "line")
+
+
 def category_counts(spark, sf):
     return count_categories(scan_items(spark, sf))
 
@@ -256,7 +275,7 @@ def keyword_tokens(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        layout_category, page_name_hint, corpus_rules, category_counts, scan_summary, scan_limit,
+        layout_category, page_name_hint, corpus_rules, numbered_results, category_counts, scan_summary, scan_limit,
         sequence_ids, prepare_dataset, eval_items_selected, eval_items_large, derive_status,
         pending_items, run_progress, run_summary, resume_counts, run_lookup, reconcile, last_wins,
         ordered_distinct, json_props, validate_items, count_mismatch, unknown_names, plan_counts, plan_count_check,
@@ -299,6 +318,11 @@ SELECT page_id, stem, regexp_matches(stem, '(?i)(?:^|[-_])(0|cover|封面)$') AS
 SELECT relative_path FROM f WHERE page_id % 4 NOT IN (1, 2) AND page_id % 5 IN (0, 1, 3)""",
     "category_counts": f"WITH {SCAN} SELECT category, count(*) AS n FROM scan_items GROUP BY category",
     "scan_summary": f"WITH {SCAN} SELECT coalesce(category, 'all') AS category, count(*) AS n FROM scan_items GROUP BY ROLLUP (category)",
+    "numbered_results": """WITH n AS (
+  SELECT l_returnflag AS flag, l_orderkey % 150 AS k, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id,
+         row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no FROM lineitem)
+SELECT flag, line_no, CASE WHEN k NOT IN (0, 50) THEN id END AS relative_path,
+       CASE k WHEN 0 THEN '{bad ' || id WHEN 50 THEN '[1]' END AS line FROM n WHERE k <> 100""",
     "scan_limit": f"WITH {SCAN} SELECT relative_path, category FROM scan_items ORDER BY relative_path LIMIT 20000",
     "sequence_ids": f"""{_ROUTED},
 numbered AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY relative_path) AS rn FROM routed)

@@ -112,9 +112,9 @@ def token_hits(spark, sf):
 
 
 def token_hits_join(spark, sf):
-    """The same through the gram join used for long token tables."""
+    """The same with the tokens in several blocks, as for long token tables."""
     lines = text.document_lines(table(spark, sf, "documents").select("doc_id", "text"))
-    return text.token_hits(lines, _tokens(spark, sf), literal_limit=1).select("doc_id", "line_no", "token")
+    return text.token_hits(lines, _tokens(spark, sf), block=5).select("doc_id", "line_no", "token")
 
 
 def _document_hits(spark, sf):

@@ -6,6 +6,8 @@ values, so pair joins move words instead of samples, and overlap is a ``bit_coun
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from corpuseval.functions.once import let
@@ -120,3 +122,80 @@ def patch(values: Column, width: int, height: int, x1: int, y1: int, x2: int, y2
 
 def fraction(values: Column, test) -> Column:
     return F.size(F.filter(values, test)) / F.size(values)
+
+
+def _or(a: Column, b: Column) -> Column:
+    return a.bitwiseOR(b)
+
+
+def _smeared(word: Column, shift_by) -> Column:
+    """Every bit on one side of a set bit is set as well; no arithmetic that could overflow."""
+
+    def smear(value: Column, shift: int) -> Column:
+        return let(value, lambda w: w.bitwiseOR(shift_by(w, shift)))
+
+    return reduce(smear, (1, 2, 4, 8, 16, 32), word)
+
+
+def first_bit(word: Column) -> Column:
+    """Place of the lowest set bit of a nonzero word."""
+    return 64 - F.bit_count(_smeared(word, F.shiftleft))
+
+
+def last_bit(word: Column) -> Column:
+    """Place of the highest set bit of a nonzero word."""
+    return F.bit_count(_smeared(word, F.shiftrightunsigned)) - 1
+
+
+def _row_words(words: Column, width: Column, row: Column) -> Column:
+    """The bits of one row of a packed mask, from bit 0 of the first word on."""
+    count = F.ceil(width / F.lit(64)).cast("int")
+
+    def word(k: Column) -> Column:
+        start = row.cast("long") * width + k * 64
+        size = F.least(F.lit(64), width - k * 64)
+        at, shift = F.floor(start / F.lit(64)).cast("int"), (start % 64).cast("int")
+        here = F.call_function("shiftrightunsigned", F.coalesce(F.get(words, at), F.lit(0).cast("long")), shift)
+        after = F.call_function("shiftleft", F.coalesce(F.get(words, at + 1), F.lit(0).cast("long")), F.lit(64) - shift)
+        whole = F.when(shift == 0, here).otherwise(_or(here, after))
+        kept = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (F.lit(64) - size).cast("int"))
+        return whole.bitwiseAND(kept)
+
+    return F.transform(F.sequence(F.lit(0), count - 1), word)
+
+
+def mask_extent(words: Column, width: Column, height: Column) -> Column:
+    """Box (x1, y1, x2, y2) around the set samples of a packed mask in row order; NULL for an empty or missing mask.
+
+    Rows come from the first and last set bit of all words. Columns come from the rows laid over each other, a word at a time.
+    """
+    zero = F.lit(0).cast("long")
+
+    def ends(v: Column) -> Column:
+        """First and last set bit of an array of words, NULL without one."""
+        used = F.filter(F.transform(v, lambda w, i: F.struct(i.cast("long").alias("i"), w.alias("w"))), lambda x: x["w"] != 0)
+        low, high = F.get(used, F.lit(0)), F.get(used, F.size(used) - 1)
+        return F.when(
+            F.size(used) > 0,
+            F.struct((low["i"] * 64 + first_bit(low["w"])).alias("first"), (high["i"] * 64 + last_bit(high["w"])).alias("last")),
+        )
+
+    def inside(p: Column) -> Column:
+        w, h = p["width"], p["height"]
+        none = F.transform(F.sequence(F.lit(0), F.ceil(w / F.lit(64)).cast("int") - 1), lambda k: zero)
+
+        def boxed(rows: Column) -> Column:
+            top, bottom = F.floor(rows["first"] / w).cast("int"), F.floor(rows["last"] / w).cast("int")
+            laid = F.aggregate(
+                F.sequence(top, bottom), none, lambda acc, r: F.zip_with(acc, _row_words(p["words"], w, r), lambda a, b: a.bitwiseOR(b))
+            )
+            box = lambda columns: F.struct(
+                columns["first"].cast("int").alias("x1"), top.alias("y1"), (columns["last"] + 1).cast("int").alias("x2"), (bottom + 1).alias("y2")
+            )
+            return let(let(laid, ends), box)
+
+        return let(ends(p["words"]), lambda rows: F.when(rows.isNotNull(), boxed(rows)))
+
+    usable = words.isNotNull() & (width > 0) & (height > 0)
+    bound = F.struct(words.alias("words"), width.cast("long").alias("width"), height.cast("long").alias("height"))
+    return F.when(usable, let(bound, inside))

@@ -1,11 +1,10 @@
-"""SQL names for the scalar rules, and a UDTF that flattens recogniser output."""
+"""SQL names for the scalar rules, and a table function that flattens recogniser output."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from corpuseval.functions.marktext import BUILT_IN_PHRASES, DEFAULT_TOKENS, DOMAIN_PARTS, MARK_REGIONS, WHITESPACE
 
@@ -18,19 +17,10 @@ def _any_of(expr: str, tokens: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({expr}, {_literal(t)})" for t in tokens) + ")"
 
 
-@udtf(returnType="text string, score double, polygon array<struct<x:int,y:int>>")
-class FlattenLines:
-    """Parallel ``polys``, ``texts`` and ``scores`` arrays to one row per line."""
-
-    def eval(self, polys, texts, scores):
-        for polygon, text, score in zip(polys or [], texts or [], scores or []):
-            yield text, float(score), [(int(p["x"]), int(p["y"])) for p in polygon]
-
-
 def register_sql(spark: SparkSession, tokens: Sequence[str] = DEFAULT_TOKENS) -> None:
     """Create temporary SQL functions ``squash_text``, ``is_mark_text``, ``mask_iou``, ``flatten_lines``.
 
-    The scalar ones are SQL functions: Catalyst inlines their bodies, no Python is involved.
+    Catalyst inlines their bodies, no Python is involved. The shortest array decides the number of flattened lines.
     """
     squash = f"translate(lower(coalesce(t, '')), {_literal(WHITESPACE)}, '')"
     regions = ", ".join(_literal(r) for r in MARK_REGIONS)
@@ -48,4 +38,9 @@ def register_sql(spark: SparkSession, tokens: Sequence[str] = DEFAULT_TOKENS) ->
         "CREATE OR REPLACE TEMPORARY FUNCTION mask_iou(shared BIGINT, a BIGINT, b BIGINT) RETURNS DOUBLE "
         "RETURN CASE WHEN a + b - shared = 0 THEN 1.0D ELSE round(shared / (a + b - shared), 6) END"
     )
-    spark.udtf.register("flatten_lines", FlattenLines)
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION flatten_lines(polys ARRAY<ARRAY<STRUCT<x: INT, y: INT>>>, texts ARRAY<STRING>, "
+        "scores ARRAY<DOUBLE>) RETURNS TABLE(text STRING, score DOUBLE, polygon ARRAY<STRUCT<x: INT, y: INT>>) RETURN "
+        "SELECT inline(slice(arrays_zip(texts, scores, polys), 1, "
+        "coalesce(greatest(0, least(size(polys), size(texts), size(scores))), 0)))"
+    )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from corpuseval.functions.arrays import mask_extent
 from corpuseval.functions.boxes import ROI_SPECS, compact_box, is_valid, relative_box
 from corpuseval.operators.keyed import lookup_join, names
 from corpuseval.schemas import ROI_SPEC
@@ -99,6 +100,48 @@ def bbox_union(
     )
 
 
+def source_box(
+    items: DataFrame,
+    boxes: DataFrame,
+    masks: DataFrame,
+    key: str | Sequence[str],
+    words: str = "words",
+    width: str = "width",
+    height: str = "height",
+    padding: int = 0,
+) -> DataFrame:
+    """Box of every item: around its valid boxes, else around the set pixels of its mask, else NULL.
+
+    ``box_status`` is ``boxes``, ``mask``, ``empty_mask`` or ``no_mask``. Boxes and masks are reduced to one box per item before
+    they meet; a mask's extent is found where the mask is read, so packed pixels are not shuffled. ``items`` has the frame size.
+    """
+    keys, pad = names(key), F.lit(max(0, padding))
+    spans = bbox_union(boxes, keys, width, height, padding).select(*keys, F.struct("x1", "y1", "x2", "y2").alias("_boxed"))
+    extents = masks.select(
+        *keys, F.col(words).isNotNull().alias("_masked"), mask_extent(F.col(words), F.col(width), F.col(height)).alias("_extent")
+    )
+    # several masks of an item: the box around all of them
+    merged = extents.groupBy(*keys).agg(
+        F.max("_masked").alias("_masked"), F.min("_extent.x1").alias("_x1"), F.min("_extent.y1").alias("_y1"),
+        F.max("_extent.x2").alias("_x2"), F.max("_extent.y2").alias("_y2"),
+    )
+    joined = items.select(*keys, F.col(width).alias("_w"), F.col(height).alias("_h")).join(spans, keys, "left").join(merged, keys, "left")
+    zero, boxed = F.lit(0), F.col("_boxed").isNotNull()
+    from_mask = {
+        "x1": F.greatest(zero, F.col("_x1") - pad),
+        "y1": F.greatest(zero, F.col("_y1") - pad),
+        "x2": F.least(F.col("_w"), F.col("_x2") + pad),
+        "y2": F.least(F.col("_h"), F.col("_y2") + pad),
+    }
+    status = (
+        F.when(boxed, "boxes").when(F.col("_x1").isNotNull(), "mask").when(F.coalesce("_masked", F.lit(False)), "empty_mask").otherwise("no_mask")
+    )
+    seen = F.col("_x1").isNotNull()
+    return joined.select(
+        *keys, *[F.when(boxed, F.col(f"_boxed.{c}")).when(seen, made).alias(c) for c, made in from_mask.items()], status.alias("box_status")
+    )
+
+
 def box_regions(boxes: DataFrame, key: str | Sequence[str], pos: str) -> DataFrame:
     """Distinct nonblank regions of the valid boxes per key, in order of first occurrence.
 

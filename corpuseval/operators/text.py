@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpuseval.functions.arrays import overlap_scores
 from corpuseval.functions.boxes import box, clamp_box, is_valid, pad_box
@@ -22,9 +23,10 @@ from corpuseval.functions.marktext import (
 )
 from corpuseval.functions.once import compute_once
 from corpuseval.operators.keyed import names
+from corpuseval.session import materialize, ship_package
 
-LITERAL_TOKEN_LIMIT = 500
-GRAM = 4
+TOKEN_BLOCK = 50_000  # tokens in one automaton
+HITS_PER_BATCH = 20_000
 
 
 def flatten_lines(df: DataFrame, polys: str, texts: str, scores: str) -> DataFrame:
@@ -198,37 +200,52 @@ def token_hits(
     tokens: DataFrame,
     text: str = "line",
     token: str = "token",
-    literal_limit: int = LITERAL_TOKEN_LIMIT,
+    block: int = TOKEN_BLOCK,
 ) -> DataFrame:
     """Every (line, token) where the squashed line contains the normalised token.
 
-    A token table of at most ``literal_limit`` rows (checked) becomes a constant array that is
-    tested in place, so lines do not move. A longer table is matched by an equi-join: a line's
-    distinct character grams meet the tokens keyed by their first gram, and ``contains``
-    confirms. Both give the same rows; neither is a cross join.
+    Tokens are taken in blocks of about ``block``, dealt by hash. A block becomes one automaton, built once per task, that reads
+    each line a single time whatever the number of tokens; lines stay in their task and are not shuffled. With several blocks
+    each is one pass over the lines, and its hits are stored before the next is built, so only one block is held at a time.
     """
-    distinct = tokens.select(squash(F.col(token)).alias("token")).filter("token <> ''").distinct()
-    few = distinct.limit(literal_limit + 1).collect()
-    flat = compute_once(lines, "_flat", squash(F.coalesce(F.col(text), F.lit(""))))
-    if not few:
+    spark = lines.sparkSession
+    distinct = materialize(tokens.select(squash(F.col(token)).alias("token")).filter("token <> ''").distinct())
+    blocks = -(-distinct.count() // block)
+    if not blocks:
         return lines.withColumn("token", F.lit("")).filter(F.lit(False))
-    if len(few) <= literal_limit:
-        words = F.array(*[F.lit(row.token) for row in few])
-        hit = F.filter(words, lambda t: F.contains(F.col("_flat"), t))
-        return flat.withColumn("token", F.explode(hit)).drop("_flat")
-    # Tokens shorter than a gram are keyed by their whole length: at most GRAM sizes occur.
-    sized = distinct.withColumn("_size", F.least(F.length("token"), F.lit(GRAM)))
-    sizes = sorted(row._size for row in sized.select("_size").distinct().collect())
-    keyed = sized.withColumn("_gram", F.substring(F.col("token"), F.lit(1), F.col("_size"))).drop("_size")
-
-    def grams(size: int) -> Column:
-        # A lookahead yields the overlapping grams in one linear scan.
-        return F.regexp_extract_all("_flat", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-    distinct_grams = F.array_distinct(F.concat(*[grams(size) for size in sizes]))
-    return (
-        flat.withColumn("_gram", F.explode(distinct_grams))
-        .join(keyed, "_gram")
-        .filter(F.contains(F.col("_flat"), F.col("token")))
-        .drop("_flat", "_gram")
-    )
+    ship_package(spark)
+    flat = lines.withColumn("_flat", squash(F.coalesce(F.col(text), F.lit(""))))
+    schema = T.StructType([*lines.schema.fields, T.StructField("token", T.StringType())])
+    found = None
+    for number in range(blocks):
+        dealt = distinct.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == number)
+        hits = flat.mapInArrow(partial(_scan_lines, [row.token for row in dealt.collect()]), schema)
+        hits = hits if blocks == 1 else materialize(hits)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _scan_lines(words: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each batch, repeated for every word that its last column contains."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for word in words:
+        machine.add_word(word, word)
+    machine.make_automaton()
+
+    def taken(batch: pa.RecordBatch, at: list[int], what: list[str]) -> pa.RecordBatch:
+        columns = [c.take(pa.array(at, pa.int32())) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(what, pa.string())], names=[*batch.schema.names[:-1], "token"])
+
+    for batch in batches if words else ():
+        at: list[int] = []
+        what: list[str] = []
+        for i, line in enumerate(batch.columns[-1]):
+            hits = sorted({word for _, word in machine.iter(line.as_py())})
+            at += [i] * len(hits)
+            what += hits
+            if len(at) >= HITS_PER_BATCH:
+                yield taken(batch, at, what)
+                at, what = [], []
+        yield taken(batch, at, what)

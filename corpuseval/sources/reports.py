@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from corpuseval.functions.runs import looks_like_run_id
 from corpuseval.metrics import METRICS
 from corpuseval.operators.validate import check_version
+from corpuseval.session import materialize
 from corpuseval.schemas import BATCH_RESULT, MANIFEST, REPORT, RUN_SUMMARY
 
 
@@ -83,22 +84,46 @@ def flatten_results(reports: DataFrame) -> DataFrame:
     )
 
 
+def number_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their file and number (from 1): source_file, line_no, value.
+
+    Files are read in splits. A split's lines are numbered by their place in its task, and a sum over the few counts per split
+    gives the lines before it, so a long file is numbered by many tasks and no text is shuffled.
+    """
+    rows = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    counts = rows.groupBy("source_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    joined = rows.join(offsets, ["source_file", "_block"])
+    # both passes must have dealt the splits to the same tasks; Spark plans the same scan twice, and this makes sure
+    same = F.assert_true(F.shiftright("_id", 33) == F.shiftright("_first", 33), F.lit("files changed while their lines were numbered"))
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return joined.select("source_file", F.when(same.isNull(), number).alias("line_no"), "value")
+
+
 def read_results_jsonl(spark: SparkSession, path: str, mode: str = "FAILFAST", schema: T.StructType = BATCH_RESULT):
-    """Appended results, one object per line; blank lines are skipped.
+    """Appended results, one object per line; blank lines are skipped but count in the numbering.
 
-    FAILFAST raises on a bad line and returns rows; PERMISSIVE returns ``(rows, rejects)``.
+    FAILFAST raises on a bad line, naming its file and number, and returns rows; PERMISSIVE returns ``(rows, rejects)``, both with
+    ``source_file`` and ``line_no``. A line that is no JSON object is bad.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
-    lines = lines.filter(F.trim("value") != "")
-    if mode.upper() == "FAILFAST":
-        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    lines = number_lines(spark, path).filter(F.trim("value") != "")
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = lines.withColumn(
         "r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     )
-    bad = F.col("r._corrupt_record").isNotNull()
-    good = parsed.filter(~bad).select("source_file", *[F.col(f"r.{f.name}") for f in schema.fields])
-    return good, parsed.filter(bad).select("source_file", F.col("value").alias("line"))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.ltrim("value").startswith("{")
+    values = [F.col(f"r.{f.name}") for f in schema.fields]
+    if mode.upper() == "FAILFAST":
+        place = F.concat(F.lit("bad result line "), "line_no", F.lit(" of "), "source_file")
+        return parsed.filter(F.assert_true(~bad, place).isNull()).select(*values)
+    good = parsed.filter(~bad).select("source_file", "line_no", *values)
+    return good, parsed.filter(bad).select("source_file", "line_no", F.col("value").alias("line"))
 
 
 def read_run_summaries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -253,7 +253,34 @@ def test_results_jsonl(spark, tmp_path):
     with pytest.raises(Exception):
         reports.read_results_jsonl(spark, str(path)).collect()
     good, bad = reports.read_results_jsonl(spark, str(path), mode="PERMISSIVE")
-    assert rows(good, "status") == [("ok",)] and rows(bad, "line") == [("{bad",)]
+    assert rows(good, "status", "line_no") == [("ok", 1)] and rows(bad, "line", "line_no") == [("{bad", 2)]
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    wanted = []
+    for name, count in (("a.jsonl", 4000), ("b.jsonl", 7), ("c.jsonl", 2500)):
+        texts = ["" if i % 11 == 3 else "{bad" if i % 97 == 5 else "[2]" if i % 97 == 6 else json.dumps({"status": f"s{i}", "pad": "x" * (i % 40)}) for i in range(count)]
+        (folder / name).write_text("\n".join(texts) + "\n")
+        wanted += [(name, i + 1, t) for i, t in enumerate(texts) if t]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        numbered = reports.number_lines(spark, str(folder))
+        assert numbered.rdd.getNumPartitions() > 5
+        good, bad = reports.read_results_jsonl(spark, str(folder), mode="PERMISSIVE")
+        name = F.regexp_extract("source_file", "[^/]+$", 0)
+        got = [(r[0], r[1], r[2]) for r in bad.select(name, "line_no", "line").collect()]
+        assert sorted(got) == sorted(w for w in wanted if not w[2].startswith('{"'))
+        places = {(r[0], r[1]): r[2] for r in good.select(name, "line_no", "status").collect()}
+        assert places == {(n, i): json.loads(t)["status"] for n, i, t in wanted if t.startswith('{"')}
+        with pytest.raises(Exception, match=r"bad result line \d+ of .*\.jsonl"):
+            reports.read_results_jsonl(spark, str(folder)).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def test_validation(spark):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,9 +98,62 @@ def test_token_join_equals_brute_force(spark):
         for w in {"".join(x.split()) for x in words}
         if w and w in "".join(t.split())
     )
-    for limit in (500, 5):
-        got = text.token_hits(df, tokens, literal_limit=limit)
+    for block in (500, 5):
+        got = text.token_hits(df, tokens, block=block)
         assert sorted((r.id, r.token) for r in got.collect()) == want
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert text.token_hits(df, tokens.filter("token = 'none'")).count() == 0
+    assert text.token_hits(df.limit(0), tokens).count() == 0
+
+
+def test_long_line_and_many_tokens(spark):
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    squashed = line.replace(" ", "")
+    words = {squashed[i : i + 9] for i in range(0, 60_000, 100)} | {f"absent{i}" for i in range(3000)}
+    df = spark.createDataFrame([(1, line, {"k": 1}), (2, None, None)], "id int, line string, extra map<string,int>")
+    start = time.time()
+    got = text.token_hits(df, spark.createDataFrame([(w,) for w in words], "token string")).collect()
+    assert {r.token for r in got} == {w for w in words if w in squashed} and time.time() - start < 20
+    assert got[0].line == line and got[0].extra == {"k": 1}
+
+
+def test_mask_extent_of_any_width(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for i, (h, w) in enumerate([(1, 1), (3, 5), (4, 64), (5, 65), (7, 63), (9, 130), (2, 200), (200, 3), (6, 128)] * 4):
+        mask = rng.random((h, w)) < (0.02 if i % 4 else 0.5)
+        if i % 9 == 4:
+            mask[:] = False
+            mask[h - 1, w - 1] = True
+        ys, xs = np.nonzero(mask)
+        rows.append((i, [float(v) for v in mask.ravel()], w, h))
+        want.append((int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1) if len(xs) else None)
+    df = spark.createDataFrame(rows, "id int, samples array<double>, w int, h int")
+    got = df.select("id", fa.mask_extent(fa.pack_mask(F.col("samples")), F.col("w"), F.col("h")).alias("b")).orderBy("id").collect()
+    assert [tuple(r.b) if r.b else None for r in got] == want
+    none = spark.sql("select cast(null as array<bigint>) a, array(0L) z").select(
+        fa.mask_extent(F.col("a"), F.lit(3), F.lit(3)).alias("x"), fa.mask_extent(F.col("z"), F.lit(3), F.lit(3)).alias("y")
+    )
+    assert tuple(none.first()) == (None, None)
+
+
+def test_source_box(spark):
+    frame = "width int, height int"
+    items = spark.createDataFrame([(k, 10, 8) for k in "abcde"], f"k string, {frame}")
+    boxes = spark.createDataFrame(
+        [("a", 10, 8, (2, 2, 4, 5)), ("a", 10, 8, (3, 1, 9, 2)), ("b", 10, 8, (5, 5, 5, 6))], f"k string, {frame}, box struct<x1:int,y1:int,x2:int,y2:int>"
+    )
+    bit = lambda *at: [sum(1 << (y * 10 + x) for x, y in at if y * 10 + x < 64), sum(1 << (y * 10 + x - 64) for x, y in at if y * 10 + x >= 64)]
+    masks = spark.createDataFrame(
+        [("a", 10, 8, bit((0, 0))), ("b", 10, 8, bit((3, 2), (1, 3))), ("b", 10, 8, bit((9, 7))), ("c", 10, 8, bit()), ("d", 10, 8, None)],
+        f"k string, {frame}, words array<bigint>",
+    )
+    got = geometry.source_box(items, boxes, masks, "k", padding=1)
+    assert rows(got) == [
+        ("a", 1, 0, 10, 6, "boxes"), ("b", 0, 1, 10, 8, "mask"), ("c", None, None, None, None, "empty_mask"),
+        ("d", None, None, None, None, "no_mask"), ("e", None, None, None, None, "no_mask"),
+    ]
 
 
 def test_compact_boxes(spark):
