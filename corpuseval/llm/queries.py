@@ -44,16 +44,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH cut AS (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
-    FROM documents
+    SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM (SELECT doc_id,
+        regexp_extract_all(text, '[^\n.!?]*(?:[.!?]+[^\x20\x09-\x0D.!?][^\n.!?]*)*(?:[.!?]+|\n)?') AS pieces FROM documents)
 ), placed AS (
-    SELECT doc_id, k, line, length(line) AS length,
-        coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    SELECT doc_id, k, piece, length(rtrim(piece, chr(10))) AS length,
+        coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM cut
 ), lines AS (
     SELECT doc_id, start, length, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit,
-        trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
-    FROM placed WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain
+    FROM placed WHERE regexp_matches(piece, '[^\x20\x09-\x0D]')
 ), ranked AS (
     SELECT *, length(plain) - length(replace(plain, ' ', '')) + 1 AS n_words,
         first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS nth
@@ -61,11 +61,11 @@ WITH cut AS (
 ), runs AS (
     SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE nth > 1
 ), summed AS (
-    SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS words FROM runs
+    SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM runs
 )
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length,
-    CAST(n_words AS BIGINT) AS n_words, first_doc_id, CAST(first_start AS INTEGER) AS first_start
-FROM summed WHERE words >= 25
+    CAST(n_words AS BIGINT) AS n_words, CAST(run_words AS BIGINT) AS run_words, first_doc_id, CAST(first_start AS INTEGER) AS first_start
+FROM summed WHERE run_words >= 20
 """
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import os
+import random
 import re
 import sys
 import zlib
@@ -173,10 +174,32 @@ def test_line_dedup(spark, awkward, empty):
     left = len(" ".join(f"p{i}" for i in range(15)))
     assert got == {(2, 7, len(passage) + 2, 1, 5), (5, 0, left, 4, 0), (5, left + 1, len(passage) - left - 1, 4, left + 1)}
     ids = collections.Counter(r.doc_id for r in line_dedup.repeated_lines(awkward, min_words=5).collect())
-    assert ids == {1: 1, 2: 1}
+    assert ids == {1: 2, 2: 2}
     assert line_dedup.repeated_lines(empty).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    passage = "One two three v2.5 four five six. Seven, eight (nine) ten eleven!? Twelve thirteen fourteen; fifteen sixteen. "
+    texts = [(1, f"Start here. {passage}More words follow"), (2, f"Quite another start? {passage}\nend. One two")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert line_dedup.repeated_lines(docs).count() == 0  # sixteen words
+    got = line_dedup.repeated_lines(docs, min_words=1).orderBy("start").collect()
+    cut = [texts[1][1][r.start : r.start + r.length].strip() for r in got]
+    assert cut == ["One two three v2.5 four five six.", "Seven, eight (nine) ten eleven!?", "Twelve thirteen fourteen; fifteen sixteen."]
+    assert all(r.doc_id == 2 and r.first_doc_id == 1 and r.run_words == 17 for r in got)
+    first = [texts[0][1][r.first_start :].strip()[:9] for r in got]
+    assert first == ["One two t", "Seven, ei", "Twelve th"]
+
+
+def test_units_are_the_whole_text(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab .!?\n\t\u00e9") for _ in range(rng.randrange(60))) for _ in range(200)] + ["a.\n" * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    cut = re.compile(r"[^\n.!?]*(?:[.!?]+[^\x20\x09-\x0D.!?][^\n.!?]*)*(?:[.!?]+|\n)?")
+    want = sorted((i, m.start(), len(m[0].rstrip("\n"))) for i, t in enumerate(texts) for m in cut.finditer(t) if m[0].strip(" \t\n"))
+    assert sorted(tuple(r) for r in line_dedup.units(docs).select("doc_id", "start", "length").collect()) == want
+
+
 def test_decontamination(spark, awkward, empty):
     item = "The committee shall review every proposal within thirty days, and publish its reasons in full, so that all members can reply."
     edited = item.replace("thirty", "twenty").upper()
