@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuseval.llm.units import chunks, gather, text_bytes
+from corpuseval.llm.units import chunks, frugal, gather, text_bytes
 from corpuseval.session import ship_package
 
 Q = 12
@@ -233,7 +233,7 @@ def find_leaks(
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         found = texts.mapInArrow(
-            _search([r.text for r in block], rate, passage, short, min_chars), "doc_id bigint, item bigint, start bigint, end bigint, edits bigint"
+            frugal(_search([r.text for r in block], rate, passage, short, min_chars)), "doc_id bigint, item bigint, start bigint, end bigint, edits bigint"
         )
         ids = F.array(*[F.lit(r.item_id).cast("bigint") for r in block]) if block else F.array().cast("array<bigint>")
         named = found.select("doc_id", F.get(ids, F.col("item").cast("int")).alias("item_id"), "start", "end", "edits")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuseval.llm.units import LOWER, chunks, coded, gather, split_units, spread, text_bytes
+from corpuseval.llm.units import LOWER, chunks, coded, frugal, gather, split_units, spread, text_bytes
 from corpuseval.session import materialize, ship_package
 
 KEY_BITS = 24  # of a shingle's key within its partition; equal keys only ever let more texts pass
@@ -319,11 +319,11 @@ def join_texts(
     numbers = spark.range(40 * partitions).groupBy(F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).agg(F.min("id").alias("id"))
     found = {r.p: r.id for r in numbers.collect()}
     buckets = [found.get(p, p) for p in range(partitions)]
-    dealt = texts.mapInArrow(_split(partitions, buckets, size), SPLIT).repartition(partitions, "bucket")
+    dealt = texts.mapInArrow(frugal(_split(partitions, buckets, size)), SPLIT).repartition(partitions, "bucket")
     with batches_of(spark, BATCH):
-        seen = materialize(dealt.mapInArrow(_shared(warm_texts), FOUND))
+        seen = materialize(dealt.mapInArrow(frugal(_shared(warm_texts)), FOUND))
         by_chunk = seen.where("chunk is not null").select("chunk", "ids", "n", "u", "refs").repartition(partitions, "chunk")
-        sizes = by_chunk.mapInArrow(_summed, "row_key bigint, n bigint, u bigint")
+        sizes = by_chunk.mapInArrow(frugal(_summed), "row_key bigint, n bigint, u bigint")
         sizes = materialize(sizes.groupBy("row_key").agg(F.max("n").alias("n"), F.sum("u").alias("u")))
     chosen = sizes.where((F.col("n") > 0) & (100 * F.col("u") >= share * F.col("n"))).select("row_key")
     if chosen.count() <= broadcast_rows:
@@ -332,7 +332,7 @@ def join_texts(
     order = [often.column(i).to_numpy() for i in range(2)]
     similar = texts.join(chosen, "row_key", "left_semi")
     with batches_of(spark, BATCH):
-        sets = materialize(similar.mapInArrow(_ordered(partitions, *order, size, share), SETS))
+        sets = materialize(similar.mapInArrow(frugal(_ordered(partitions, *order, size, share)), SETS))
 
     classes = materialize(
         sets.groupBy("klass").agg(F.first("family").alias("family"), F.first("n").alias("n"), F.min("row_key").alias("row_key"))
@@ -359,7 +359,7 @@ def join_texts(
         side = lambda name: whole.select(F.col("klass").alias(name), F.col("text").alias(f"t{name}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
         with batches_of(spark, BATCH):
-            return materialize(both.mapInArrow(_verified(size, share), "a bigint, b bigint"))
+            return materialize(both.mapInArrow(frugal(_verified(size, share)), "a bigint, b bigint"))
 
     def expanded(pairs: DataFrame) -> DataFrame:
         """Pairs of classes from pairs of groups (fa, fb), which may be one group twice."""

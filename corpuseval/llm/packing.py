@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuseval.llm.subword import encoder
-from corpuseval.llm.units import chunks, coded, gather, split_units, text_bytes
+from corpuseval.llm.units import chunks, coded, frugal, gather, split_units, text_bytes
 from corpuseval.session import ship_package
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -187,5 +187,5 @@ def pack_documents(
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     shards = max(1, round(docs.count() / shard))
-    pieces = texts.mapInArrow(_pieces(file, end_id, capacity), PIECE)
-    return pieces.repartition(shards).mapInArrow(_packed(capacity, shard), f"{PIECE}, sequence_id bigint, offset bigint")
+    pieces = texts.mapInArrow(frugal(_pieces(file, end_id, capacity)), PIECE)
+    return pieces.repartition(shards).mapInArrow(frugal(_packed(capacity, shard)), f"{PIECE}, sequence_id bigint, offset bigint")

@@ -206,7 +206,10 @@ def scan_secrets(
 
 def redact(docs: DataFrame, forest: list[Tree], text_col: str = "text", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """The input's columns, with every confirmed secret in the text replaced by ``mark``."""
-    rows = compute_once(docs, "__found", F.filter(judged(F.col(text_col), forest), lambda f: f["score"] >= threshold))
+    found = "found"
+    while found in docs.columns:
+        found += "_"
+    rows = compute_once(docs, found, F.filter(judged(F.col(text_col), forest), lambda f: f["score"] >= threshold))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -215,5 +218,5 @@ def redact(docs: DataFrame, forest: list[Tree], text_col: str = "text", threshol
         return F.struct((f["start"] + f["length"]).alias("at"), F.concat(acc["parts"], F.array(between, F.lit(mark))).alias("parts"))
 
     rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    cleaned = F.aggregate(F.col("__found"), start, step, rest)
-    return rows.withColumn(text_col, F.when(F.size("__found") > 0, cleaned).otherwise(text)).drop("__found")
+    cleaned = F.aggregate(F.col(found), start, step, rest)
+    return rows.withColumn(text_col, F.when(F.size(found) > 0, cleaned).otherwise(text)).drop(found)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuseval.llm.units import chunks, coded, split_units, spread, text_bytes
+from corpuseval.llm.units import chunks, coded, frugal, split_units, spread, text_bytes
 from corpuseval.session import ship_package
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -238,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, support: int
     texts = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     counted = [
         (r.word, r.bad / r.n, r.n)
-        for r in texts.mapInArrow(_features, "word string, bad bigint, n bigint")
+        for r in texts.mapInArrow(frugal(_features), "word string, bad bigint, n bigint")
         .groupBy("word")
         .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         .where((F.col("bad") >= support) & (F.col("bad") >= precision * F.col("n")))
@@ -247,11 +247,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, support: int
         .collect()
     ]
     candidates = [word for word, _, _ in counted]
-    found = texts.mapInArrow(_matches(candidates), "toxic int, has array<int>").where("size(has) > 0").collect() if candidates else []
+    found = texts.mapInArrow(frugal(_matches(candidates)), "toxic int, has array<int>").where("size(has) > 0").collect() if candidates else []
     insults = cover([r.has for r in found if r.toxic == 1], [r.has for r in found if r.toxic != 1], candidates)
     insults += certain(counted, insults)
     rows = (
-        texts.mapInArrow(_clauses(insults), "toxic int, kinds array<double>").groupBy("toxic", "kinds").count().collect()
+        texts.mapInArrow(frugal(_clauses(insults)), "toxic int, kinds array<double>").groupBy("toxic", "kinds").count().collect()
     )  # few distinct rows
     if not rows:
         return Model(insults, None)
@@ -272,8 +272,8 @@ def _scores(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             if model.weights is not None:
                 x = _scaled(clause_kinds(part.column(1), model.insults, grammar))
                 score = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
-            arrays = [part.column(0), part.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted"])
+            arrays = [part.column(0), part.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *part.columns[3:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", *part.schema.names[3:]])
 
     return run
 
@@ -286,13 +286,15 @@ def score_toxicity(
     folds: int = 5,
     held_out_fold: int = 0,
     sample: int = 12_000,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= 0.5)."""
+    """doc_id, held_out, score, predicted (1 if score >= 0.5); with ``row_col``, a bigint that tells rows apart, also row_key."""
     ship_package(docs.sparkSession)
     key = F.col(id_col).cast("bigint")
     out = F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(folds)) == held_out_fold, F.lit(False))
-    texts = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
+    row = [F.col(row_col).cast("bigint").alias("row_key")] if row_col else []
+    texts = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"), *row)
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != held_out_fold
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where(train)
     model = learn(texts.select("doc_id", "text"), usable, sample)
-    return texts.mapInArrow(_scores(model), "doc_id bigint, held_out boolean, score double, predicted int")
+    return texts.mapInArrow(frugal(_scores(model)), "doc_id bigint, held_out boolean, score double, predicted int" + (", row_key bigint" if row_col else ""))
