@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuseval.catalog.views import table
 from corpuseval.session import scratch_dir
 from corpuseval.streaming import progress
 
+PARTS, SESSION_GAP = 4, "6 hours"
+
 
 def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
@@ -81,6 +85,33 @@ def stream_sliding(spark, sf):
     return _readable(_windowed(spark, sf, size="2 days", slide="1 day"))
 
 
+def stream_sessions(spark, sf):
+    """Sessions of a user and status as a stream of several files, one per micro-batch, in the order of their days.
+
+    A last file holds one event of a user of its own, 30 days later: its watermark closes all other sessions.
+    """
+    root = scratch_dir(spark)
+    events = table(spark, sf, "events").select(
+        F.col("user_id"), F.col("event_type").alias("status"), F.col("value").alias("latency_ms"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    edges = [first + (last - first) * k / PARTS for k in range(PARTS)] + [last + timedelta(seconds=1)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        part = events.filter((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/events")
+    closing = events.filter(F.col("ts") == F.lit(last)).limit(1)
+    closing = closing.select(F.lit(-1).cast("long").alias("user_id"), "status", "latency_ms", (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
+    closing.coalesce(1).write.mode("append").parquet(f"{root}/events")
+    arriving = progress.corpus_stream(spark, f"{root}/events", events.schema, files_per_trigger=1)
+    sessions = progress.windowed_status(arriving, session_gap=SESSION_GAP, lateness="1 hour", keys=("user_id", "status"))
+    progress.run_available(progress.append_sessions(sessions, f"{root}/sessions", f"{root}/checkpoint"))
+    shape = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return spark.read.parquet(f"{root}/sessions").filter("user_id >= 0").select(
+        "user_id", "status", F.date_format("window_start", shape).alias("window_start"),
+        F.date_format("window_end", shape).alias("window_end"), "n", "mean_latency_ms", "max_latency_ms",
+    )
+
+
 def session_status(spark, sf):
     """Session windows of the same definition over the bounded table."""
     rows = table(spark, sf, "events").select(
@@ -94,7 +125,7 @@ def session_status(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_progress, stream_append, stream_pending, stream_windows, stream_sliding, session_status)
+    for f in (stream_progress, stream_append, stream_pending, stream_windows, stream_sliding, stream_sessions, session_status)
 }
 
 _COUNTS = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, event_type AS status, count(*) AS n FROM events GROUP BY ALL"
@@ -111,6 +142,12 @@ WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' A
   SELECT *, date_trunc('day', ts) AS s FROM events UNION ALL SELECT *, date_trunc('day', ts) - INTERVAL 1 DAY AS s FROM events)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, event_type AS status,
        count(*) AS n, round(avg(value), 6) AS mean_latency_ms, max(value) AS max_latency_ms FROM w GROUP BY ALL""",
+    "stream_sessions": """WITH o AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT user_id, event_type AS status, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+       strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end, count(*) AS n,
+       round(avg(value), 6) AS mean_latency_ms, max(value) AS max_latency_ms FROM g GROUP BY user_id, event_type, session""",
     "session_status": """WITH o AS (
   SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o)

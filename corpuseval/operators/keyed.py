@@ -21,6 +21,7 @@ from corpuseval.session import materialize
 
 GROUP_LIMIT_PUSHDOWN = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 TOP_K_LIMIT = 10_000
+TOP_SALTS = 16
 
 
 def names(keys: str | Sequence) -> list:
@@ -104,13 +105,20 @@ def top_per_group(
 ) -> DataFrame:
     """First ``n`` rows per group.
 
-    Up to the group-limit threshold Spark keeps only ``n`` rows per group and task before the
-    shuffle. Beyond it the rows are numbered by slices instead.
+    Up to the group-limit threshold Spark keeps only ``n`` rows per group and task before the shuffle. Beyond it a group is
+    first ranked in ``TOP_SALTS`` parts, dealt by a hash of the row, and the best ``n`` of each part then in the group; so a hot
+    group is sorted by many tasks, the last of which sees at most ``TOP_SALTS`` times ``n`` rows. Ties go by the same hash.
     """
+    keys = names(partition)
     if n <= GROUP_LIMIT_PUSHDOWN:
-        ranked = Window.partitionBy(*names(partition)).orderBy(*names(order))
+        ranked = Window.partitionBy(*keys).orderBy(*names(order))
         return df.withColumn("_rank", F.row_number().over(ranked)).filter(f"_rank <= {n}").drop("_rank")
-    return ordered_number(df, partition, order, "_rank").filter(f"_rank <= {n}").drop("_rank")
+    hashable = [F.col(c) for c in df.columns if not _is_map(df, c)]
+    rows = df.withColumn("_tie", F.xxhash64(*hashable)).withColumn("_salt", F.pmod("_tie", F.lit(TOP_SALTS).cast("long")))
+    for group in ([*keys, "_salt"], keys):
+        ranked = Window.partitionBy(*group).orderBy(*names(order), "_tie")
+        rows = rows.withColumn("_rank", F.row_number().over(ranked)).filter(f"_rank <= {n}").drop("_rank")
+    return rows.drop("_tie", "_salt")
 
 
 def first_n(df: DataFrame, order: str | Sequence[str | Column], n: int) -> DataFrame:

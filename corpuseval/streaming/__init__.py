@@ -2,6 +2,8 @@
 from corpuseval.streaming.progress import (
     append_stream,
     corpus_stream,
+    LateRows,
+    append_sessions,
     late_rows,
     pending_stream,
     progress_stream,
@@ -14,6 +16,8 @@ from corpuseval.streaming.progress import (
 __all__ = [
     "append_stream",
     "corpus_stream",
+    "LateRows",
+    "append_sessions",
     "late_rows",
     "pending_stream",
     "progress_stream",

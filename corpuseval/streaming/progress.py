@@ -6,10 +6,11 @@ gathered on the driver.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from corpuseval.operators.runs import pending_items
 
@@ -145,10 +146,65 @@ def run_available(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query dropped behind its watermark, from its recent progress reports."""
+class LateRows(StreamingQueryListener):
+    """Rows that queries dropped behind their watermark, batch by batch.
+
+    A query's own progress reports reach back 100 batches only; the listener hears of every batch. A replayed batch replaces
+    its count, and batches without late rows leave no entry. A windowed aggregate combines the rows of a window and key in a
+    task before it looks at the watermark, so there a count is one of such combined rows.
+
+    Add it before the query starts: ``spark.streams.addListener(late := LateRows())``.
+    """
+
+    def __init__(self) -> None:
+        self.counts: dict[str, dict[int, int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.counts.setdefault(str(event.id), {})
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        dropped = sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+        if dropped:
+            self.counts.setdefault(str(progress.id), {})[progress.batchId] = dropped
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def total(self, query: StreamingQuery, wait: float = 30.0) -> int:
+        """Late rows of a query that has ended; reports arrive behind the query, so its end is awaited."""
+        until = time.monotonic() + wait
+        while str(query.id) not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return sum(self.counts.get(str(query.id), {}).values())
+
+    def write(self, spark: SparkSession, query: StreamingQuery, target: str) -> None:
+        """Store query_id, batch_id, late_rows next to the progress table; a batch stored before is stored anew."""
+        rows = [(str(query.id), batch, n) for batch, n in self.counts.get(str(query.id), {}).items()]
+        frame = spark.createDataFrame(rows, "query_id string, batch_id long, late_rows long")
+        frame.write.mode("overwrite").parquet(f"{target}/query={query.id}")
+
+
+def late_rows(query: StreamingQuery, listener: LateRows | None = None) -> int:
+    """Rows the query dropped behind its watermark; without a listener those of its last 100 batches only."""
+    if listener is not None:
+        return listener.total(query)
     return sum(
         operator.get("numRowsDroppedByWatermark", 0)
         for report in query.recentProgress
         for operator in report["stateOperators"]
     )
+
+
+def append_sessions(sessions: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
+    """Append every session of ``windowed_status(session_gap=...)`` once it is closed by the watermark."""
+    return (
+        sessions.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+    )

@@ -85,3 +85,15 @@ def test_group_limit_is_pushed_below_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     plan = keyed.top_per_group(df, "g", ["v"], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_top_of_a_hot_group_beyond_the_pushdown(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise("cold").alias("g"), (F.col("id") * 7919 % 6007).alias("v"), "id")
+    top = keyed.top_per_group(df, "g", [F.col("v").desc()], 1500)
+    data = df.collect()
+    want = {(g, r.v) for g in ("hot", "cold") for r in sorted((r for r in data if r.g == g), key=lambda r: -r.v)[:1500]}
+    assert {(r.g, r.v) for r in top.collect()} == want
+    tied = keyed.top_per_group(df.select("g", (F.col("v") % 3).alias("v"), "id"), "g", "v", 1001)
+    counts = {r.g: (r.n, r.least) for r in tied.groupBy("g").agg(F.count("*").alias("n"), F.max("v").alias("least")).collect()}
+    assert counts == {"hot": (1001, 0), "cold": (1001, 1)}
+    assert tied.columns == ["g", "v", "id"] and sorted(tied.collect()) == sorted(tied.repartition(7).collect())

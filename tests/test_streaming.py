@@ -1,9 +1,12 @@
+import json
+import os
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from conftest import rows
 from corpuseval import streaming as st
+from corpuseval.streaming import progress
 
 SCHEMA = "run_id string, item_id long, status string, latency_ms double, ts timestamp_ntz"
 START = datetime(2026, 1, 1)
@@ -84,3 +87,36 @@ def test_binary_arrivals_have_no_content(spark, tmp_path):
     (tmp_path / "in" / "a.png").write_bytes(b"x")
     stream = st.corpus_stream(spark, str(tmp_path / "in"), source="binaryFile")
     assert stream.isStreaming and "content" not in stream.columns
+
+
+def test_late_rows_of_many_batches(spark, tmp_path):
+    """112 micro-batches; every tenth brings one row far behind the watermark and one that is in time."""
+    source = tmp_path / "in"
+    source.mkdir()
+    late = 0
+    for k in range(112):
+        lines = [{"run_id": "r", "item_id": f"i{k}", "ts": f"2024-01-01 {k // 10:02d}:{k % 10:02d}:00"}]
+        if k and k % 10 == 0:
+            lines.append({"run_id": "r", "item_id": f"late{k}", "ts": "2020-01-01 00:00:00"})
+            late += 1
+        path = source / f"{k:03d}.json"
+        path.write_text("\n".join(json.dumps(x) for x in lines))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    listener = progress.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        rows_in = progress.corpus_stream(
+            spark, str(source), T.StructType.fromDDL("run_id string, item_id string, ts timestamp"), source="json", files_per_trigger=1
+        )
+        writer = progress.append_stream(rows_in, str(tmp_path / "out"), str(tmp_path / "check"), lateness="1 minute")
+        query = progress.run_available(writer)
+        assert progress.late_rows(query, listener) == late
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 112
+        listener.write(spark, query, str(tmp_path / "late"))
+        stored = spark.read.parquet(str(tmp_path / "late"))
+        assert stored.agg(F.sum("late_rows"), F.count_distinct("batch_id")).first()[:] == (late, late)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.streams.removeListener(listener)
