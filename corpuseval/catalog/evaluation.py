@@ -13,6 +13,7 @@ from corpuseval.plans import compare as compare_job
 from corpuseval.sources.sinks import RUN_COLUMNS, flat_aggregate, flat_report
 
 BASELINE, CANDIDATE, OPTIONAL = ("F", "p0"), ("O", "p1"), ("O", "p9")
+HEADER_RUNS = 84
 PAIR_KEY = ["dataset_id", "restore_provider", "item_id"]
 LABELS = ["p0", "p1", "p2"]
 REVIEW_KEY = ["dataset_id", "item_id"]
@@ -35,6 +36,35 @@ def group_runs(spark, sf):
     return aggregate.group_runs(eval_results(spark, sf))
 
 
+def _report_headers(spark, sf):
+    """Headers of all reports with results, and of reports without: one for each day of the orders, dataset and pair.
+
+    Dataset A has none of the optional pair, R none at all.
+    """
+    k, status = F.col("o_orderkey") % 3, F.col("o_orderstatus")
+    pair = F.when(k == 0, F.lit("F,p0")).when(k == 1, F.lit("O,p1")).otherwise("O,p9")
+    day = table(spark, sf, "orders").filter((status == "O") | ((status == "F") & (k != 2))).select(
+        F.when(status == "F", "A").otherwise("N").alias("dataset_id"),
+        F.split_part(pair, F.lit(","), F.lit(1)).alias("mask_provider"),
+        F.split_part(pair, F.lit(","), F.lit(2)).alias("restore_provider"),
+        F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("e")).alias("run_id"),
+    )
+    path = F.concat_ws("/", "run_id", "dataset_id", F.concat_ws("__", "mask_provider", "restore_provider"))
+    full = eval_results(spark, sf).select(*day.columns, "report_path")
+    return full.unionByName(day.withColumn("report_path", path)).distinct()
+
+
+def group_runs_headers(spark, sf):
+    return aggregate.group_runs(eval_results(spark, sf), headers=_report_headers(spark, sf))
+
+
+def evidence_headers(spark, sf):
+    """The gate over reports with and without results."""
+    rollup = aggregate.report_rollup(eval_results(spark, sf), headers=_report_headers(spark, sf))
+    sections, _ = evidence.evidence_gate(rollup, BASELINE, CANDIDATE, OPTIONAL, minimum_runs=HEADER_RUNS)
+    return sections
+
+
 def status_counts(spark, sf):
     return aggregate.status_counts(eval_results(spark, sf))
 
@@ -252,7 +282,7 @@ QUERIES = {
         compare_items, compare_masks, compare_coverage, delta_summary, status_pairs, set_common,
         set_baseline_only, union_datasets, latest_report, trend, headlines, assess_delta,
         evidence_gate, evidence_issues, distinct_issues, review_common, review_table,
-        review_queue, review_queue_all, dedupe_labels, flat_run_report, run_id_shape,
+        group_runs_headers, evidence_headers, review_queue, review_queue_all, dedupe_labels, flat_run_report, run_id_shape,
     )
 }
 
@@ -320,11 +350,19 @@ long AS (SELECT *, round(round(candidate_value, 6) - round(baseline_value, 6), 6
 trend AS (SELECT *, {_ASSESS} AS assessment FROM long)"""
 
 
-def _issues(minimum: int) -> str:
-    return f"""WITH {EVAL},
-pairs AS (SELECT {_GROUP}, count(DISTINCT report_path) AS run_count, max(run_id) AS latest_run_id FROM eval_results GROUP BY {_GROUP}),
+_EMPTY_REPORTS = """,
+days AS (SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 'A' ELSE 'N' END AS dataset_id, CASE o_orderkey % 3 WHEN 0 THEN 'F' ELSE 'O' END AS mask_provider,
+           CASE o_orderkey % 3 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' ELSE 'p9' END AS restore_provider, strftime(o_orderdate, '%Y%m%d') || 'e' AS run_id
+         FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_orderkey % 3 <> 2)),
+reports AS (SELECT dataset_id, mask_provider, restore_provider, run_id, report_path, 1 AS w FROM eval_results
+  UNION ALL SELECT dataset_id, mask_provider, restore_provider, run_id, run_id || '/' || dataset_id || '/' || mask_provider || '__' || restore_provider, 0 FROM days)"""
+
+
+def _issues(minimum: int, reports: str = "eval_results", more: str = "") -> str:
+    return f"""WITH {EVAL}{more},
+pairs AS (SELECT {_GROUP}, count(DISTINCT report_path) AS run_count, max(run_id) AS latest_run_id FROM {reports} GROUP BY {_GROUP}),
 expected AS (
-  SELECT DISTINCT dataset_id, section, pair_role, m, r FROM eval_results,
+  SELECT DISTINCT dataset_id, section, pair_role, m, r FROM {reports},
   (VALUES ('release_blocking', 'baseline', 'F', 'p0'), ('release_blocking', 'candidate', 'O', 'p1'),
           ('optional_stable', 'baseline', 'F', 'p0'), ('optional_stable', 'candidate', 'O', 'p9')) v(section, pair_role, m, r)),
 judged AS (
@@ -341,7 +379,7 @@ issues AS (
   FROM judged WHERE latest_run_id IS NULL)"""
 
 
-_GATE = f"""{_issues(80)},
+_SECTIONS = """,
 counted AS (SELECT dataset_id, section, count(*) AS issue_count FROM issues GROUP BY dataset_id, section),
 sections AS (
   SELECT j.dataset_id, j.section, CAST(coalesce(max(c.issue_count), 0) AS BIGINT) AS issue_count,
@@ -356,6 +394,7 @@ overall AS (
   FROM sections GROUP BY dataset_id)
 SELECT s.*, CASE WHEN issue_count = 0 THEN 'ready' ELSE 'action_required' END AS status, overall_status
 FROM sections s JOIN overall USING (dataset_id)"""
+_GATE = _issues(80) + _SECTIONS
 
 _REVIEW = f"""WITH {EVAL},
 ranked AS (
@@ -439,6 +478,8 @@ WHERE headline_rank IS NOT NULL AND delta IS NOT NULL AND assessment <> 'flat'""
   FROM lineitem)
 SELECT *, {_ASSESS} AS assessment FROM d""",
     "evidence_gate": _GATE,
+    "evidence_headers": _issues(HEADER_RUNS, "reports", _EMPTY_REPORTS) + _SECTIONS,
+    "group_runs_headers": f"WITH {EVAL}{_EMPTY_REPORTS} SELECT {_GROUP}, run_id, report_path, CAST(sum(w) AS BIGINT) AS item_count FROM reports GROUP BY ALL",
     "evidence_issues": f"{_issues(1000)} SELECT * FROM issues",
     "distinct_issues": f"{_issues(1000)} SELECT DISTINCT dataset_id, pair_role, issue_code, detail FROM issues",
     "review_common": f"""{_REVIEW}

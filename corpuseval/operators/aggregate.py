@@ -36,16 +36,39 @@ def filter_runs(
     return df
 
 
+def with_empty_reports(
+    results: DataFrame, headers: DataFrame, keys: Sequence[str] = GROUP_KEYS, measured: Sequence[str] = ()
+) -> DataFrame:
+    """Result rows of weight 1 and, of every report header, a row of weight 0 without measures.
+
+    A report without results so takes part in whatever counts reports, and changes no mean and no item count. Nothing is joined:
+    results without a header stay, and NULL keys are keys like others.
+    """
+    report = [*keys, "run_id", "report_path"]
+    types = {f.name: f.dataType for f in results.schema.fields}
+    rows = results.select(*report, *measured, F.lit(1).alias("item_weight"))
+    empty = headers.select(*report, *[F.lit(None).cast(types[m]).alias(m) for m in measured], F.lit(0).alias("item_weight"))
+    return rows.unionByName(empty)
+
+
 def report_rollup(
     results: DataFrame,
     keys: Sequence[str] = GROUP_KEYS,
     metrics: Sequence[str] = METRICS,
     confidence: str = "confidence",
+    headers: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per report: item count, metric sums and non-null counts, run id and path."""
+    """One row per report: item count, metric sums and non-null counts, run id and path.
+
+    With ``headers`` (rows per report), reports without results have a row as well, with 0 items. Everything derived from the
+    rollup then counts them: group means, latest reports, trends and the evidence gate.
+    """
     measured = [*metrics, confidence]
+    counted = F.count(F.lit(1))
+    if headers is not None:
+        results, counted = with_empty_reports(results, headers, keys, measured), F.sum("item_weight")
     return results.groupBy(*keys, "run_id", "report_path").agg(
-        F.count(F.lit(1)).alias("item_count"),
+        counted.alias("item_count"),
         *[F.sum(m).alias(f"sum_{m}") for m in measured],
         *[F.count(m).alias(f"n_{m}") for m in measured],
     )
@@ -86,18 +109,15 @@ def aggregate_runs(
     ``headers`` (one row per report) keeps reports without results: they count as runs with no
     items and NULL means. The runs of a group are rows of ``group_runs``, not an array cell.
     """
-    rollup = report_rollup(results, keys, metrics, confidence)
-    if headers is not None:
-        reports = headers.select(*keys, "run_id", "report_path").distinct()
-        rollup = reports.join(rollup, [*keys, "run_id", "report_path"], "left").withColumn(
-            "item_count", F.coalesce("item_count", F.lit(0))
-        )
-    return aggregate_rollup(rollup, keys, metrics, confidence)
+    return aggregate_rollup(report_rollup(results, keys, metrics, confidence, headers), keys, metrics, confidence)
 
 
-def group_runs(results: DataFrame, keys: Sequence[str] = GROUP_KEYS) -> DataFrame:
-    """The runs of every group, one row per report in path order columns."""
-    return results.groupBy(*keys, "run_id", "report_path").agg(F.count(F.lit(1)).alias("item_count"))
+def group_runs(results: DataFrame, keys: Sequence[str] = GROUP_KEYS, headers: DataFrame | None = None) -> DataFrame:
+    """The runs of every group, one row per report in path order columns; with ``headers`` also reports without results."""
+    if headers is None:
+        return results.groupBy(*keys, "run_id", "report_path").agg(F.count(F.lit(1)).alias("item_count"))
+    rows = with_empty_reports(results, headers, keys)
+    return rows.groupBy(*keys, "run_id", "report_path").agg(F.sum("item_weight").alias("item_count"))
 
 
 def category_counts(items: DataFrame, category: str = "category") -> DataFrame:

@@ -255,3 +255,27 @@ def test_whole_comparison_with_masks(spark, tree):
     assert parts["baseline_summary"].first().mean_abs_diff == 4.0
     flat = sinks.flat_report(parts["items"], sinks.COMPARE_COLUMNS)
     assert flat.columns == sinks.COMPARE_COLUMNS and flat.count() == 2
+
+
+def test_reports_without_results_in_the_rollup(spark):
+    from corpuseval.operators import aggregate, evidence
+
+    metric = ["mean_abs_diff"]
+    facts = spark.createDataFrame(
+        [("d", "m", "r", "1", "a", 2.0, 0.5), ("d", "m", "r", "1", "a", 4.0, None), (None, "m", "r", "2", "b", 1.0, 1.0)],
+        "dataset_id string, mask_provider string, restore_provider string, run_id string, report_path string, mean_abs_diff double, confidence double",
+    )
+    headers = spark.createDataFrame(
+        [("d", "m", "r", "1", "a"), ("d", "m", "r", "3", "c"), ("d", "m", "r", "3", "c"), ("e", "m", "r", "1", "x")],
+        "dataset_id string, mask_provider string, restore_provider string, run_id string, report_path string",
+    )
+    runs = aggregate.group_runs(facts, headers=headers)
+    assert rows(runs, "dataset_id", "run_id", "item_count") == [("d", "1", 2), ("d", "3", 0), ("e", "1", 0), (None, "2", 1)]
+    groups = aggregate.aggregate_runs(facts, metrics=metric, headers=headers)
+    assert rows(groups, "dataset_id", "run_count", "item_count", "mean_abs_diff") == [("d", 2, 2, 3.0), ("e", 1, 0, None), (None, 1, 1, 1.0)]
+    rollup = aggregate.report_rollup(facts, metrics=metric, headers=headers)
+    assert rows(evidence.pair_summary(rollup), "dataset_id", "run_count", "latest_run_id", "latest_report") == [
+        ("d", 2, "3", "c"), ("e", 1, "1", "x"), (None, 1, "2", "b"),
+    ]
+    _, issues = evidence.evidence_gate(rollup.filter("dataset_id = 'd'"), ("m", "r"), ("m", "r"), minimum_runs=2)
+    assert issues.count() == 0
