@@ -134,6 +134,7 @@ RESULT = struct(
     mask_words=T.ArrayType(LONG),
     mask_meta=STRING_MAP,
     restore_meta=STRING_MAP,
+    residual_meta=STRING_MAP,
 )
 PIXELS = ["height", "width", "nChannels", "data"]
 CARRIED = ["item_id", "dataset_id", "relative_path", "source_category"]
@@ -203,7 +204,8 @@ def _evaluate_item(item, image, masker, transformer, scorer, skip_cover):
         note=made.note,
     )
     if scorer is not None:
-        scores, failure, _, score_ms = _call(scorer, item, made.restored)
+        scores, failure, note, score_ms = _call(lambda: [float(x) for x in scorer(item, made.restored)])
+        row["residual_meta"] = {"status": failure or "ok", "note": note}
         if not failure:
             row.update(
                 ocr_residual_hits=float(len(scores)),
@@ -230,7 +232,7 @@ def evaluate(
 
     ``items`` has the image-source columns, ``item_id``, ``dataset_id``, ``relative_path``,
     ``source_category`` and whatever else a provider reads. ``scorer`` returns the scores of marks
-    still visible. Narrow: one pass, no shuffle, pixels stay in their task.
+    still visible; ``residual_meta`` has its status (ok, unavailable, error) and note, and is NULL where it did not run. Narrow: one pass, no shuffle, pixels stay in their task.
     """
     masker_of = resolve(MASK_PROVIDERS, mask_provider)
     transformer_of = resolve(TRANSFORM_PROVIDERS, transform_provider)

@@ -147,6 +147,23 @@ def test_evaluate_statuses_and_metrics(spark, providers):
     assert got["f"].restore_latency_ms >= 0
 
 
+def test_residual_scorer_failures_are_told(spark, providers):
+    def scorer(item, image):
+        if item["item_id"] == "f":
+            raise ev.ProviderUnavailable("no reader")
+        if item["item_id"] == "h":
+            raise RuntimeError("reader broke")
+        return ["bad"] if item["item_id"] == "i" else []
+
+    got = {r.item_id: r for r in ev.evaluate(eval_images(spark, "cfhij"), "fussy", "fill", scorer=scorer).collect()}
+    assert got["c"].residual_meta is None and got["j"].residual_meta == {"status": "ok", "note": ""}
+    assert got["f"].residual_meta == {"status": "unavailable", "note": "no reader"}
+    assert got["h"].residual_meta == {"status": "error", "note": "reader broke"} and got["i"].residual_meta["status"] == "error"
+    assert [got[k].ocr_residual_hits for k in "fhij"] == [None, None, None, 0.0] and got["f"].status == "restored"
+    plain = ev.evaluate(eval_images(spark, "f"), "fussy", "fill").first()
+    assert plain.residual_meta is None
+
+
 def test_evaluate_guards(spark, providers):
     with pytest.raises(ValueError, match="unknown provider"):
         ev.evaluate(eval_images(spark, "f"), "none", "fill")
