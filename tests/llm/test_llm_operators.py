@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from corpuseval.llm import decontaminate, jaccard_join, language, line_dedup, lm_score, packing, quality_rules, secrets, toxicity
+from corpuseval.llm import decontaminate, jaccard_join, language, line_dedup, lm_score, packing, quality_rules, secrets, toxicity, units
 from corpuseval.llm import token_counts
 from corpuseval.llm.subword import encoder
 from corpuseval.llm.units import coded, split_units, text_bytes
@@ -385,3 +385,39 @@ def test_decontamination_finds_cut_passages(spark):
     ).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i, k) for i, (k, _, _) in enumerate(cuts)}
     assert all(r.edits == 0 for r in found)
+
+
+def test_lm_score_against_positions():
+    """Scores of blocks of windows equal those of a plain loop over positions and keys."""
+    rng = np.random.default_rng(4)
+    vocabulary = lm_score.Vocabulary.of(rng.integers(0, 50, lm_score.END + 1))
+    ids, bounds = rng.integers(0, lm_score.END, 150), np.array([0, 1, 71, 71, 150])
+    m = lm_score.fit(vocabulary, ids, bounds, steps=5)
+    x, place, text = lm_score.windows(ids, bounds, vocabulary)
+    want = np.zeros(4)
+    for window, places, t in zip(x, place, text, strict=True):
+        for i, at in enumerate(places, lm_score.OVERLAP):
+            if at < 0:
+                continue
+            keys = [j for j in range(i + 1) if window[j] != lm_score.INPUTS + 1]
+            mass = np.array([np.exp(m.q[window[i]] @ m.k[window[j]] / lm_score.WIDTH**0.5 + m.bias[i, j]) for j in keys])
+            mixed = sum(w * m.v[window[j]] for w, j in zip(mass / mass.sum(), keys, strict=True))
+            hidden = np.maximum(mixed @ m.mix + m.r[window[i]], 0)
+            outer = hidden @ m.out + m.direct[window[i]]
+            c, k = divmod(int(vocabulary.klass[ids[at]]), lm_score.INSIDE)
+            inner = hidden @ m.inside[c] + m.pairs[window[i], c]
+            log = outer[c] - np.log(np.exp(outer).sum()) + inner[k] - np.log(np.exp(inner).sum())
+            want[t] += log / np.log(10) + vocabulary.share[ids[at]]
+    np.testing.assert_allclose(lm_score.score(m, vocabulary, ids, bounds, block=4), want, rtol=1e-4)
+
+
+def test_most_frequent(spark):
+    counted = spark.range(0, 1000).selectExpr("id", "cast(1 + 5000 div (id + 1) as bigint) as c")
+    ordered = sorted((r.c for r in counted.collect()), reverse=True)
+    for n in (0, 1, 40, 1000):
+        for parts in (1, 50):
+            got = [r.c for r in units.most_frequent(counted.repartition(parts), "c", n).collect()]
+            assert len(got) <= n and sorted(got, reverse=True) == ordered[: len(got)]
+    assert units.most_frequent(counted, "c", 1000).count() == 1000
+    assert units.most_frequent(counted, "c", 40).count() >= 30
+    assert units.most_frequent(counted.where("c = 6"), "c", 3).count() == 0
