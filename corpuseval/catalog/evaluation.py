@@ -103,7 +103,23 @@ def report_summary(spark, sf):
 
 
 def side_summary(spark, sf):
-    return compare.summarize_side(eval_results(spark, sf))
+    return compare.summarize_side(eval_results(spark, sf)).withColumn("status_counts", F.to_json("status_counts"))
+
+
+def side_summaries(spark, sf):
+    """Both sides of a comparison in one pass, per dataset."""
+    rows = eval_results(spark, sf).filter("mask_provider in ('F', 'O')")
+    sides = compare.summarize_sides(rows, ["dataset_id", "mask_provider"])
+    return sides.withColumn("status_counts", F.to_json("status_counts"))
+
+
+def report_overview(spark, sf):
+    """All reports; some headers have counts of their own, others an empty map."""
+    keys = ["dataset_id", "mask_provider", "restore_provider", "run_id", "report_path"]
+    last = F.right("run_id", F.lit(1))
+    own = F.when(last == "e", F.create_map(F.lit("no_mask"), F.lit(1))).when(last == "5", F.create_map(F.lit("restored"), F.lit(99)))
+    headers = _report_headers(spark, sf).withColumn("status_counts", F.coalesce(own, F.create_map().cast("map<string,int>")))
+    return aggregate.report_overview(eval_results(spark, sf), headers, keys).withColumn("status_counts", F.to_json("status_counts"))
 
 
 def _pairs(spark, sf):
@@ -176,6 +192,10 @@ def trend(spark, sf):
     return trends.trend_snapshot(_rollup(spark, sf), BASELINE, CANDIDATE)
 
 
+def trend_latest(spark, sf):
+    return trends.latest_pair(_rollup(spark, sf), BASELINE, CANDIDATE)
+
+
 def headlines(spark, sf):
     snapshot = trends.trend_snapshot(_rollup(spark, sf), BASELINE, CANDIDATE)
     return trends.headlines(snapshot).select(
@@ -200,6 +220,14 @@ def evidence_gate(spark, sf):
     return sections
 
 
+def evidence_headlines(spark, sf):
+    rollup = _rollup(spark, sf)
+    sections, _ = evidence.evidence_gate(rollup, BASELINE, CANDIDATE, OPTIONAL, minimum_runs=80)
+    both = evidence.with_headlines(sections, evidence.section_headlines(rollup, BASELINE, CANDIDATE, OPTIONAL))
+    text = F.array_join(F.transform("headlines", lambda h: F.concat_ws(":", h["metric_key"], h["assessment"])), ",")
+    return both.select("dataset_id", "section", "status", F.size("headlines").cast("bigint").alias("headline_count"), text.alias("headlines"))
+
+
 def evidence_issues(spark, sf):
     _, issues = evidence.evidence_gate(_rollup(spark, sf), BASELINE, CANDIDATE, OPTIONAL, minimum_runs=1000)
     return issues
@@ -278,7 +306,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         aggregate_runs, aggregate_filtered, aggregate_run_range, group_runs, status_counts,
-        status_map_report, dataset_counts, merge_status_maps, report_summary, side_summary,
+        status_map_report, dataset_counts, merge_status_maps, report_summary, side_summary, side_summaries, report_overview, trend_latest, evidence_headlines,
         compare_items, compare_masks, compare_coverage, delta_summary, status_pairs, set_common,
         set_baseline_only, union_datasets, latest_report, trend, headlines, assess_delta,
         evidence_gate, evidence_issues, distinct_issues, review_common, review_table,
@@ -350,6 +378,11 @@ long AS (SELECT *, round(round(candidate_value, 6) - round(baseline_value, 6), 6
 trend AS (SELECT *, {_ASSESS} AS assessment FROM long)"""
 
 
+#: Rows (status, n) as a JSON object.
+_STATUS_JSON = """'{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}'"""
+_LINES = """SELECT dataset_id, count(*) AS n, string_agg(metric_key || ':' || assessment, ',' ORDER BY headline_rank) AS lines
+  FROM trend WHERE section = 'baseline_aggregate' AND headline_rank IS NOT NULL AND delta IS NOT NULL AND assessment <> 'flat' GROUP BY dataset_id"""
+
 _EMPTY_REPORTS = """,
 days AS (SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 'A' ELSE 'N' END AS dataset_id, CASE o_orderkey % 3 WHEN 0 THEN 'F' ELSE 'O' END AS mask_provider,
            CASE o_orderkey % 3 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' ELSE 'p9' END AS restore_provider, strftime(o_orderdate, '%Y%m%d') || 'e' AS run_id
@@ -436,7 +469,33 @@ SELECT run_id, status, CAST(sum(n) AS BIGINT) AS n FROM entries GROUP BY run_id,
         f"SELECT {_GROUP}, '{m}' AS metric_key, count({m}) AS sample_count, round(avg({m}), 6) AS mean_value FROM eval_results GROUP BY {_GROUP}"
         for m in METRICS
     ),
-    "side_summary": f"WITH {EVAL} SELECT count(*) AS item_count, {POOLED}, round(avg(round(confidence, 6)), 6) AS mean_confidence FROM eval_results",
+    "side_summary": f"""WITH {EVAL}, counted AS (SELECT coalesce(status, '') AS status, count(*) AS n FROM eval_results GROUP BY 1)
+SELECT count(*) AS item_count, {POOLED}, round(avg(round(confidence, 6)), 6) AS mean_confidence,
+       (SELECT {_STATUS_JSON} FROM counted) AS status_counts FROM eval_results""",
+    "side_summaries": f"""WITH {EVAL},
+counted AS (SELECT dataset_id, mask_provider, coalesce(status, '') AS status, count(*) AS n FROM eval_results GROUP BY ALL),
+maps AS (SELECT dataset_id, mask_provider, {_STATUS_JSON} AS status_counts FROM counted GROUP BY ALL)
+SELECT dataset_id, mask_provider, count(*) AS item_count, {POOLED}, round(avg(round(confidence, 6)), 6) AS mean_confidence,
+       any_value(status_counts) AS status_counts
+FROM eval_results JOIN maps USING (dataset_id, mask_provider) WHERE mask_provider IN ('F', 'O') GROUP BY dataset_id, mask_provider""",
+    "report_overview": f"""WITH {EVAL}{_EMPTY_REPORTS},
+every AS (SELECT {_GROUP}, run_id, report_path, CAST(sum(w) AS BIGINT) AS item_count FROM reports GROUP BY ALL),
+counted AS (SELECT {_GROUP}, run_id, report_path, coalesce(status, 'unknown') AS status, count(*) AS n FROM eval_results GROUP BY ALL),
+maps AS (SELECT {_GROUP}, run_id, report_path, {_STATUS_JSON} AS status_counts FROM counted GROUP BY ALL),
+means AS (SELECT {_GROUP}, run_id, report_path, round(avg(confidence), 6) AS mean_confidence FROM eval_results GROUP BY ALL)
+SELECT {_GROUP}, run_id, report_path, item_count, mean_confidence,
+       CASE right(run_id, 1) WHEN 'e' THEN '{{"no_mask":1}}' WHEN '5' THEN '{{"restored":99}}' ELSE status_counts END AS status_counts
+FROM every LEFT JOIN maps USING ({_GROUP}, run_id, report_path) LEFT JOIN means USING ({_GROUP}, run_id, report_path)""",
+    "trend_latest": f"""WITH {EVAL},
+roles AS (SELECT *, CASE WHEN mask_provider = 'F' AND restore_provider = 'p0' THEN 'baseline'
+                         WHEN mask_provider = 'O' AND restore_provider = 'p1' THEN 'candidate' END AS role FROM eval_results)
+SELECT dataset_id, role, run_id, report_path, count(*) AS item_count, {POOLED}, round(avg(confidence), 6) AS {CONFIDENCE}
+FROM roles WHERE role IS NOT NULL GROUP BY dataset_id, role, run_id, report_path
+QUALIFY row_number() OVER (PARTITION BY dataset_id, role ORDER BY run_id DESC, report_path) = 1""",
+    "evidence_headlines": f"""SELECT g.dataset_id, g.section, g.status, coalesce(h.n, 0) AS headline_count, coalesce(h.lines, '') AS headlines
+FROM ({_GATE}) g LEFT JOIN (
+  SELECT 'release_blocking' AS section, * FROM ({_TREND} {_LINES}) UNION ALL
+  SELECT 'optional_stable', * FROM ({_TREND.replace("'p1'", "'p9'")} {_LINES})) h ON h.dataset_id = g.dataset_id AND h.section = g.section""",
     "compare_items": f"{_PAIRED} SELECT * FROM items",
     "compare_masks": f"""{_PAIRED},
 n AS (SELECT *, CAST(item_id AS INT) * 7 + 1 + ascii('F') AS fb, CAST(item_id AS INT) * 7 + 1 + ascii('O') AS fc FROM items),

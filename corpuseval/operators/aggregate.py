@@ -179,3 +179,37 @@ def report_status_counts(
     recounted = results.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("n"))
     without = recounted.join(from_header.select(*keys).distinct(), list(keys), "left_anti")
     return from_header.unionByName(without)
+
+
+def report_overview(
+    results: DataFrame,
+    headers: DataFrame | None = None,
+    keys: Sequence[str] = ("report_path",),
+    confidence: str = "confidence",
+    status: str = "status",
+) -> DataFrame:
+    """Item count, mean confidence and status counts of every report.
+
+    ``headers`` (``keys`` and a map ``status_counts``) adds reports without results, and its counts go before recounted
+    ones unless they are empty. A missing status is ``unknown``. Results are reduced by (report, status) before they meet
+    the headers, so a report with many rows is spread over map tasks.
+    """
+    counts = "array<struct<status:string,n:bigint>>"
+    rows = results.groupBy(*keys, F.coalesce(status, F.lit("unknown")).alias("_status")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(confidence).alias("_sum"), F.count(confidence).alias("_known")
+    ).withColumn("_header", F.lit(None).cast(counts))
+    if headers is not None:
+        entries = F.array_sort(F.map_entries("status_counts").cast(counts))
+        none = F.lit(None)
+        rows = rows.unionByName(
+            headers.select(
+                *keys, none.cast("string").alias("_status"), F.lit(0).cast("bigint").alias("_n"), none.cast("double").alias("_sum"),
+                F.lit(0).cast("bigint").alias("_known"), F.when(F.size("status_counts") > 0, entries).alias("_header"),
+            )
+        )
+    own = F.collect_list(F.when(F.col("_status").isNotNull(), F.struct(F.col("_status").alias("status"), F.col("_n").alias("n"))))
+    return rows.groupBy(*keys).agg(
+        F.sum("_n").alias("item_count"),
+        F.round(F.sum("_sum") / F.sum("_known"), 6).alias("mean_confidence"),
+        F.map_from_entries(F.coalesce(F.max("_header"), F.array_sort(own))).alias("status_counts"),
+    )

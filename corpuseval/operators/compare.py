@@ -97,6 +97,16 @@ def coverage(base: DataFrame, cand: DataFrame, key: str | Sequence[str] = "item_
     )
 
 
+def coverage_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``coverage`` from the rows of ``pair_rows``."""
+    left, right = F.col("b").isNotNull(), F.col("c").isNotNull()
+    return pairs.agg(
+        F.count_if(left & right).alias("common_item_count"),
+        F.count_if(left & ~right).alias("baseline_only_count"),
+        F.count_if(~left & right).alias("candidate_only_count"),
+    )
+
+
 def delta_summary(rows: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Mean, min and max delta per metric. Wide aggregates first; only the single result row is unpivoted."""
     wide = rows.agg(
@@ -125,10 +135,31 @@ def overlap_summary(rows: DataFrame, iou: str = "mask_iou", precision: str = "ma
     )
 
 
-def summarize_side(results: DataFrame, metrics: Sequence[str] = METRICS, confidence: str = "confidence") -> DataFrame:
-    """Item count, metric means and mean confidence of one side, over all its rows."""
-    return results.agg(
-        F.count(F.lit(1)).alias("item_count"),
-        *[F.round(F.avg(m), 6).alias(m) for m in metrics],
-        F.round(F.avg(F.round(confidence, 6)), 6).alias("mean_confidence"),
+def summarize_sides(
+    results: DataFrame,
+    side: str | Sequence[str] = "_side",
+    metrics: Sequence[str] = METRICS,
+    confidence: str = "confidence",
+    status: str = "status",
+) -> DataFrame:
+    """Item count, status counts, metric means and mean confidence of every side, over all its rows.
+
+    Rows are reduced by (side, status) in one pass over both sides; a missing status counts as the empty string.
+    """
+    keys = names(side)
+    measured = {**{m: F.col(m) for m in metrics}, "mean_confidence": F.round(confidence, 6)}
+    counted = results.groupBy(*keys, F.coalesce(F.col(status).cast("string"), F.lit("")).alias("_status")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(c).alias(f"_sum_{m}") for m, c in measured.items()],
+        *[F.count(c).alias(f"_n_{m}") for m, c in measured.items()],
+    )
+    return counted.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("item_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_status", "_n")))).alias("status_counts"),
+        *[F.round(F.sum(f"_sum_{m}") / F.sum(f"_n_{m}"), 6).alias(m) for m in measured],
     )
+
+
+def summarize_side(results: DataFrame, metrics: Sequence[str] = METRICS, confidence: str = "confidence") -> DataFrame:
+    """``summarize_sides`` of one side, always one row."""
+    return summarize_sides(results, (), metrics, confidence)

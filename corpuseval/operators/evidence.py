@@ -8,8 +8,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuseval.metrics import GROUP_KEYS
-from corpuseval.operators.trends import Pair, is_pair
+from corpuseval.functions.runs import assessment, delta
+from corpuseval.metrics import CONFIDENCE, GROUP_KEYS, METRICS, headline_rank, preference
+from corpuseval.operators.trends import Pair, by_role, group_profile, is_pair
 
 # Section names, issue codes, states and the default number of runs.
 REQUIRED_SECTION, OPTIONAL_SECTION = "release_blocking", "optional_stable"
@@ -142,6 +143,42 @@ def _judge(
     return judged.withColumn("optional_issues", F.array_compact(extra))
 
 
+def section_headlines(
+    rollup: DataFrame, baseline: Pair, candidate: Pair, optional: Pair | None = None, metrics: Sequence[str] = METRICS
+) -> DataFrame:
+    """Headlines of every section, in their fixed order: the latest report of its candidate against the baseline's aggregate.
+
+    A section without a baseline group or a candidate report has no row. All sections come from one profile of the groups.
+    """
+    roles = {"baseline": baseline, "candidate": candidate, "optional": optional or candidate}
+    ranked = sorted((m for m in [*metrics, CONFIDENCE] if headline_rank(m)), key=headline_rank)
+    wide = by_role(group_profile(rollup, metrics=metrics), roles, [*metrics, CONFIDENCE, "latest"])
+
+    def section(name: str, role: str) -> Column:
+        def line(m: str) -> Column:
+            before, after = F.col(f"baseline.{m}"), F.col(f"{role}.latest.{m}")
+            change = delta(F.round(before, 6), F.round(after, 6))
+            return F.struct(
+                F.lit(headline_rank(m)).alias("headline_rank"), F.lit(m).alias("metric_key"), before.alias("baseline_value"),
+                after.alias("candidate_value"), change.alias("delta"), assessment(F.lit(preference(m)), change).alias("assessment"),
+            )
+
+        lines = F.filter(F.array(*[line(m) for m in ranked]), lambda x: x["delta"].isNotNull() & (x["assessment"] != "flat"))
+        found = F.col("baseline").isNotNull() & F.col(f"{role}.latest").isNotNull()
+        return F.struct(F.lit(name).alias("section"), F.when(found, lines).alias("headlines"))
+
+    sections = [section(REQUIRED_SECTION, "candidate"), *([section(OPTIONAL_SECTION, "optional")] if optional else [])]
+    return wide.select("dataset_id", F.inline(F.array(*sections))).filter("headlines is not null")
+
+
+def with_headlines(sections: DataFrame, lines: DataFrame) -> DataFrame:
+    """The sections of ``evidence_gate`` with their headlines, an empty list where there is none."""
+    kind = lines.schema["headlines"].dataType
+    dataset = F.col("s.dataset_id").eqNullSafe(F.col("h.dataset_id"))
+    joined = sections.alias("s").join(lines.alias("h"), dataset & (F.col("s.section") == F.col("h.section")), "left")
+    return joined.select("s.*", F.coalesce("h.headlines", F.array().cast(kind)).alias("headlines"))
+
+
 def distinct_issues(issues: DataFrame) -> DataFrame:
     """Issues by (role, code, detail), across sections."""
     return issues.select("dataset_id", "pair_role", "issue_code", "detail").dropDuplicates()

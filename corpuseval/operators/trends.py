@@ -102,6 +102,19 @@ def by_role(groups: DataFrame, roles: dict[str, Pair], payload: Sequence[str]) -
     return wanted.groupBy("dataset_id").agg(*[pick(pair).alias(role) for role, pair in roles.items()])
 
 
+def latest_pair(
+    rollup: DataFrame, baseline: Pair, candidate: Pair, dataset: str | None = None, metrics: Sequence[str] = METRICS
+) -> DataFrame:
+    """Latest report of either role, a row per (dataset, role): run, path, item count and means."""
+    if dataset is not None:
+        rollup = rollup.filter(F.col("dataset_id") == dataset)
+    roles = {"baseline": baseline, "candidate": candidate}
+    wide = by_role(group_profile(rollup, metrics=metrics), roles, ["latest_run_id", "latest"])
+    cells = F.array(*[F.struct(F.lit(role).alias("role"), F.col(role).alias("_ref")) for role in roles])
+    rows = wide.select("dataset_id", F.inline(cells)).filter("_ref.latest is not null")
+    return rows.select("dataset_id", "role", F.col("_ref.latest_run_id").alias("run_id"), "_ref.latest.*")
+
+
 def trend_snapshot(
     rollup: DataFrame,
     baseline: Pair,

@@ -252,7 +252,9 @@ def test_whole_comparison_with_masks(spark, tree):
     assert rows(parts["items"], "item_id", "mask_iou", "delta_mean_abs_diff") == [("i1", 1.0, 0.0), ("i2", None, 0.0)]
     assert rows(parts["overlap_summary"]) == [(1, 1.0, 1.0, 1.0)]
     assert rows(parts["coverage"]) == [(2, 0, 0)] and rows(parts["status_pairs"]) == [("restored__restored", 2)]
-    assert parts["baseline_summary"].first().mean_abs_diff == 4.0
+    assert rows(parts["side_summaries"], "side", "item_count", "mean_abs_diff", "status_counts") == [
+        ("baseline", 2, 4.0, {"restored": 2}), ("candidate", 2, 4.0, {"restored": 2}),
+    ]
     flat = sinks.flat_report(parts["items"], sinks.COMPARE_COLUMNS)
     assert flat.columns == sinks.COMPARE_COLUMNS and flat.count() == 2
 
@@ -279,3 +281,64 @@ def test_reports_without_results_in_the_rollup(spark):
     ]
     _, issues = evidence.evidence_gate(rollup.filter("dataset_id = 'd'"), ("m", "r"), ("m", "r"), minimum_runs=2)
     assert issues.count() == 0
+
+
+def test_side_summaries_and_coverage_of_pairs(spark):
+    facts = spark.createDataFrame(
+        [("b", "i1", "x", 0.5, 1.0, 1), ("b", "i1", None, None, 3.0, 2), ("b", "", "x", 0.7, None, 3), ("c", "i2", "", 0.1, 2.0, 4), ("c", "i1", "y", 0.3, 2.0, 5)],
+        "_side string, item_id string, status string, confidence double, mean_abs_diff double, pos int",
+    ).withColumn("relative_path", F.col("item_id"))
+    metric = ["mean_abs_diff"]
+    found = rows(compare.summarize_sides(facts, metrics=metric), "_side", "item_count", "status_counts", "mean_abs_diff", "mean_confidence")
+    assert found == [("b", 3, {"": 1, "x": 2}, 2.0, 0.6), ("c", 2, {"": 1, "y": 1}, 2.0, 0.2)]
+    none = compare.summarize_side(facts.filter("false"), metric).first()
+    assert none.item_count == 0 and none.status_counts == {} and none.mean_abs_diff is None
+    b, c = F.col("_side") == "b", F.col("_side") == "c"
+    pairs = compare.pair_rows(facts, b, c, payload=[*compare.PAYLOAD, *metric])
+    assert rows(compare.coverage_of_pairs(pairs)) == rows(compare.coverage(facts.filter(b), facts.filter(c))) == [(1, 0, 1)]
+
+
+def test_report_overview(spark):
+    facts = spark.createDataFrame(
+        [("a", "x", 0.5), ("a", "x", None), ("b", None, None), ("b", "y", 1.0), (None, "y", 0.25)],
+        "report_path string, status string, confidence double",
+    )
+    headers = spark.createDataFrame(
+        [("a", {"restored": 5}), ("b", {}), ("e", {"no_mask": 2}), ("f", None)], "report_path string, status_counts map<string,long>"
+    )
+    columns = ["report_path", "item_count", "mean_confidence", "status_counts"]
+    assert rows(aggregate.report_overview(facts, headers), *columns) == [
+        ("a", 2, 0.5, {"restored": 5}), ("b", 2, 1.0, {"unknown": 1, "y": 1}), ("e", 0, None, {"no_mask": 2}), ("f", 0, None, {}),
+        (None, 1, 0.25, {"y": 1}),
+    ]
+    assert rows(aggregate.report_overview(facts), "report_path", "item_count") == [("a", 2), ("b", 2), (None, 1)]
+
+
+def test_trend_report_and_section_headlines(spark):
+    from corpuseval.operators import evidence
+    from corpuseval.plans import trend
+
+    metric = ["mean_abs_diff"]
+    facts = spark.createDataFrame(
+        [
+            ("d", "s", "base", "1", "p1", 4.0, 0.5), ("d", "s", "base", "2", "p2", 6.0, 0.5), ("d", "o", "cand", "1", "p3", 9.0, 0.5),
+            ("d", "o", "cand", "3", "p4", 2.0, 0.5), ("e", "o", "cand", "1", "p5", 2.0, 0.5),
+        ],
+        "dataset_id string, mask_provider string, restore_provider string, run_id string, report_path string, mean_abs_diff double, confidence double",
+    )
+    rollup = aggregate.report_rollup(facts, metrics=metric)
+    base, cand = ("s", "base"), ("o", "cand")
+    status = spark.createDataFrame([("x__y", 1)], "status_pair string, n long")
+    parts = trend.trend_report(rollup, {"status_pairs": status, "items": facts}, base, cand, metrics=metric)
+    assert set(parts) == {"comparison_status_pairs", "latest", "sections", "headlines"}
+    assert rows(parts["latest"], "dataset_id", "role", "run_id", "report_path", "item_count", "mean_abs_diff") == [
+        ("d", "baseline", "2", "p2", 1, 6.0), ("d", "candidate", "3", "p4", 1, 2.0), ("e", "candidate", "1", "p5", 1, 2.0),
+    ]
+    assert rows(parts["headlines"].filter("section = 'baseline_aggregate'"), "metric_key", "delta", "assessment") == [("mean_abs_diff", -3.0, "improved")]
+    lines = evidence.section_headlines(rollup, base, cand, metrics=metric)
+    sections, _ = evidence.evidence_gate(rollup, base, cand, minimum_runs=1)
+    found = {(r.dataset_id, r.section): [(h.metric_key, h.delta) for h in r.headlines] for r in evidence.with_headlines(sections, lines).collect()}
+    assert found == {
+        ("d", "release_blocking"): [("mean_abs_diff", -3.0)], ("d", "optional_stable"): [],
+        ("e", "release_blocking"): [], ("e", "optional_stable"): [],
+    }
