@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from corpuseval.catalog.views import EVAL, POOLED, POS_DESC, eval_results, table
 from corpuseval.functions.arrays import pack_mask
 from corpuseval.functions.runs import assessment, delta, looks_like_run_id, run_ts
-from corpuseval.metrics import CONFIDENCE, METRICS, headline_rank, preference
+from corpuseval.metrics import BASE_METRICS, CONFIDENCE, METRICS, headline_rank, preference
 from corpuseval.operators import aggregate, compare, evidence, keyed, review, trends
 from corpuseval.plans import compare as compare_job
-from corpuseval.sources.sinks import RUN_COLUMNS, flat_aggregate, flat_report
+from corpuseval.sources.sinks import RUN_COLUMNS, RUN_COUNTS, flat_aggregate, flat_run
 
 BASELINE, CANDIDATE, OPTIONAL = ("F", "p0"), ("O", "p1"), ("O", "p9")
 HEADER_RUNS = 84
@@ -279,14 +279,12 @@ def dedupe_labels(spark, sf):
 
 
 TEXT_COLUMNS = [
-    "item_id", "dataset_id", "relative_path", "status", "mask_provider", "restore_provider",
-    "restore_session_mode", "note",
+    "item_id", "dataset_id", "relative_path", "status", "mask_provider", "restore_provider", "note",
 ]
 
 
 def flat_run_report(spark, sf):
-    # Number formatting differs between engines, so the checked columns are the text ones.
-    return flat_report(eval_results(spark, sf), [c for c in RUN_COLUMNS if c in TEXT_COLUMNS])
+    return flat_run(eval_results(spark, sf))
 
 
 def run_id_shape(spark, sf):
@@ -378,6 +376,14 @@ long AS (SELECT *, round(round(candidate_value, 6) - round(baseline_value, 6), 6
 trend AS (SELECT *, {_ASSESS} AS assessment FROM long)"""
 
 
+def _flat_run_cell(name: str) -> str:
+    if name in METRICS:
+        missing = "'0'" if name in RUN_COUNTS else "'0.000000'"
+        value = f"CAST(CAST(round({name}) AS BIGINT) AS VARCHAR)" if name in RUN_COUNTS else f"printf('%.6f', round({name}, 6))"
+        return f"""coalesce({value}, {missing if name in BASE_METRICS else "''"}) AS {name}"""
+    return name if name in TEXT_COLUMNS else f"'' AS {name}"
+
+
 #: Rows (status, n) as a JSON object.
 _STATUS_JSON = """'{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}'"""
 _LINES = """SELECT dataset_id, count(*) AS n, string_agg(metric_key || ':' || assessment, ',' ORDER BY headline_rank) AS lines
@@ -562,7 +568,7 @@ SELECT report_path, item_count, run_id, label,
        CASE WHEN total = 1 THEN label WHEN run_id <> '' THEN label || '@' || run_id ELSE label || '@' || ordinal END AS unique_label
 FROM numbered""",
     "flat_run_report": f"""WITH {EVAL}
-SELECT item_id, dataset_id, relative_path, status, mask_provider, restore_provider, '' AS restore_session_mode, note FROM eval_results""",
+SELECT {", ".join(_flat_run_cell(c) for c in RUN_COLUMNS)} FROM eval_results""",
     "run_id_shape": """WITH made AS (
   SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber WHEN 1 THEN strftime(l_shipdate, '%Y%m%d-%H%M%S-%f')
     WHEN 2 THEN strftime(l_shipdate, '%Y%m%d%H%M%S%f') WHEN 3 THEN strftime(l_shipdate, '%Y-%m-%d-%H-%M-%S')

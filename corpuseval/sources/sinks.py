@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpuseval.metrics import CONFIDENCE, GROUP_KEYS, LATENCY_METRICS, METRICS
+from corpuseval.metrics import BASE_METRICS, CONFIDENCE, GROUP_KEYS, LATENCY_METRICS, METRICS
 
 # CSV column order of each report kind.
 RUN_COLUMNS = [
@@ -16,6 +16,7 @@ RUN_COLUMNS = [
     "ocr_residual_hits", "ocr_residual_score", "ocr_residual_max_score", "mask_session_mode",
     "ocr_residual_session_mode", "mask_path", "overlay_path", "restored_path", "note",
 ]
+RUN_COUNTS = ["mask_nonzero", "changed_nonzero", "ocr_residual_hits"]
 BATCH_COLUMNS = [
     "source_path", "relative_path", "category", "status", "note", "mask_provider",
     "restore_provider", "mask_nonzero", "confidence", "mask_latency_ms", "restore_latency_ms",
@@ -55,6 +56,47 @@ def flat_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[flat_cell(df, c) for c in columns])
 
 
+def _number(df: DataFrame, name: str, decimals: int, missing: str) -> Column:
+    """A number as text with fixed decimals, which any engine writes alike; ``missing`` where it is absent or NULL."""
+    if name not in df.columns:
+        return F.lit(missing).alias(name)
+    value = F.format_string(f"%.{decimals}f", F.round(F.col(name).cast("double"), decimals)) if decimals else F.round(name).cast("bigint").cast("string")
+    return F.coalesce(F.when(F.col(name).isNotNull(), value), F.lit(missing)).alias(name)
+
+
+def flat_run(results: DataFrame) -> DataFrame:
+    """Evaluation results as the flat run report, all columns as text: counts whole, other numbers with 6 decimals.
+
+    Mask and change metrics that are missing read as zero, missing latencies and residual scores as empty.
+    """
+
+    def cell(name: str) -> Column:
+        if name not in METRICS:
+            return flat_cell(results, name)
+        decimals = 0 if name in RUN_COUNTS else 6
+        zero = "0" if decimals == 0 else "0.000000"
+        return _number(results, name, decimals, zero if name in BASE_METRICS else "")
+
+    return results.select(*[cell(name) for name in RUN_COLUMNS])
+
+
+def flat_dataset(items: DataFrame) -> DataFrame:
+    """Prepared items as the flat dataset manifest; items without a seed have empty seed paths."""
+    return flat_report(items, DATASET_COLUMNS)
+
+
+def flat_notes(items: DataFrame) -> DataFrame:
+    """Prepared items as a table for manual scores: without a seed mask zero, with two empty columns to fill in."""
+    numbers = {"seed_mask_nonzero": _number(items, "seed_mask_nonzero", 0, "0"), "seed_confidence": _number(items, "seed_confidence", 6, "0.000000")}
+    return items.select(*[numbers[c] if c in numbers else flat_cell(items.drop("manual_score", "comment"), c) for c in NOTES_COLUMNS])
+
+
+def write_dataset_reports(items: DataFrame, root: str) -> None:
+    """The dataset manifest and the notes as CSV folders ``manifest`` and ``notes`` below ``root``."""
+    write_csv(flat_dataset(items), f"{root}/manifest")
+    write_csv(flat_notes(items), f"{root}/notes")
+
+
 def flat_batch(results: DataFrame) -> DataFrame:
     """Batch results (nested) as the flat batch report: confidence with 4, latencies with 3 decimals."""
 

@@ -342,3 +342,27 @@ def test_trend_report_and_section_headlines(spark):
         ("d", "release_blocking"): [("mean_abs_diff", -3.0)], ("d", "optional_stable"): [],
         ("e", "release_blocking"): [], ("e", "optional_stable"): [],
     }
+
+
+def test_flat_run_and_dataset_reports(spark, tmp_path):
+    facts = spark.createDataFrame(
+        [("i1", "restored", 12.0, 0.5, 1.25, None, {"a": 1}), ("i2", None, None, None, None, 3.0, None)],
+        "item_id string, status string, mask_nonzero double, mask_ratio double, mask_latency_ms double, ocr_residual_hits double, note map<string,int>",
+    )
+    flat = sinks.flat_run(facts)
+    assert flat.columns == sinks.RUN_COLUMNS
+    columns = ["item_id", "status", "mask_nonzero", "mask_ratio", "edge_delta", "mask_latency_ms", "ocr_residual_hits", "ocr_residual_score", "note"]
+    assert rows(flat, *columns) == [
+        ("i1", "restored", "12", "0.500000", "0.000000", "1.250000", "", "", '{"a":1}'), ("i2", "", "0", "0.000000", "0.000000", "", "3", "", ""),
+    ]
+    items = spark.createDataFrame(
+        [("i1", "a.png", 'say "hi", now', 5, 0.25, "old"), ("i2", None, "", None, None, "old")],
+        "item_id string, relative_path string, prompt string, seed_mask_nonzero int, seed_confidence double, comment string",
+    )
+    sinks.write_dataset_reports(items, str(tmp_path / "out"))
+    read = spark.read.option("header", True).option("escape", '"')
+    notes = read.csv(str(tmp_path / "out" / "notes"))
+    assert notes.columns == sinks.NOTES_COLUMNS and read.csv(str(tmp_path / "out" / "manifest")).columns == sinks.DATASET_COLUMNS
+    assert rows(notes, "item_id", "relative_path", "prompt", "seed_mask_nonzero", "seed_confidence", "comment") == [
+        ("i1", "a.png", 'say "hi", now', "5", "0.250000", None), ("i2", None, None, "0", "0.000000", None),
+    ]
