@@ -67,7 +67,7 @@ def scan_limit(spark, sf):
 
 
 def sequence_ids(spark, sf):
-    routed = scan.route_items(scan_items(spark, sf))
+    routed = scan.route_items(scan_items(spark, sf)).select("dataset_id", "relative_path")
     return scan.sequence_ids(routed).select("dataset_id", "item_id", "relative_path")
 
 

@@ -27,9 +27,8 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_progress(spark, sf):
     root = scratch_dir(spark)
-    counts = progress.progress_stream(_arrivals(spark, sf))
-    progress.run_available(progress.write_progress(counts, f"{root}/changes", f"{root}/checkpoint"))
-    return progress.read_progress(spark, f"{root}/changes")
+    progress.run_available(progress.write_counts(_arrivals(spark, sf), f"{root}/counts", f"{root}/checkpoint"))
+    return progress.read_counts(spark, f"{root}/counts")
 
 
 def stream_append(spark, sf):

@@ -61,6 +61,7 @@ def ordered_number(
     partition: str | Sequence[str],
     order: str | Sequence[str | Column],
     name: str = "seq",
+    key: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Number rows 1..n in ``order`` within each ``partition`` without one task per partition.
 
@@ -69,7 +70,15 @@ def ordered_number(
     by physical position, and a prefix sum over slice sizes (one row per slice) supplies the
     offsets. The sliced rows are stored once so that both passes see the same slices.
     ``order`` should be unique per partition for a deterministic result.
+
+    ``key`` names columns that identify a row and are not null; ``order`` has to be names then. Only key, partition and order are
+    sliced, sorted and stored; rows get their number by a join on the key, which is unique, so no key of it is hot. It pays for wide
+    rows: rows of a few short columns are numbered as fast whole.
     """
+    if key is not None:
+        narrow = df.select(*dict.fromkeys([*names(key), *names(partition), *names(order)]))
+        numbers = ordered_number(narrow, partition, order, name).select(*names(key), name)
+        return df.join(numbers, names(key)).select(*df.columns, name)
     groups, keys = names(partition), [*names(partition), *names(order)]
     sliced = (
         df.repartitionByRange(*keys)

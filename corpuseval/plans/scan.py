@@ -62,9 +62,11 @@ def route_items(items: DataFrame) -> DataFrame:
     return items.withColumn("dataset_id", dataset_of(F.col("category")))
 
 
-def sequence_ids(items: DataFrame, partition: str = "dataset_id", order: str = "relative_path") -> DataFrame:
-    """Add ``item_id`` such as ``regular-0001`` in path order per dataset."""
-    numbered = ordered_number(items, partition, order, "_seq")
+def sequence_ids(
+    items: DataFrame, partition: str = "dataset_id", order: str = "relative_path", key: str | None = None
+) -> DataFrame:
+    """Add ``item_id`` such as ``regular-0001`` in path order per dataset; with a unique ``key`` only keys are numbered."""
+    numbered = ordered_number(items, partition, order, "_seq", key)
     digits = F.col("_seq").cast("string")
     padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
     return numbered.withColumn(

@@ -7,9 +7,11 @@ from corpuseval.streaming.progress import (
     late_rows,
     pending_stream,
     progress_stream,
+    read_counts,
     read_progress,
     run_available,
     windowed_status,
+    write_counts,
     write_progress,
 )
 
@@ -21,8 +23,10 @@ __all__ = [
     "late_rows",
     "pending_stream",
     "progress_stream",
+    "read_counts",
     "read_progress",
     "run_available",
     "windowed_status",
+    "write_counts",
     "write_progress",
 ]

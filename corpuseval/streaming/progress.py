@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
@@ -64,6 +65,56 @@ def read_progress(spark: SparkSession, target: str, keys: Sequence[str] = ("run_
     return newest.select(*keys, "_row.*")
 
 
+def write_counts(
+    sdf: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("run_id", "status"), every: int = 16
+) -> DataStreamWriter:
+    """Counts per key of an unbounded stream, without state and in a table of bounded size.
+
+    Counts add up, so a micro-batch stores only its own: no state is held, late rows count like others, and a run that has
+    ended costs nothing but its rows in the table. Batch b takes slot ``b % (2 * every)`` in place of the batch before in it.
+    Every ``every`` batches the counts since the last snapshot are added to it and stored in the older of two snapshot slots.
+    A replayed batch finds the snapshot before its own and all batches since then unchanged and stores the same rows anew.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark, turn = batch.sparkSession, batch_id // every
+
+        def stamped(counts: DataFrame) -> DataFrame:
+            return counts.select(*keys, "n", F.lit(batch_id).cast("long").alias("upto"), F.lit(turn).cast("long").alias("turn"))
+
+        counted = stamped(batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+        counted.write.mode("overwrite").parquet(f"{target}/changes/slot={batch_id % (2 * every)}")
+        if batch_id % every == every - 1:
+            stored = spark.read.schema(counted.schema)
+            since = [f"{target}/changes/slot={b % (2 * every)}" for b in range(turn * every, batch_id + 1)]
+            rows = stored.parquet(*since)
+            if turn:
+                rows = rows.unionByName(stored.parquet(f"{target}/snapshot/slot={(turn - 1) % 2}"))
+            total = stamped(rows.groupBy(*keys).agg(F.sum("n").alias("n")))
+            total.write.mode("overwrite").parquet(f"{target}/snapshot/slot={turn % 2}")
+
+    return sdf.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(store)
+
+
+def read_counts(spark: SparkSession, target: str, keys: Sequence[str] = ("run_id", "status")) -> DataFrame:
+    """Counts per key: the older snapshot and the batches after it, all of which are still there.
+
+    The newer snapshot may just be in the making, so it is not read, nor is the very first while it is the only one. What a
+    reader sees of a batch in the making may be a part of it.
+    """
+    changes = spark.read.parquet(f"{target}/changes").drop("slot")
+    try:
+        snapshots = spark.read.schema(changes.schema).parquet(f"{target}/snapshot").drop("slot")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return changes.groupBy(*keys).agg(F.sum("n").alias("n"))
+    older, newer, upto = snapshots.agg(F.min("turn"), F.max("turn"), F.min("upto")).first()
+    if newer:
+        changes = changes.filter(F.col("upto") > upto).unionByName(snapshots.filter(F.col("turn") == older))
+    return changes.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def append_stream(
     sdf: DataFrame,
     target: str,

@@ -97,3 +97,19 @@ def test_top_of_a_hot_group_beyond_the_pushdown(spark):
     counts = {r.g: (r.n, r.least) for r in tied.groupBy("g").agg(F.count("*").alias("n"), F.max("v").alias("least")).collect()}
     assert counts == {"hot": (1001, 0), "cold": (1001, 1)}
     assert tied.columns == ["g", "v", "id"] and sorted(tied.collect()) == sorted(tied.repartition(7).collect())
+
+
+def test_ordered_number_by_key_stores_keys_only(spark):
+    data = [(i, "a" if i % 3 else "b", (i * 37) % 101, "x" * 50) for i in range(300)]
+    df = spark.createDataFrame(data, "i long, g string, v long, payload string")
+    wide = keyed.ordered_number(df, "g", ["v", "i"])
+    narrow = keyed.ordered_number(df, "g", ["v", "i"], key="i")
+    assert narrow.columns == wide.columns
+    assert rows(narrow, "i") == rows(wide, "i")
+    stored = [s for s in narrow._jdf.queryExecution().analyzed().toString().splitlines() if "parquet" in s]
+    assert stored and all("payload" not in s for s in stored)
+
+
+def test_ordered_number_by_key_of_no_rows(spark):
+    df = spark.createDataFrame([], "i long, g string, p string")
+    assert keyed.ordered_number(df, "g", "i", key="i").collect() == []

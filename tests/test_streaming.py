@@ -120,3 +120,56 @@ def test_late_rows_of_many_batches(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.streams.removeListener(listener)
+
+
+def test_counts_of_many_batches_stay_bounded(spark, tmp_path):
+    """50 micro-batches over four restarts, runs that end, late rows; folders and stored rows do not grow with the batches."""
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    os.makedirs(source)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    schema = T.StructType.fromDDL("run_id string, status string")
+    want, stored = {}, []
+    try:
+        for first, last in ((0, 3), (3, 21), (21, 40), (40, 50)):
+            for k in range(first, last):
+                lines = [{"run_id": f"run{k // 20}", "status": "ok"}, {"run_id": "run0", "status": "late"}, {"status": "ok"}]
+                for x in lines:
+                    key = (x.get("run_id"), x["status"])
+                    want[key] = want.get(key, 0) + 1
+                path = os.path.join(source, f"{k:03d}.json")
+                with open(path, "w") as f:
+                    f.write("\n".join(json.dumps(x) for x in lines))
+                os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+            arriving = st.corpus_stream(spark, source, schema, source="json", files_per_trigger=1)
+            query = st.run_available(st.write_counts(arriving, target, checkpoint, every=4))
+            assert not query.lastProgress["stateOperators"]
+            got = {(r.run_id, r.status): r.n for r in st.read_counts(spark, target).collect()}
+            assert got == want
+            stored.append(len(os.listdir(f"{target}/changes")))
+        assert stored == [3, 8, 8, 8] and len(os.listdir(f"{target}/snapshot")) == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_counts_of_a_replayed_batch(spark, tmp_path):
+    """A batch that comes again after its snapshot was stored adds nothing; an empty stream gives no rows."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    stores = []
+
+    class Writer:
+        outputMode = option = lambda self, *args: self
+
+        def foreachBatch(self, store):
+            stores.append(store)
+
+    class Stream:
+        writeStream = Writer()
+
+    progress.write_counts(Stream(), target, source, every=2)
+    batch = spark.createDataFrame([("r", "ok")], "run_id string, status string")
+    stores[0](batch.limit(0), 0)
+    assert rows(st.read_counts(spark, target)) == []
+    for b in (1, 1, 2, 3, 3, 4, 5, 5, 5):
+        stores[0](batch, b)
+    assert rows(st.read_counts(spark, target)) == [("r", "ok", 5)]
