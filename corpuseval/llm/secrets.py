@@ -100,14 +100,12 @@ def findings(text: Column) -> Column:
                 gap.alias("gap"),
             )
 
-        return F.when(F.size(hits) > 0, F.transform(let(lengths, blocked), one))
+        return F.transform(let(lengths, blocked), one)
 
     whole = F.coalesce(text, F.lit(""))
-    parts = F.struct(
-        F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0)).alias("hits"),
-        F.split(whole, CANDIDATE, -1).alias("gaps"),
-    )
-    return let(parts, placed)
+    gaps = F.split(whole, CANDIDATE, -1).alias("gaps")
+    found = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
+    return let(found, lambda hits: F.when(F.size(hits) > 0, let(F.struct(hits.alias("hits"), gaps), placed)))
 
 
 def features(f: Column) -> Column:
