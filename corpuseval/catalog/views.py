@@ -37,13 +37,14 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A driver table by its known schema, so planning a query starts no inference job."""
-    return spread_small(spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet"))
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows) if spread else rows
 
 
-def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact rows; only the columns a query uses are read from the file."""
+def eval_results(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    """Fact rows; only the columns a query uses are read from the file. Without ``spread`` they stay in the file's order."""
     q, price = F.col("l_quantity"), F.col("l_extendedprice")
     discount, tax = F.abs("l_discount"), F.abs("l_tax")
     status = (
@@ -56,7 +57,7 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     has_mask, done, scored = (q <= 4) | (q > 7), q > 10, q > 20
     restore = F.concat(F.lit("p"), (F.col("l_linenumber") % 3).cast("string"))
     run = F.date_format("l_shipdate", "yyyyMM")
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", spread).select(
         F.col("l_returnflag").alias("dataset_id"),
         F.col("l_linestatus").alias("mask_provider"),
         restore.alias("restore_provider"),

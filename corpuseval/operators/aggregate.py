@@ -191,13 +191,22 @@ def report_overview(
     """Item count, mean confidence and status counts of every report.
 
     ``headers`` (``keys`` and a map ``status_counts``) adds reports without results, and its counts go before recounted
-    ones unless they are empty. A missing status is ``unknown``. Results are reduced by (report, status) before they meet
-    the headers, so a report with many rows is spread over map tasks.
+    ones unless they are empty. A missing status is ``unknown``. Results are reduced by (report, status) and by report, in one
+    pass, before they meet the headers, so a report with many rows is spread over map tasks. Confidences are added up per
+    report in the order of its rows: a sum of sums per status may differ in the last bit, which turns a rounding at a tie.
     """
     counts = "array<struct<status:string,n:bigint>>"
-    rows = results.groupBy(*keys, F.coalesce(status, F.lit("unknown")).alias("_status")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(confidence).alias("_sum"), F.count(confidence).alias("_known")
-    ).withColumn("_header", F.lit(None).cast(counts))
+    facts = results.select(*keys, F.coalesce(status, F.lit("unknown")).alias("_status"), F.col(confidence).alias("_confidence"))
+    levels = facts.groupingSets([[*keys, "_status"], [*keys]], *keys, "_status").agg(
+        F.grouping("_status").alias("_total"), F.count(F.lit(1)).alias("_n"),
+        F.sum("_confidence").alias("_sum"), F.count("_confidence").alias("_known"),
+    )
+    total = F.col("_total") == 1
+    rows = levels.select(
+        *keys, "_status", F.when(total, F.col("_n")).otherwise(0).alias("_n"), F.when(total, F.col("_sum")).alias("_sum"),
+        F.when(total, F.col("_known")).otherwise(0).alias("_known"), F.lit(None).cast(counts).alias("_header"),
+        F.when(~total, F.col("_n")).alias("_of_status"),
+    )
     if headers is not None:
         entries = F.array_sort(F.map_entries("status_counts").cast(counts))
         none = F.lit(None)
@@ -205,9 +214,11 @@ def report_overview(
             headers.select(
                 *keys, none.cast("string").alias("_status"), F.lit(0).cast("bigint").alias("_n"), none.cast("double").alias("_sum"),
                 F.lit(0).cast("bigint").alias("_known"), F.when(F.size("status_counts") > 0, entries).alias("_header"),
+                none.cast("bigint").alias("_of_status"),
             )
         )
-    own = F.collect_list(F.when(F.col("_status").isNotNull(), F.struct(F.col("_status").alias("status"), F.col("_n").alias("n"))))
+    counted = F.struct(F.col("_status").alias("status"), F.col("_of_status").alias("n"))
+    own = F.collect_list(F.when(F.col("_of_status").isNotNull(), counted))
     return rows.groupBy(*keys).agg(
         F.sum("_n").alias("item_count"),
         F.round(F.sum("_sum") / F.sum("_known"), 6).alias("mean_confidence"),

@@ -314,6 +314,14 @@ def test_report_overview(spark):
     assert rows(aggregate.report_overview(facts), "report_path", "item_count") == [("a", 2), ("b", 2), (None, 1)]
 
 
+def test_report_overview_adds_confidences_in_row_order(spark):
+    """The mean is a tie at the sixth decimal; sums per status would turn it."""
+    values = [0.0435, 0.7034, 0.9832, 0.5932, 0.3936, 0.1703, 0.5022, 0.9821]
+    facts = spark.createDataFrame([("a", "xy"[i % 2], v) for i, v in enumerate(values)], "report_path string, status string, confidence double")
+    found = aggregate.report_overview(facts.coalesce(1)).first()
+    assert found.mean_confidence == 0.546438 and found.item_count == 8 and found.status_counts == {"x": 4, "y": 4}
+
+
 def test_trend_report_and_section_headlines(spark):
     from corpuseval.operators import evidence
     from corpuseval.plans import trend
