@@ -37,7 +37,10 @@ def corpus_rules(spark, sf):
 
 
 def numbered_results(spark, sf):
-    """Result lines written out by return flag, every 50th spoilt in one of three ways, read back with their places."""
+    """Result lines written out by return flag, every 50th spoilt in one of three ways, read back with their places.
+
+    A flag's lines lie in one file for each range of keys, so that no task sorts a whole flag.
+    """
     flag, key = F.col("l_returnflag"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
     k = F.col("l_orderkey") % 150
     good = F.to_json(F.struct(F.struct(key.alias("relative_path")).alias("item"), F.col("l_linestatus").alias("status")))
@@ -45,8 +48,8 @@ def numbered_results(spark, sf):
     root = f"{scratch_dir(spark)}/lines"
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = table(spark, sf, "lineitem").select(flag.alias("flag"), line.alias("value"), *order)
-    rows.repartition("flag").sortWithinPartitions("flag", *order).select("flag", "value").write.partitionBy("flag").text(root)
-    found, bad = reports.read_results_jsonl(spark, f"{root}/*/*", mode="PERMISSIVE")
+    rows.repartitionByRange("flag", *order).sortWithinPartitions("flag", *order).select("flag", "value").write.partitionBy("flag").text(root)
+    found, bad = reports.read_results_jsonl(spark, f"{root}/*/*", mode="PERMISSIVE", by_folder=True)
     flag_of = F.regexp_extract("source_file", "flag=([A-Z])", 1)
     both = found.select("source_file", "line_no", F.col("item.relative_path").alias("relative_path"), F.lit(None).cast("string").alias("line"))
     both = both.unionByName(bad.select("source_file", "line_no", F.lit(None).cast("string").alias("relative_path"), "line"))

@@ -84,9 +84,10 @@ def flatten_results(reports: DataFrame) -> DataFrame:
     )
 
 
-def number_lines(spark: SparkSession, path: str) -> DataFrame:
+def number_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """Lines of text files with their file and number (from 1): source_file, line_no, value.
 
+    With ``by_folder`` the files of a folder, in the order of their names, are numbered on as one text.
     Files are read in splits. A split's lines are numbered by their place in its task, and a sum over the few counts per split
     gives the lines before it, so a long file is numbered by many tasks and no text is shuffled.
     """
@@ -97,7 +98,8 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     )
     counts = rows.groupBy("source_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.regexp_replace("source_file", "/[^/]*$", "") if by_folder else F.col("source_file")
+    earlier = Window.partitionBy(text).orderBy("source_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
     joined = rows.join(offsets, ["source_file", "_block"])
     # both passes must have dealt the splits to the same tasks; Spark plans the same scan twice, and this makes sure
@@ -106,13 +108,15 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("source_file", F.when(same.isNull(), number).alias("line_no"), "value")
 
 
-def read_results_jsonl(spark: SparkSession, path: str, mode: str = "FAILFAST", schema: T.StructType = BATCH_RESULT):
+def read_results_jsonl(
+    spark: SparkSession, path: str, mode: str = "FAILFAST", schema: T.StructType = BATCH_RESULT, by_folder: bool = False
+):
     """Appended results, one object per line; blank lines are skipped but count in the numbering.
 
     FAILFAST raises on a bad line, naming its file and number, and returns rows; PERMISSIVE returns ``(rows, rejects)``, both with
-    ``source_file`` and ``line_no``. A line that is no JSON object is bad.
+    ``source_file`` and ``line_no``. A line that is no JSON object is bad. ``by_folder`` as in ``number_lines``.
     """
-    lines = number_lines(spark, path).filter(F.trim("value") != "")
+    lines = number_lines(spark, path, by_folder).filter(F.trim("value") != "")
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = lines.withColumn(
         "r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})

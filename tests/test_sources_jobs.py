@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows, write_png
 from corpuseval.functions import pixels
 from corpuseval import schemas
+from corpuseval.catalog import runs as runs_catalog
 from corpuseval.operators import images as image_ops, masks as mask_ops, review, runs, text, validate
 from corpuseval.plans import batch, evaluate as ev, evidence, scan
 from corpuseval.sources import corpus, reports, sinks
@@ -273,6 +274,30 @@ def test_results_jsonl(spark, tmp_path):
     assert rows(good, "status", "line_no") == [("ok", 1)] and rows(bad, "line", "line_no") == [("{bad", 2)]
 
 
+def test_line_numbers_of_a_folder(spark, tmp_path):
+    for folder, name, count in (("x", "a", 3), ("x", "b", 0), ("x", "c", 2), ("y", "a", 1)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text("".join(f"{folder}{name}{i}\n" for i in range(count)))
+    got = rows(reports.number_lines(spark, f"{tmp_path}/*/*", by_folder=True), "line_no", "value")
+    assert got == [(1, "xa0"), (1, "ya0"), (2, "xa1"), (3, "xa2"), (4, "xc0"), (5, "xc1")]
+
+
+def test_no_task_sorts_a_whole_flag(spark, monkeypatch):
+    """One flag holds all lines; they are written by several tasks and numbered as one text."""
+    data = spark.range(2000).selectExpr(
+        "id as l_orderkey", "id % 7 as l_partkey", "1L as l_suppkey", "1 as l_linenumber", "'A' as l_returnflag", "'O' as l_linestatus"
+    )
+    monkeypatch.setattr(runs_catalog, "table", lambda *_: data)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = runs_catalog.numbered_results(spark, "")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({f for f in got.inputFiles() if "flag=A" in f}) >= 3
+    found = {r.line_no: r.relative_path for r in got.collect() if r.relative_path}
+    assert found == {i + 1: f"{i}-1-{i % 7}" for i in range(2000) if i % 50}
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     folder = tmp_path / "lines"
     folder.mkdir()
