@@ -204,9 +204,10 @@ def token_hits(
 ) -> DataFrame:
     """Every (line, token) where the squashed line contains the normalised token.
 
-    Tokens are taken in blocks of about ``block``, dealt by hash. A block becomes one automaton, built once per task, that reads
-    each line a single time whatever the number of tokens; lines stay in their task and are not shuffled. With several blocks
-    each is one pass over the lines, and its hits are stored before the next is built, so only one block is held at a time.
+    Tokens are taken in blocks of about ``block``, dealt by hash. As many blocks as hold about ``TOKEN_BLOCK`` tokens, one at
+    least, become one automaton, built once per task, that reads each line a single time whatever the number of tokens; lines
+    stay in their task and are not shuffled. Further blocks are another pass over the lines, and the hits of each pass are
+    stored before the next is built, so only one automaton is held at a time.
     """
     spark = lines.sparkSession
     distinct = materialize(tokens.select(squash(F.col(token)).alias("token")).filter("token <> ''").distinct())
@@ -217,10 +218,11 @@ def token_hits(
     flat = lines.withColumn("_flat", squash(F.coalesce(F.col(text), F.lit(""))))
     schema = T.StructType([*lines.schema.fields, T.StructField("token", T.StringType())])
     found = None
-    for number in range(blocks):
-        dealt = distinct.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)) == number)
+    together = max(1, TOKEN_BLOCK // block)
+    for first in range(0, blocks, together):
+        dealt = distinct.filter(F.pmod(F.xxhash64("token"), F.lit(blocks)).between(first, first + together - 1))
         hits = flat.mapInArrow(partial(_scan_lines, [row.token for row in dealt.collect()]), schema)
-        hits = hits if blocks == 1 else materialize(hits)
+        hits = hits if blocks <= together else materialize(hits)
         found = hits if found is None else found.unionByName(hits)
     return found
 

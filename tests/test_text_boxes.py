@@ -106,6 +106,21 @@ def test_token_join_equals_brute_force(spark):
     assert text.token_hits(df.limit(0), tokens).count() == 0
 
 
+def test_token_blocks_share_a_pass(spark, monkeypatch):
+    """Blocks that fit in one automaton read the lines once; more take several passes with the same hits."""
+    df = spark.createDataFrame([(1, "a b c d"), (2, "d e f"), (3, None)], "id int, line string")
+    tokens = spark.createDataFrame([(c,) for c in "abcdefghij"], "token string")
+    want = sorted((1, c) for c in "abcd") + sorted((2, c) for c in "def")
+    passes = []
+    scan = text.materialize
+    monkeypatch.setattr(text, "materialize", lambda d: passes.append(d) or scan(d))
+    for most, stored in ((100, 1), (4, 4)):
+        monkeypatch.setattr(text, "TOKEN_BLOCK", most)
+        passes.clear()
+        assert sorted((r.id, r.token) for r in text.token_hits(df, tokens, block=2).collect()) == want
+        assert len(passes) == stored
+
+
 def test_long_line_and_many_tokens(spark):
     rng = random.Random(4)
     line = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
