@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuseval.catalog.views import EVAL, SCAN, eval_results, event_k, scan_items, table
+from corpuseval.catalog.views import EVAL, SCAN, classified_items, eval_results, event_k, scan_items, sized_items, table
 from corpuseval.functions.classify import file_stem, name_hint
 from corpuseval.operators import keyed, profiles, runs, validate
 from corpuseval.operators.aggregate import category_counts as count_categories
@@ -75,13 +75,14 @@ def sequence_ids(spark, sf):
 
 
 def prepare_dataset(spark, sf):
-    items = scan_items(spark, sf).distinct()
-    seeds = items.select(
+    """What is derived from path and size is added to the distinct rows, which lie dealt by path, as do the seeds."""
+    sized = sized_items(spark, sf).repartition("relative_path").distinct()
+    seeds = sized.select(
         "relative_path",
         (F.col("width") * 3).cast("long").alias("seed_mask_nonzero"),
         (F.col("height") / F.lit(1000.0)).alias("seed_confidence"),
     )
-    return scan.prepare_dataset(items, seeds, PROMPTS)
+    return scan.prepare_dataset(classified_items(sized), seeds, PROMPTS)
 
 
 def eval_items_selected(spark, sf):

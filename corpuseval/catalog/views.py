@@ -111,8 +111,8 @@ eval_results AS (
 POOLED = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
 
 
-def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scan item per line: path parts carry every value its size and name depend on."""
+def sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path and size of one scan item per line: path parts carry every value its size and name depend on."""
     text = {c: F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")}
     stem = (
         F.when(F.col("l_linenumber") == 7, F.concat(text["l_orderkey"], F.lit("-0")))
@@ -123,15 +123,22 @@ def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("s"), text["l_suppkey"], F.lit("/p"), text["l_partkey"], F.lit("/l"), text["l_linenumber"],
         F.lit("-"), stem, F.lit(".png"),
     )
-    sized = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("/corpus/"), path).alias("source_path"),
+    return table(spark, sf_dir, "lineitem").select(
         path.alias("relative_path"),
         (F.col("l_partkey") % 400 + 100).cast("int").alias("width"),
         (F.col("l_suppkey") % 400 + 300).cast("int").alias("height"),
     )
-    return sized.withColumn(
-        "category", layout_category(F.col("width"), F.col("height"), file_stem(F.col("relative_path")))
-    )
+
+
+def classified_items(sized: DataFrame) -> DataFrame:
+    return sized.select(
+        F.concat(F.lit("/corpus/"), "relative_path").alias("source_path"), "relative_path", "width", "height",
+        layout_category(F.col("width"), F.col("height"), file_stem(F.col("relative_path"))).alias("category"),
+    )
+
+
+def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified_items(sized_items(spark, sf_dir))
 
 
 SCAN = """

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuseval.session import materialize
 
+HOT_BUCKETS, HOT_ROWS, HOT_SHARE = 4096, 1_000_000, 1000
 GROUP_LIMIT_PUSHDOWN = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 TOP_K_LIMIT = 10_000
 TOP_SALTS = 16
@@ -68,7 +69,8 @@ def ordered_number(
     ``row_number`` would sort a hot partition in a single task. Here rows are range-partitioned
     on (partition, order), so a hot partition spans many slices; each slice numbers its own rows
     by physical position, and a prefix sum over slice sizes (one row per slice) supplies the
-    offsets. The sliced rows are stored once so that both passes see the same slices.
+    offsets. The sliced rows are stored once so that both passes see the same slices, and the offsets, so that their size is
+    known and the join moves no rows where they are few.
     ``order`` should be unique per partition for a deterministic result.
 
     ``key`` names columns that identify a row and are not null; ``order`` has to be names then. Only key, partition and order are
@@ -92,11 +94,13 @@ def ordered_number(
     earlier = (
         Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(
-        *[F.col(g).alias(f"_o_{g}") for g in groups],
-        F.col("_slice").alias("_o_slice"),
-        "_first",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+    offsets = materialize(
+        sizes.select(
+            *[F.col(g).alias(f"_o_{g}") for g in groups],
+            F.col("_slice").alias("_o_slice"),
+            "_first",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        )
     )
     same = reduce(
         and_,
@@ -171,6 +175,23 @@ def frequent_keys(df: DataFrame, key: str | Sequence[str], support: float = 0.01
     )
 
 
+def hot_keys(df: DataFrame, key: str | Sequence[str]) -> list[int]:
+    """Hashes (``xxhash64``) of the keys with more than ``HOT_ROWS`` rows and more than one in ``HOT_SHARE`` of all.
+
+    Rows are counted by bucket of the hash, in ``HOT_BUCKETS`` primitive counts; only buckets that are large enough to hold such
+    a key are then counted by hash. So at most ``HOT_SHARE`` hashes return, exactly those (keys that share a hash count as one).
+    """
+    hashed = df.select(F.xxhash64(*names(key)).alias("_key"))
+    bucket = F.pmod("_key", F.lit(HOT_BUCKETS).cast("long")).alias("_bucket")
+    counted = [(r["_bucket"], r["n"]) for r in hashed.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()]
+    least = max(HOT_ROWS, sum(n for _, n in counted) // HOT_SHARE)
+    large = [b for b, n in counted if n > least]
+    if not large:
+        return []
+    found = hashed.filter(bucket.isin(large)).groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    return [r["_key"] for r in found.collect()]
+
+
 def key_filter(keys: DataFrame, key: str, bits_per_key: int = 64, most_bits: int = 2**27) -> Column | None:
     """A test on column ``key`` that every key of ``keys`` passes and hardly any other; None for no keys.
 

@@ -85,18 +85,21 @@ def prepare_dataset(
     ``prompts`` maps a category to the text given to a transform provider (default empty).
     ``seeds`` (relative_path, seed_mask_nonzero, seed_confidence) holds seed masks of regular
     items; cover items and items without a seed get 0 and 0.0. Files are not copied.
+
+    Seeds meet their items before these are numbered: items and seeds that both lie dealt by path then join in place.
     """
     if limit is not None:
         items = first_n(items, "relative_path", limit)
+    if seeds is not None:
+        items = items.join(
+            seeds.select("relative_path", "seed_mask_nonzero", "seed_confidence"), "relative_path", "left"
+        )
     routed = sequence_ids(route_items(items))
     prompt = F.lit("")
     for category, text in (prompts or {}).items():
         prompt = F.when(F.col("category") == category, text).otherwise(prompt)
     prepared = routed.withColumn("prompt", prompt)
     if seeds is not None:
-        prepared = prepared.join(
-            seeds.select("relative_path", "seed_mask_nonzero", "seed_confidence"), "relative_path", "left"
-        )
         regular = F.col("dataset_id") == REGULAR_DATASET
         nonzero = F.when(regular, F.coalesce("seed_mask_nonzero", F.lit(0))).otherwise(0).cast("long")
         confidence = F.when(regular, F.coalesce("seed_confidence", F.lit(0.0))).otherwise(0.0)

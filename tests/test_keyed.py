@@ -28,6 +28,27 @@ def test_ordered_number_with_a_hot_partition(spark, partition):
     assert got == want
 
 
+def test_ordered_number_moves_no_numbered_rows_for_few_offsets(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("payload"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        plan = keyed.ordered_number(df, "g", "v")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_hot_keys(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") % 2).alias("j"))
+    assert keyed.hot_keys(df, "k") == [] == keyed.hot_keys(df.limit(0), "k")
+    monkeypatch.setattr(keyed, "HOT_ROWS", 600)
+    want = df.select(F.xxhash64(F.lit("hot"))).first()[0]
+    assert keyed.hot_keys(df, "k") == [want] and keyed.hot_keys(df, ["k", "j"]) == []
+    monkeypatch.setattr(keyed, "HOT_BUCKETS", 1)
+    assert keyed.hot_keys(df, "k") == [want]
+
+
 def test_ordered_number_keeps_null_partitions(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, v int")
     assert rows(keyed.ordered_number(df, "g", "v"), "g", "v", "seq") == [("a", 5, 1), (None, 1, 1), (None, 2, 2)]
