@@ -126,9 +126,9 @@ def report_overview(spark, sf):
     return aggregate.report_overview(facts, headers, keys).withColumn("status_counts", F.to_json("status_counts"))
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, payload=(*compare.PAYLOAD, *METRICS)):
     return compare.pair_rows(
-        eval_results(spark, sf), F.col("mask_provider") == "F", F.col("mask_provider") == "O", PAIR_KEY
+        eval_results(spark, sf), F.col("mask_provider") == "F", F.col("mask_provider") == "O", PAIR_KEY, payload=payload
     )
 
 
@@ -143,7 +143,7 @@ def compare_coverage(spark, sf):
 
 
 def delta_summary(spark, sf):
-    return compare.delta_summary(compare_items(spark, sf))
+    return compare.delta_summary(compare.compare_items(_pairs(spark, sf, METRICS), PAIR_KEY, payload=()))
 
 
 def compare_masks(spark, sf):
@@ -161,7 +161,7 @@ def compare_masks(spark, sf):
 
 
 def status_pairs(spark, sf):
-    return compare.status_pairs(compare_items(spark, sf))
+    return compare.status_pairs(compare.compare_items(_pairs(spark, sf, ["status"]), PAIR_KEY, (), payload=["status"]))
 
 
 def set_common(spark, sf):

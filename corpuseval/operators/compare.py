@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuseval.functions.runs import delta
 from corpuseval.metrics import METRICS
-from corpuseval.operators.keyed import key_membership, names, not_blank
+from corpuseval.operators.keyed import hot_keys, key_membership, names, not_blank
 
 PAYLOAD = ["relative_path", "status", "confidence"]
 
@@ -23,19 +23,29 @@ def pair_rows(
 ) -> DataFrame:
     """Last-wins row of both sides per key as structs ``b`` and ``c`` (NULL when absent).
 
-    De-duplication and the join are one aggregate: one shuffle, no join, and a hot key is
-    already down to one row per side when it leaves a map task. ``baseline`` and ``candidate``
-    may overlap, so a run can be compared with itself.
+    De-duplication and the join are one aggregate: one shuffle, no join. Rows are dealt by key first, because the aggregate sorts
+    its wide rows, and a map task would sort and spill a whole split to save hardly a row; only rows of hot keys are aggregated
+    before the shuffle, so such a key leaves a map task as one row per side. ``payload`` names the columns that are moved.
+    ``baseline`` and ``candidate`` may overlap, so a run can be compared with itself.
     """
     keys = names(key)
     kept = results.filter(baseline | candidate)
     for k in keys:
         kept = kept.filter(not_blank(F.col(k)))
 
-    def side(test: Column) -> Column:
-        return F.max_by(F.when(test, F.struct(*payload)), F.when(test, F.col(pos)))
+    def side(test: str) -> Column:
+        return F.max_by(F.when(F.col(test), F.struct(*payload)), F.when(F.col(test), F.col(pos)))
 
-    return kept.groupBy(*keys).agg(side(baseline).alias("b"), side(candidate).alias("c"))
+    def paired(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(side("_b").alias("b"), side("_c").alias("c"))
+
+    tests = [F.coalesce(baseline, F.lit(False)).alias("_b"), F.coalesce(candidate, F.lit(False)).alias("_c")]
+    rows = kept.select(*dict.fromkeys([*keys, pos, *payload]), *tests)
+    hot = hot_keys(kept, keys)
+    if not hot:
+        return paired(rows.repartition(*keys))
+    is_hot = F.xxhash64(*keys).isin(hot)
+    return paired(rows.filter(~is_hot).repartition(*keys)).unionByName(paired(rows.filter(is_hot)))
 
 
 def tag_sides(base: DataFrame, cand: DataFrame) -> DataFrame:
@@ -48,16 +58,23 @@ def compare_items(
     key: str | Sequence[str] = "item_id",
     metrics: Sequence[str] = METRICS,
     carried: Sequence[str] = (),
+    payload: Sequence[str] = PAYLOAD,
 ) -> DataFrame:
-    """Wide comparison rows of the common items; ``carried`` payload columns are kept per side."""
-    columns = [
-        *[F.col(k) for k in names(key)],
-        F.col("b.relative_path").alias("relative_path"),
-        F.col("b.status").alias("baseline_status"),
-        F.col("c.status").alias("candidate_status"),
-        F.round("b.confidence", 6).alias("baseline_confidence"),
-        F.round("c.confidence", 6).alias("candidate_confidence"),
-    ]
+    """Wide comparison rows of the common items; ``carried`` payload columns are kept per side.
+
+    ``payload`` and ``metrics`` say which columns of the pairs are wanted, or there at all.
+    """
+    compared = {
+        "relative_path": [F.col("b.relative_path").alias("relative_path")],
+        "status": [F.col("b.status").alias("baseline_status"), F.col("c.status").alias("candidate_status")],
+        "confidence": [
+            F.round("b.confidence", 6).alias("baseline_confidence"),
+            F.round("c.confidence", 6).alias("candidate_confidence"),
+        ],
+    }
+    columns = [F.col(k) for k in names(key)]
+    for name in payload:
+        columns += compared[name]
     for m in metrics:
         b, c = F.col(f"b.{m}"), F.col(f"c.{m}")
         columns += [

@@ -298,6 +298,37 @@ def test_side_summaries_and_coverage_of_pairs(spark):
     assert rows(compare.coverage_of_pairs(pairs)) == rows(compare.coverage(facts.filter(b), facts.filter(c))) == [(1, 0, 1)]
 
 
+def test_pairs_are_sorted_after_the_shuffle(spark, monkeypatch):
+    """Cold rows are not sorted by key in map tasks; rows of a hot key are reduced there."""
+    from corpuseval.operators import keyed
+
+    facts = spark.range(4000).selectExpr(
+        "case when id % 4 < 2 then 'hot' else cast(id div 8 as string) end as item_id", "if(id % 2 = 0, 'b', 'c') as _side",
+        "(id * 7919) % 4001 as pos", "'p' as relative_path", "cast(id as string) as status", "0.5D as confidence",
+    )
+    b, c = F.col("_side") == "b", F.col("_side") == "c"
+    cold = compare.pair_rows(facts, b, c, payload=["status"])
+    monkeypatch.setattr(keyed, "HOT_ROWS", 500)
+    hot = compare.pair_rows(facts, b, c, payload=["status"])
+    assert rows(cold) == rows(hot) and cold.count() == 501
+    last = {s: max((r.pos, r.status) for r in facts.collect() if (r.item_id, r._side) == ("hot", s))[1] for s in "bc"}
+    assert [(r.b.status, r.c.status) for r in hot.filter("item_id = 'hot'").collect()] == [(last["b"], last["c"])]
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[-1] for df in (cold, hot)]
+    below = [p[p.index("Exchange") :] for p in plans]
+    assert "max_by" not in below[0] and plans[1].count("Exchange") == 2 and "relative_path" not in plans[0]
+
+
+def test_summaries_of_pairs_move_what_they_need(spark, monkeypatch):
+    from corpuseval.catalog import evaluation
+
+    moved = []
+    whole = compare.pair_rows
+    monkeypatch.setattr(compare, "pair_rows", lambda *a, payload, **k: moved.append(list(payload)) or whole(*a, payload=payload, **k))
+    assert evaluation.status_pairs(spark, "/root/testdata/sf0.001").columns == ["status_pair", "n"]
+    assert evaluation.delta_summary(spark, "/root/testdata/sf0.001").count() == len(moved[1])
+    assert moved == [["status"], list(evaluation.METRICS)]
+
+
 def test_report_overview(spark):
     facts = spark.createDataFrame(
         [("a", "x", 0.5), ("a", "x", None), ("b", None, None), ("b", "y", 1.0), (None, "y", 0.25)],
