@@ -3,8 +3,9 @@
 Words (lower-cased A-Z) and one end per text are the tokens. Word counts of all training texts are gathered by a grouped
 sum; they give the base score and, through the subwords of each distinct word, the share of every subword id within its
 output class. How often each class follows each input symbol is counted over all whole training texts. The attention weights
-are fitted on windows from any place of any training text, picked by the hash of text id and place: about ``fit_windows`` of
-them and one in a thousand of all windows, so their number and the training steps grow with the input. A text's subword stream, closed by the end id, is scored in windows that overlap by ``OVERLAP`` positions: each
+learn from every window of every training text: they start from a fit on windows picked by the hash of text id and place,
+about ``fit_windows`` of them and one in a thousand of all; then each task goes over all windows of its texts once, and the
+tasks' weights are averaged by their windows. So weights depend a little on how texts are dealt out to tasks. A text's subword stream, closed by the end id, is scored in windows that overlap by ``OVERLAP`` positions: each
 subword is scored once, with at least that many predecessors where the text has them, and all windows of a block share
 one batched masked attention.
 
@@ -23,7 +24,7 @@ one text whose tokens and scores are summed; other columns are not read; an empt
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ CLASSES = CLUSTERS * INSIDE
 END = 50256
 MASKED = -1e9
 CHUNK = 8 << 20
+WEIGHTS = ["q", "k", "v", "r", "direct", "bias", "mix", "out", "inside"]  # what is learned by gradients
+REFINE_RATE = 0.0015  # that of the last steps of a fit
 
 
 @dataclass
@@ -75,7 +78,7 @@ class Attention:
         )
 
     def weights(self) -> list[np.ndarray]:
-        return [self.q, self.k, self.v, self.r, self.direct, self.bias, self.mix, self.out, self.inside]
+        return [getattr(self, name) for name in WEIGHTS]
 
     def attend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Attention weights and mixed values for the positions after the overlap; x: windows of input symbols."""
@@ -166,7 +169,7 @@ def windows(
     return x, place[:, OVERLAP:], text
 
 
-def score(model: Attention, vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray, block: int = 1024) -> np.ndarray:
+def score(model: Attention, vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray, block: int = 256) -> np.ndarray:
     """log10 probability of each run of ids."""
     x, place, text = windows(ids, bounds, vocabulary)
     total = np.zeros(len(bounds) - 1)
@@ -222,18 +225,23 @@ def fit_on(
     """Weights by Adam on random batches of windows, with the gradients written out. ``classes``: those wanted, or -1."""
     model = Attention.start(counts.reshape(INPUTS + 2, CLASSES) + 20 * np.exp(vocabulary.log_mass))
     rng = np.random.default_rng(11)
-    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
-
-    def by_symbol(symbols: np.ndarray, grads: np.ndarray, table: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(table)
-        order = np.argsort(symbols, kind="stable")
-        found, first = np.unique(symbols[order], return_index=True)
-        out[found] = np.add.reduceat(grads[order], first, axis=0)
-        return out
-
+    adam = Adam(model)
     for step in range(1, steps + 1 if len(x) else 1):
         rows = rng.integers(0, len(x), batch)
-        part, target = x[rows], classes[rows].reshape(-1)
+        adam.step(x[rows], classes[rows], 0.015 * min(1, step / 30) * (1 - 0.9 * step / steps))
+    return model
+
+
+class Adam:
+    """Changes a model's weights in place, batch by batch."""
+
+    def __init__(self, model: Attention) -> None:
+        self.model, self.steps = model, 0
+        self.moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
+
+    def step(self, part: np.ndarray, classes: np.ndarray, rate: float) -> None:
+        model, target = self.model, classes.reshape(-1)
+        self.steps += 1
         p, mixed = model.attend(part)
         hidden, scores = model.classes(part, mixed)
         here, every = part[:, OVERLAP:].reshape(-1), part.reshape(-1)
@@ -263,22 +271,28 @@ def fit_on(
         d_bias[OVERLAP:] = d_z.sum(axis=0)
         d_z *= np.float32(WIDTH**-0.5)
         grads = [
-            by_symbol(here, (d_z @ model.k[part]).reshape(-1, WIDTH), model.q),
-            by_symbol(every, (d_z.transpose(0, 2, 1) @ model.q[part[:, OVERLAP:]]).reshape(-1, WIDTH), model.k),
-            by_symbol(every, (p.transpose(0, 2, 1) @ d_mixed).reshape(-1, WIDTH), model.v),
-            by_symbol(here, d_hidden, model.r),
-            by_symbol(here, d, model.direct),
+            _by_symbol(here, (d_z @ model.k[part]).reshape(-1, WIDTH), model.q),
+            _by_symbol(every, (d_z.transpose(0, 2, 1) @ model.q[part[:, OVERLAP:]]).reshape(-1, WIDTH), model.k),
+            _by_symbol(every, (p.transpose(0, 2, 1) @ d_mixed).reshape(-1, WIDTH), model.v),
+            _by_symbol(here, d_hidden, model.r),
+            _by_symbol(here, d, model.direct),
             d_bias,
             mixed.reshape(-1, WIDTH).T @ d_hidden,
             hidden.T @ d,
             d_inside,
         ]
-        rate = 0.015 * min(1, step / 30) * (1 - 0.9 * step / steps)
-        for w, g, (m, s) in zip(model.weights(), grads, moments, strict=True):
+        for w, g, (m, s) in zip(model.weights(), grads, self.moments, strict=True):
             m += 0.1 * (g - m)
             s += 0.02 * (g * g - s)
-            w -= (rate / (1 - 0.9**step) * m / (np.sqrt(s / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
-    return model
+            w -= (rate / (1 - 0.9**self.steps) * m / (np.sqrt(s / (1 - 0.98**self.steps)) + 1e-8)).astype(np.float32)
+
+
+def _by_symbol(symbols: np.ndarray, grads: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(table)
+    order = np.argsort(symbols, kind="stable")
+    found, first = np.unique(symbols[order], return_index=True)
+    out[found] = np.add.reduceat(grads[order], first, axis=0)
+    return out
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
@@ -373,7 +387,7 @@ def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def train(
     training: DataFrame, vocabulary: Vocabulary, n_subwords: float, file: str, steps: int, fit_windows: int, batch: int = 192
 ) -> Attention:
-    """A model of the texts (doc_id, text): pairs of neighbours of all of them, weights from a growing number of windows."""
+    """A model of the texts (doc_id, text): pairs of neighbours and weights from all of them."""
     size = max(n_subwords / (WINDOW - OVERLAP), 1)
     share = min(1.0, fit_windows / size + 0.001)
     work = materialize(training.select("doc_id", "text").mapInArrow(_training(file, vocabulary, share), TRAINING))
@@ -384,7 +398,48 @@ def train(
     x, classes = _unpacked(some["x"], WINDOW), _unpacked(some["classes"], WINDOW - OVERLAP)
     order = np.lexsort((*x.T, some["rank"].to_numpy()))  # the same windows in the same order however texts are dealt out
     more = 3 * max(0, len(x) - fit_windows) // batch  # so that each window beyond those of a small input is seen as often
-    return fit_on(vocabulary, counts, x[order], classes[order], steps + more, batch)
+    model = fit_on(vocabulary, counts, x[order], classes[order], steps + more, batch)
+    return refine(model, training, vocabulary, file, batch)
+
+
+REFINED = "cell int, change bigint"
+UNIT = 2.0**20  # changes are summed as whole numbers, so that the order of the sum does not matter
+
+
+def _refining(
+    file: str, model: Attention, vocabulary: Vocabulary, batch: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's change of each weight times its windows (cell from 0), and its windows (cell -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = replace(model, **{f: w.copy() for f, w in zip(WEIGHTS, model.weights(), strict=True)})
+        adam, n = Adam(own), 0
+        for part in chunks(batches, 1, CHUNK):
+            ids, bounds = stream(file, *_words(part.column(1)))
+            order = np.argsort(_ranks(part.column(0), *starts(bounds)), kind="stable")
+            for at in range(0, len(order), batch):
+                x, place, _ = windows(ids, bounds, vocabulary, order[at : at + batch])
+                adam.step(x, wanted_classes(vocabulary, ids, place), REFINE_RATE * len(x) / batch)
+            n += len(order)
+        change = [(w.astype(np.float64) - v).ravel() for w, v in zip(own.weights(), model.weights(), strict=True)]
+        sums = np.append(np.rint(np.concatenate(change) * (n * UNIT)).astype(np.int64), n)
+        cells = np.append(np.arange(len(sums) - 1), -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums)], names=["cell", "change"])
+
+    return run
+
+
+def refine(model: Attention, training: DataFrame, vocabulary: Vocabulary, file: str, batch: int = 192) -> Attention:
+    """The model after one pass over all windows of all texts (doc_id, text), in the tasks that hold them, and averaged."""
+    moved = training.select("doc_id", "text").mapInArrow(_refining(file, model, vocabulary, batch), REFINED)
+    sums = moved.groupBy("cell").agg(F.sum("change").alias("change")).orderBy("cell").toArrow()  # a row for each weight
+    if not sums.num_rows or not sums["change"][0].as_py():
+        return model
+    change = sums["change"].to_numpy()
+    change = change[1:] / (change[0] * UNIT)
+    cuts = np.cumsum([w.size for w in model.weights()])[:-1]
+    parts = zip(WEIGHTS, model.weights(), np.split(change, cuts), strict=True)
+    return replace(model, **{f: (w + c.reshape(w.shape)).astype(np.float32) for f, w, c in parts})
 
 
 NAMES = ["word", "docs", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]

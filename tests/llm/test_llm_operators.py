@@ -438,6 +438,25 @@ def test_lm_windows_to_fit_on_grow_and_pairs_are_whole(spark):
     assert 0.07 < taken / size < 0.13
 
 
+def test_lm_weights_come_from_all_windows(spark):
+    """A text of which no window is picked for the first fit changes the weights, for the better, however texts are dealt."""
+    file, rng = "byte_bpe_50k.json", np.random.default_rng(2)
+    texts = [(i, " ".join(rng.choice(["red blue", "green", "old tree"], 900))) for i in range(8)]
+    ids, bounds = lm_score.stream(file, *lm_score._words(pa.array([t for _, t in texts])))
+    vocabulary = lm_score.Vocabulary.of(np.bincount(ids, minlength=lm_score.END + 1))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    train = lambda df: lm_score.train(df, vocabulary, 1e12, file, 1, 0)
+    start = lm_score.fit_on(vocabulary, lm_score.pair_counts(vocabulary, ids, bounds), np.zeros((0, lm_score.WINDOW), int), np.zeros((0, 24), int))
+    model = train(docs)
+    assert all((w != v).any() for w, v in zip(model.weights(), start.weights(), strict=True))
+    total = lambda m: lm_score.score(m, vocabulary, ids, bounds).sum()
+    assert total(model) > total(start)
+    again = train(docs)
+    assert all((w == v).all() for w, v in zip(model.weights(), again.weights(), strict=True))
+    assert total(train(docs.repartition(3))) > total(start)
+    assert lm_score.refine(start, docs.limit(0), vocabulary, file) is start
+
+
 def test_decontamination_finds_cut_passages(spark):
     """Verbatim parts of items, cut anywhere, between other text."""
     rng = np.random.default_rng(8)
