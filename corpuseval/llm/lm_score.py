@@ -5,9 +5,11 @@ sum; they give the base score and, through the subwords of each distinct word, t
 output class. How often each class follows each input symbol is counted over all whole training texts. The attention weights
 learn from every window of every training text: they start from a fit on windows picked by the hash of text id and place,
 about ``fit_windows`` of them and one in a thousand of all; then each task goes over all windows of its texts once, and the
-tasks' weights are averaged by their windows. So weights depend a little on how texts are dealt out to tasks. A text's subword stream, closed by the end id, is scored in windows that overlap by ``OVERLAP`` positions: each
-subword is scored once, with at least that many predecessors where the text has them, and all windows of a block share
-one batched masked attention.
+tasks' weights are averaged by their windows. So weights depend a little on how texts are dealt out to tasks. Texts become
+subwords once: their ids, two bytes each, are stored for the passes that learn and score. A text's subword stream, closed by
+the end id, is scored in windows that overlap by ``OVERLAP`` positions: each subword is scored once, with at least that many
+predecessors where the text has them, and all windows of a block share one batched masked attention, whose products of two
+symbols are looked up in a table.
 
 P(id | before) = P(cluster | before) P(class | cluster, before) P(id | class): a softmax of two levels, so that a subword
 costs two small ones. The most frequent ids are a class each, the others share classes of about equal mass; shares are
@@ -23,6 +25,7 @@ one text whose tokens and scores are summed; other columns are not read; an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -42,6 +45,7 @@ CLASSES = CLUSTERS * INSIDE
 END = 50256
 MASKED = -1e9
 CHUNK = 8 << 20
+STORED = np.dtype("<u2")  # ids are at most END
 WEIGHTS = ["q", "k", "v", "r", "direct", "bias", "mix", "out", "inside"]  # what is learned by gradients
 REFINE_RATE = 0.0015  # that of the last steps of a fit
 
@@ -80,36 +84,87 @@ class Attention:
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, name) for name in WEIGHTS]
 
-    def attend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Attention weights and mixed values for the positions after the overlap; x: windows of input symbols."""
-        scores = (self.q * np.float32(WIDTH**-0.5))[x[:, OVERLAP:]] @ self.k[x].transpose(0, 2, 1)
+    def attend(self, x: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Attention weights and mixed values for the positions after the overlap, and the rows of q, k and v they come from;
+        x: windows of input symbols."""
+        n, scored = len(x), WINDOW - OVERLAP
+        q = self.q.take(x[:, OVERLAP:], axis=0, mode="clip", out=room("q", n, scored, WIDTH))
+        k = self.k.take(x, axis=0, mode="clip", out=room("k", n, WINDOW, WIDTH))
+        v = self.v.take(x, axis=0, mode="clip", out=room("v", n, WINDOW, WIDTH))
+        q *= np.float32(WIDTH**-0.5)
+        scores = np.matmul(q, k.transpose(0, 2, 1), out=room("p", n, scored, WINDOW))
         scores += self.bias[OVERLAP:] + CAUSAL[OVERLAP:]
         padding = x == INPUTS + 1
         padded = np.flatnonzero(padding.any(axis=1))  # at the two ends of a text only
         scores[padded] += np.where(padding[padded], np.float32(MASKED), np.float32(0))[:, None, :]
-        np.minimum(scores, 60, out=scores)
+        np.clip(scores, 4 * MASKED, 60, out=scores)
         np.exp(scores, out=scores)
-        scores /= (scores @ ONES[:WINDOW])[:, :, None] + np.float32(1e-20)
-        return scores, scores @ self.v[x]
-
-    def classes(self, x: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden units and cluster scores, a row for each scored position."""
-        here = x[:, OVERLAP:].reshape(-1)
-        hidden = mixed.reshape(-1, WIDTH) @ self.mix
-        hidden += self.r[here]
-        np.maximum(hidden, 0, out=hidden)
-        scores = hidden @ self.out
-        scores += self.direct[here]
+        scores *= (1 / (scores @ ONES[:WINDOW] + np.float32(1e-20)))[:, :, None]
+        return scores, np.matmul(scores, v, out=room("mixed", n, scored, WIDTH)), (q, k, v)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What an attention weight is a product of before it is made a share, by the symbols of both positions and by their
+        places; and the values as the hidden units see them."""
+        pairs = (self.q * np.float32(WIDTH**-0.5)) @ self.k.T
+        pairs[:, INPUTS + 1] = MASKED
+        places = self.bias[OVERLAP:] + CAUSAL[OVERLAP:]
+        return np.exp(np.clip(pairs, MASKED, 40)), np.exp(np.clip(places, MASKED, 40)), self.v @ self.mix
+
+    def classes(self, here: np.ndarray, mixed: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden units and cluster scores, a row for each position; ``here``: its own input symbol."""
+        n = len(here)
+        hidden = self.r.take(here, axis=0, mode="clip", out=room("hidden", n, HIDDEN))
+        hidden += mixed
+        np.clip(hidden, 0, np.inf, out=hidden)
+        scores = np.matmul(hidden, self.out, out=room("scores", n, CLUSTERS))
+        scores += self.direct.take(here, axis=0, mode="clip", out=room("direct", n, CLUSTERS))
         np.clip(scores, -60, 60, out=scores)  # exp stays within float32
         return hidden, scores
 
-
-def by_cluster(clusters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each cluster present."""
-    order = np.argsort(clusters, kind="stable")
-    ends = np.searchsorted(clusters[order], np.arange(CLUSTERS + 1))
-    for c in np.flatnonzero(np.diff(ends)):
-        yield int(c), order[ends[c] : ends[c + 1]]
+    def inner(
+        self, here: np.ndarray, hidden: np.ndarray, clusters: np.ndarray, room: Room
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Scores of the classes in each position's cluster, by cluster: (order of the positions, their hidden units, scores,
+        slice of each cluster present)."""
+        n = len(here)
+        order = np.argsort(clusters.astype(np.int8), kind="stable")
+        ends = [0, *np.cumsum(np.bincount(clusters, minlength=CLUSTERS)).tolist()]
+        slices = [(c, ends[c], ends[c + 1]) for c in range(CLUSTERS) if ends[c] < ends[c + 1]]
+        rows = hidden.take(order, axis=0, mode="clip", out=room("rows", n, HIDDEN))
+        scores = room("inner", n, INSIDE)
+        for c, at, end in slices:
+            np.matmul(rows[at:end], self.inside[c], out=scores[at:end])
+        at = (here * CLUSTERS + clusters).take(order)
+        scores += self.pairs.reshape(-1, INSIDE).take(at, axis=0, mode="clip", out=room("pairs", n, INSIDE))
+        np.clip(scores, -60, 60, out=scores)
+        return order, rows, scores, slices
+
+
+def looked_up(tables: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, room: Room) -> np.ndarray:
+    """Mixed values as the hidden units see them, for a model that stays as it is: no pair of symbols is multiplied twice."""
+    pairs, places, values = tables
+    n, scored = len(x), WINDOW - OVERLAP
+    own = x[:, OVERLAP:] * (INPUTS + 2)
+    cells = np.add(own[:, :, None], x[:, None, :], out=room("cells", n, scored, WINDOW, dtype=np.int64))
+    p = pairs.reshape(-1).take(cells, mode="clip", out=room("p", n, scored, WINDOW))
+    p *= places
+    v = values.take(x, axis=0, mode="clip", out=room("v", n, WINDOW, HIDDEN))
+    mixed = np.matmul(p, v, out=room("mixed", n, scored, HIDDEN))
+    mixed *= (1 / (p @ ONES[:WINDOW] + np.float32(1e-20)))[:, :, None]
+    return mixed.reshape(-1, HIDDEN)
+
+
+class Room:
+    """Arrays kept under a name from block to block, so that their memory is not asked for again."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, dtype: type = np.float32) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, dtype)
+        return self.held[name][:size].reshape(shape)
 
 
 ONES = np.ones(4096, dtype=np.float32)
@@ -156,43 +211,47 @@ def windows(
     ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary, chosen: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(input symbols of each window, positions of the predicted ids or -1, text of each window), of all or of the chosen ones."""
-    step = WINDOW - OVERLAP
-    sizes = np.diff(bounds)
     text, first = starts(bounds)
     if chosen is not None:
         text, first = text[chosen], first[chosen]
-    at = first[:, None] + np.arange(-OVERLAP, step)  # position in the text of the id predicted
-    inside = (at >= 0) & (at < sizes[text][:, None])
-    place = np.where(inside, bounds[:-1][text][:, None] + at, -1)
-    before = vocabulary.symbol[ids[np.maximum(place - 1, 0)]]
-    x = np.where(at == 0, INPUTS, np.where(inside, before, INPUTS + 1))
-    return x, place[:, OVERLAP:], text
+    place = places(bounds, text, first)
+    return before(vocabulary, ids, bounds)[place], place[:, OVERLAP:], text
+
+
+def places(bounds: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Positions of the ids predicted in each window, and of those in its overlap; -1 outside the text."""
+    at = np.arange(-OVERLAP, WINDOW - OVERLAP)
+    begin, size = bounds[text], bounds[text + 1] - bounds[text]
+    inside = (at >= -first[:, None]) & (at < (size - first)[:, None])
+    return np.where(inside, (begin + first)[:, None] + at, -1)
+
+
+def before(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The input symbol that each id follows, and at the end (-1) padding."""
+    symbols = np.empty(len(ids) + 1, dtype=np.int64)
+    symbols[1:] = vocabulary.symbol[ids]
+    symbols[bounds[:-1]] = INPUTS  # where a text is empty, the next one starts
+    symbols[-1] = INPUTS + 1
+    return symbols
 
 
 def score(model: Attention, vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray, block: int = 256) -> np.ndarray:
     """log10 probability of each run of ids."""
     x, place, text = windows(ids, bounds, vocabulary)
-    total = np.zeros(len(bounds) - 1)
-    pairs = model.pairs.reshape(-1, INSIDE)
+    total, room, tables = np.zeros(len(bounds) - 1), Room(), model.tables()
     for at in range(0, len(x), block):
         part, target = x[at : at + block], place[at : at + block].reshape(-1)
-        _, mixed = model.attend(part)
-        hidden, scores = model.classes(part, mixed)
+        here = part[:, OVERLAP:].reshape(-1)
+        hidden, scores = model.classes(here, looked_up(tables, part, room), room)
         known = target >= 0
         wanted = ids[np.maximum(target, 0)]
-        classes, here = vocabulary.klass[wanted], part[:, OVERLAP:].reshape(-1)
+        classes = vocabulary.klass[wanted].astype(np.int64)
         clusters = classes // INSIDE
-        log = scores[np.arange(len(target)), clusters]
+        log = scores.reshape(-1).take(np.arange(len(target)) * CLUSTERS + clusters)
         np.exp(scores, out=scores)
-        log -= np.log(scores @ ONES[: scores.shape[1]])
-        order = np.argsort(clusters.astype(np.int8), kind="stable")  # rows of a cluster in one slice
-        ends = np.searchsorted(clusters[order], np.arange(CLUSTERS + 1))
-        sorted_hidden, inner = hidden[order], np.empty((len(order), INSIDE), np.float32)
-        for c in np.flatnonzero(np.diff(ends)):
-            np.matmul(sorted_hidden[ends[c] : ends[c + 1]], model.inside[c], out=inner[ends[c] : ends[c + 1]])
-        inner += pairs[here[order] * CLUSTERS + clusters[order]]
-        np.minimum(inner, 60, out=inner)
-        own_class = inner[np.arange(len(order)), classes[order] % INSIDE]
+        log -= np.log(scores @ ONES[:CLUSTERS])
+        order, _, inner, _ = model.inner(here, hidden, clusters, room)
+        own_class = inner.reshape(-1).take(np.arange(len(order)) * INSIDE + (classes % INSIDE).take(order))
         np.exp(inner, out=inner)
         log[order] += own_class - np.log(inner @ ONES[:INSIDE])
         log = log / np.float32(np.log(10)) + vocabulary.share[wanted]
@@ -207,10 +266,7 @@ def wanted_classes(vocabulary: Vocabulary, ids: np.ndarray, place: np.ndarray) -
 
 def pair_counts(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How often each class follows each input symbol, a flat table."""
-    before = np.empty(len(ids), dtype=np.int64)
-    before[1:] = vocabulary.symbol[ids[:-1]]
-    before[bounds[:-1]] = INPUTS  # every text has its end at least
-    return np.bincount(before * CLASSES + vocabulary.klass[ids], minlength=(INPUTS + 2) * CLASSES)
+    return np.bincount(before(vocabulary, ids, bounds)[:-1] * CLASSES + vocabulary.klass[ids], minlength=(INPUTS + 2) * CLASSES)
 
 
 def fit(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray, steps: int = 800, batch: int = 192) -> Attention:
@@ -236,63 +292,93 @@ class Adam:
     """Changes a model's weights in place, batch by batch."""
 
     def __init__(self, model: Attention) -> None:
-        self.model, self.steps = model, 0
-        self.moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
+        self.model, self.steps, self.room = model, 0, Room()
+        held = model.weights()
+        self.flat = np.concatenate([w.ravel() for w in held])
+        self.grad, self.mean, self.square, self.change = (np.zeros_like(self.flat) for _ in range(4))
+        ends = np.cumsum([w.size for w in held])
+        parts = lambda flat: [v.reshape(w.shape) for v, w in zip(np.split(flat, ends[:-1]), held, strict=True)]
+        for name, view in zip(WEIGHTS, parts(self.flat), strict=True):
+            setattr(model, name, view)
+        self.grads = parts(self.grad)
 
     def step(self, part: np.ndarray, classes: np.ndarray, rate: float) -> None:
-        model, target = self.model, classes.reshape(-1)
+        self._gradients(part, classes)
         self.steps += 1
-        p, mixed = model.attend(part)
-        hidden, scores = model.classes(part, mixed)
-        here, every = part[:, OVERLAP:].reshape(-1), part.reshape(-1)
-        known = (target >= 0).astype(np.float32)
-        wanted = np.maximum(target, 0)
-        clusters = wanted // INSIDE
-        scores -= scores.max(axis=1, keepdims=True)
-        np.exp(scores, out=scores)
-        d = scores / scores.sum(axis=1, keepdims=True)
-        d[np.arange(len(d)), clusters] -= 1
-        weight = known / max(known.sum(), 1)
-        d *= weight[:, None]
-        d_hidden, d_inside = d @ model.out.T, np.zeros_like(model.inside)
-        for c, rows_in in by_cluster(clusters):
-            inner = hidden[rows_in] @ model.inside[c] + model.pairs[here[rows_in], c]
-            inner = np.exp(inner - inner.max(axis=1, keepdims=True))
-            inner /= inner.sum(axis=1, keepdims=True)
-            inner[np.arange(len(rows_in)), wanted[rows_in] % INSIDE] -= 1
-            inner *= weight[rows_in, None]
-            d_hidden[rows_in] += inner @ model.inside[c].T
-            d_inside[c] = hidden[rows_in].T @ inner
+        g, m, s, t = self.grad, self.mean, self.square, self.change
+        np.subtract(g, m, out=t)
+        t *= 0.1
+        m += t
+        np.multiply(g, g, out=t)
+        t -= s
+        t *= 0.02
+        s += t
+        np.multiply(s, 1 / (1 - 0.98**self.steps), out=t)
+        np.sqrt(t, out=t)
+        t += 1e-8
+        np.divide(m, t, out=t)
+        t *= rate / (1 - 0.9**self.steps)
+        self.flat -= t
+
+    def _gradients(self, part: np.ndarray, classes: np.ndarray) -> None:
+        """Those of the mean over the batch's wanted classes."""
+        model, room, n, scored = self.model, self.room, len(part), WINDOW - OVERLAP
+        size, here = n * scored, part[:, OVERLAP:].reshape(-1)
+        d_q, d_k, d_v, d_r, d_direct, d_bias, d_mix, d_out, d_inside = self.grads
+        p, mixed, (q, k, v) = model.attend(part, room)
+        flat = mixed.reshape(size, WIDTH)
+        hidden, d = model.classes(here, np.matmul(flat, model.mix, out=room("units", size, HIDDEN)), room)
+        target = classes.reshape(-1)
+        weight = (target >= 0).astype(np.float32)
+        weight /= max(weight.sum(), 1)
+        wanted = np.maximum(target, 0).astype(np.int64)
+        clusters, inside = wanted // INSIDE, wanted % INSIDE
+        np.exp(d, out=d)
+        d *= (weight / (d @ ONES[:CLUSTERS]))[:, None]
+        d.reshape(-1)[np.arange(size) * CLUSTERS + clusters] -= weight
+        order, rows, inner, slices = model.inner(here, hidden, clusters, room)
+        np.exp(inner, out=inner)
+        share = weight.take(order)
+        inner *= (share / (inner @ ONES[:INSIDE]))[:, None]
+        inner.reshape(-1)[np.arange(size) * INSIDE + inside.take(order)] -= share
+        d_rows = room("d_rows", size, HIDDEN)
+        d_inside[:] = 0
+        for c, at, end in slices:
+            np.matmul(inner[at:end], model.inside[c].T, out=d_rows[at:end])
+            np.matmul(rows[at:end].T, inner[at:end], out=d_inside[c])
+        place = np.empty_like(order)
+        place[order] = np.arange(size)
+        d_hidden = np.matmul(d, model.out.T, out=room("d_hidden", size, HIDDEN))
+        d_hidden += d_rows.take(place, axis=0, mode="clip", out=room("rows", size, HIDDEN))
         d_hidden *= hidden > 0
-        d_mixed = (d_hidden @ model.mix.T).reshape(mixed.shape)
-        d_p = d_mixed @ model.v[part].transpose(0, 2, 1)
-        d_z = p * (d_p - (p * d_p).sum(axis=2, keepdims=True))
-        d_bias = np.zeros_like(model.bias)
-        d_bias[OVERLAP:] = d_z.sum(axis=0)
-        d_z *= np.float32(WIDTH**-0.5)
-        grads = [
-            _by_symbol(here, (d_z @ model.k[part]).reshape(-1, WIDTH), model.q),
-            _by_symbol(every, (d_z.transpose(0, 2, 1) @ model.q[part[:, OVERLAP:]]).reshape(-1, WIDTH), model.k),
-            _by_symbol(every, (p.transpose(0, 2, 1) @ d_mixed).reshape(-1, WIDTH), model.v),
-            _by_symbol(here, d_hidden, model.r),
-            _by_symbol(here, d, model.direct),
-            d_bias,
-            mixed.reshape(-1, WIDTH).T @ d_hidden,
-            hidden.T @ d,
-            d_inside,
-        ]
-        for w, g, (m, s) in zip(model.weights(), grads, self.moments, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.02 * (g * g - s)
-            w -= (rate / (1 - 0.9**self.steps) * m / (np.sqrt(s / (1 - 0.98**self.steps)) + 1e-8)).astype(np.float32)
-
-
-def _by_symbol(symbols: np.ndarray, grads: np.ndarray, table: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(table)
-    order = np.argsort(symbols, kind="stable")
-    found, first = np.unique(symbols[order], return_index=True)
-    out[found] = np.add.reduceat(grads[order], first, axis=0)
-    return out
+        d_out[:] = (d.T @ hidden).T
+        d_mix[:] = (d_hidden.T @ flat).T
+        d_mixed = np.matmul(d_hidden, model.mix.T, out=room("d_mixed", size, WIDTH)).reshape(mixed.shape)
+        d_z = np.matmul(d_mixed, v.transpose(0, 2, 1), out=room("d_z", *p.shape))
+        mixed *= d_mixed
+        d_z -= (mixed @ ONES[:WIDTH])[:, :, None]
+        d_z *= p
+        d_bias[OVERLAP:] = np.add.reduce(d_z, axis=0)
+        keys = np.matmul(d_z.transpose(0, 2, 1), q, out=room("keys", n, WINDOW, WIDTH))  # q has its factor already
+        values = np.matmul(p.transpose(0, 2, 1), d_mixed, out=room("v", n, WINDOW, WIDTH))
+        queries = np.matmul(d_z, k, out=room("mixed", n, scored, WIDTH))
+        queries *= np.float32(WIDTH**-0.5)
+        d_q[:], d_r[:], d_direct[:] = _by_symbol(here, [queries.reshape(-1, WIDTH), d_hidden, d], room)
+        d_k[:], d_v[:] = _by_symbol(part.reshape(-1), [keys.reshape(-1, WIDTH), values.reshape(-1, WIDTH)], room)
+
+
+def _by_symbol(symbols: np.ndarray, tables: list[np.ndarray], room: Room) -> list[np.ndarray]:
+    """Sums of the rows of each symbol; two columns are added at a time."""
+    order = np.argsort(symbols.astype(np.int16), kind="stable")
+    counts = np.bincount(symbols, minlength=INPUTS + 2)
+    found = np.flatnonzero(counts)
+    firsts, sums = (np.cumsum(counts) - counts)[found], []
+    for table in tables:
+        rows = table.take(order, axis=0, mode="clip", out=room("sorted", *table.shape))
+        out = np.zeros((INPUTS + 2, table.shape[1]), np.float32)
+        out[found] = np.add.reduceat(rows.view(np.complex64), firsts, axis=0).view(np.float32)
+        sums.append(out)
+    return sums
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
@@ -338,6 +424,18 @@ def stream(file: str, codes: np.ndarray, names: pa.StringArray, of_text: np.ndar
     return out, bounds
 
 
+def _stream(file: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a column of texts, or of their subword ids as ``_texts`` stores them."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return stream(file, *_words(column))
+    data, bounds = text_bytes(column.cast(pa.binary()))
+    return data.view(STORED).astype(np.int64), bounds // 2
+
+
+def _inputs(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", "ids" if "ids" in texts.columns else "text")
+
+
 TRAINING = "cell int, n bigint, rank bigint, x binary, classes binary"
 
 
@@ -364,8 +462,8 @@ def _training(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((INPUTS + 2) * CLASSES, dtype=np.int64)
         names = ["cell", "n", "rank", "x", "classes"]
-        for part in chunks(batches, 1, CHUNK):
-            ids, bounds = stream(file, *_words(part.column(1)))
+        for part in chunks(batches, 1, CHUNK // 2):
+            ids, bounds = _stream(file, part.column(1))
             total += pair_counts(vocabulary, ids, bounds)
             rank = _ranks(part.column(0), *starts(bounds))
             chosen = np.flatnonzero(rank < share * 2.0**53)
@@ -387,10 +485,10 @@ def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def train(
     training: DataFrame, vocabulary: Vocabulary, n_subwords: float, file: str, steps: int, fit_windows: int, batch: int = 192
 ) -> Attention:
-    """A model of the texts (doc_id, text): pairs of neighbours and weights from all of them."""
+    """A model of the texts (doc_id, and text or ids): pairs of neighbours and weights from all of them."""
     size = max(n_subwords / (WINDOW - OVERLAP), 1)
     share = min(1.0, fit_windows / size + 0.001)
-    work = materialize(training.select("doc_id", "text").mapInArrow(_training(file, vocabulary, share), TRAINING))
+    work = materialize(_inputs(training).mapInArrow(_training(file, vocabulary, share), TRAINING))
     cells = work.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 526,336 rows at most
     counts = np.zeros((INPUTS + 2) * CLASSES, dtype=np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
@@ -414,12 +512,16 @@ def _refining(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replace(model, **{f: w.copy() for f, w in zip(WEIGHTS, model.weights(), strict=True)})
         adam, n = Adam(own), 0
-        for part in chunks(batches, 1, CHUNK):
-            ids, bounds = stream(file, *_words(part.column(1)))
-            order = np.argsort(_ranks(part.column(0), *starts(bounds)), kind="stable")
+        for part in chunks(batches, 1, CHUNK // 2):
+            ids, bounds = _stream(file, part.column(1))
+            text, first = starts(bounds)
+            symbols = before(vocabulary, ids, bounds)
+            order = np.argsort(_ranks(part.column(0), text, first), kind="stable")
             for at in range(0, len(order), batch):
-                x, place, _ = windows(ids, bounds, vocabulary, order[at : at + batch])
-                adam.step(x, wanted_classes(vocabulary, ids, place), REFINE_RATE * len(x) / batch)
+                chosen = order[at : at + batch]
+                place = places(bounds, text[chosen], first[chosen])
+                wanted = wanted_classes(vocabulary, ids, place[:, OVERLAP:])
+                adam.step(symbols[place], wanted, REFINE_RATE * len(place) / batch)
             n += len(order)
         change = [(w.astype(np.float64) - v).ravel() for w, v in zip(own.weights(), model.weights(), strict=True)]
         sums = np.append(np.rint(np.concatenate(change) * (n * UNIT)).astype(np.int64), n)
@@ -430,8 +532,8 @@ def _refining(
 
 
 def refine(model: Attention, training: DataFrame, vocabulary: Vocabulary, file: str, batch: int = 192) -> Attention:
-    """The model after one pass over all windows of all texts (doc_id, text), in the tasks that hold them, and averaged."""
-    moved = training.select("doc_id", "text").mapInArrow(_refining(file, model, vocabulary, batch), REFINED)
+    """The model after one pass over all windows of all texts (doc_id, and text or ids), in their tasks, and averaged."""
+    moved = _inputs(training).mapInArrow(_refining(file, model, vocabulary, batch), REFINED)
     sums = moved.groupBy("cell").agg(F.sum("change").alias("change")).orderBy("cell").toArrow()  # a row for each weight
     if not sums.num_rows or not sums["change"][0].as_py():
         return model
@@ -442,16 +544,16 @@ def refine(model: Attention, training: DataFrame, vocabulary: Vocabulary, file:
     return replace(model, **{f: (w + c.reshape(w.shape)).astype(np.float32) for f, w, c in parts})
 
 
-NAMES = ["word", "docs", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]
+NAMES = ["word", "docs", "doc_id", "held_out", "n_tokens", "n_known", "logs", "ids"]
 SCHEMA = (
     "word string, docs array<bigint>, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-    "logs double, score double"
+    "logs double, ids binary"
 )
 
 
-def _score(
-    file: str, model: Attention, vocabulary: Vocabulary, hot: list[tuple[str, int]]
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _texts(file: str, hot: list[tuple[str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the base score takes from each text, its subword ids, and the texts of each word that is not hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array([w for w, _ in hot], pa.string())
         counts = np.array([c for _, c in hot], dtype=np.float64)
@@ -461,6 +563,8 @@ def _score(
             at = pc.index_in(names, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
             logs = np.where(at >= 0, np.log10(counts[at] + 1) if len(hot) else 0.0, 0.0)
             n = part.num_rows
+            ids, bounds = stream(file, codes, names, of_text)
+            kept = [pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids.astype(STORED))]
             arrays = [
                 pa.nulls(n, pa.string()),
                 pa.nulls(n, pa.list_(pa.int64())),
@@ -469,7 +573,7 @@ def _score(
                 pa.array(np.diff(of_text) + 1),
                 pa.array(np.bincount(rows, weights=at[codes] >= 0, minlength=n).astype(np.int64)),
                 pa.array(np.bincount(rows, weights=logs[codes], minlength=n).astype(np.float64)),
-                pa.array(score(model, vocabulary, *stream(file, codes, names, of_text))),
+                pa.Array.from_buffers(pa.binary(), n, [None, *kept]),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
             left = at[codes] < 0
@@ -479,13 +583,22 @@ def _score(
                 np.append(offsets[used], offsets[-1]).astype(np.int32),
                 part.column(0).take(pa.array(docs)),
             )
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
             none = [pa.nulls(len(used), kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(used)), lists, *none], names=NAMES)
 
     return run
 
 
+def _score(file: str, model: Attention, vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, 1, CHUNK // 2):
+            found = score(model, vocabulary, *_stream(file, part.column(1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "score"])
+
+    return run
+
+
 def score_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -503,9 +616,8 @@ def score_texts(
     key = F.col(id_col).cast("bigint")
     out = F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(folds)) == held_out_fold, F.lit(False))
     texts = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
-    training = texts.where(~F.col("held_out"))
 
-    counted = training.select("text").mapInArrow(_word_counts, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = texts.where(~F.col("held_out")).select("text").mapInArrow(_word_counts, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     vocab = materialize(counted)
     total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, n_words = total.n or 0, total.v
@@ -518,9 +630,10 @@ def score_texts(
     vocabulary = Vocabulary.of(subwords)
     common = [(r.word, r.c) for r in most_frequent(words, "c", hot).orderBy(F.desc("c"), "word").collect()]
 
-    model = train(training, vocabulary, subwords.sum(), file, steps, fit_windows)
-
-    rows = materialize(texts.mapInArrow(_score(file, model, vocabulary, common), SCHEMA))
+    rows = materialize(texts.mapInArrow(_texts(file, common), SCHEMA))  # texts become subwords once
+    own = rows.where("word is null")
+    model = train(own.where(~F.col("held_out")), vocabulary, subwords.sum(), file, steps, fit_windows)
+    scores = materialize(_inputs(own).mapInArrow(_score(file, model, vocabulary), "doc_id bigint, score double"))
     rare = (
         rows.where("word is not null")
         .select("word", "docs")
@@ -529,13 +642,10 @@ def score_texts(
         .groupBy("doc_id")
         .agg(F.count("*").alias("n_known"), F.sum("logs").alias("logs"))
     )
-    own = rows.where("word is null").drop("word", "docs")
-    none = F.lit(None)
-    both = own.unionByName(
-        rare.select(
-            "doc_id", none.cast("boolean").alias("held_out"), F.lit(0).cast("bigint").alias("n_tokens"), "n_known", "logs",
-            F.lit(0.0).alias("score"),
-        )
+    both = (
+        own.select("doc_id", "held_out", "n_tokens", "n_known", "logs")
+        .unionByName(rare, allowMissingColumns=True)
+        .unionByName(scores, allowMissingColumns=True)
     )
     end_log, end_known = float(np.log10(n_end + 1)), F.lit(1 if n_end else 0)
     per_row = F.when(F.col("held_out").isNotNull(), 1).otherwise(0)

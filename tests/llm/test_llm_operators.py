@@ -457,6 +457,46 @@ def test_lm_weights_come_from_all_windows(spark):
     assert lm_score.refine(start, docs.limit(0), vocabulary, file) is start
 
 
+def test_lm_texts_become_subwords_once(spark, monkeypatch):
+    """Stored ids give the passes that learn and score what the texts give them; a batch's work does not grow with its chunk."""
+    file, rng = "byte_bpe_50k.json", np.random.default_rng(4)
+    texts = ["", *(" ".join(rng.choice(["red blue", "Green", "old tree", "caf\u00e9 \u4e16"], 700)) for _ in range(9)), "end"]
+    part = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(texts), pa.array([False] * 11)], names=["doc_id", "text", "held_out"])
+    ids, bounds = lm_score.stream(file, *lm_score._words(part.column(1)))
+    own = next(lm_score._texts(file, [("red", 3)])(iter([part])))
+    assert [np.frombuffer(v, "<u2").tolist() for v in own["ids"].to_pylist()] == [v.tolist() for v in np.split(ids, bounds[1:-1])]
+    stored = pa.RecordBatch.from_arrays([own["doc_id"], own["ids"]], names=["doc_id", "ids"])
+    vocabulary = lm_score.Vocabulary.of(np.bincount(ids, minlength=lm_score.END + 1))
+    model = lm_score.fit(vocabulary, ids, bounds, steps=3)
+    found = next(lm_score._score(file, model, vocabulary)(iter([stored])))["score"].to_numpy()
+    np.testing.assert_allclose(found, lm_score.score(model, vocabulary, ids, bounds), rtol=1e-6)
+    calls = []
+    starts = lm_score.starts
+    monkeypatch.setattr(lm_score, "starts", lambda b: calls.append(len(b)) or starts(b))
+    some = [next(lm_score._refining(file, model, vocabulary, 8)(iter([rows]))) for rows in (part, stored)]
+    assert some[0].equals(some[1]) and len(starts(bounds)[0]) > 10 * 8 and len(calls) == 2
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    vocabulary = lm_score.Vocabulary.of(rng.integers(0, 50, lm_score.END + 1))
+    ids, bounds = rng.integers(0, lm_score.END, 160), np.array([0, 1, 70, 160])
+    adam = lm_score.Adam(lm_score.fit(vocabulary, ids, bounds, steps=5))
+    x, place, _ = lm_score.windows(ids, bounds, vocabulary)
+    adam._gradients(x, lm_score.wanted_classes(vocabulary, ids, place))
+    shares = vocabulary.share[ids].sum()
+    loss = lambda: -(lm_score.score(adam.model, vocabulary, ids, bounds).sum() - shares) * np.log(10) / len(ids)
+    for weights, grads in zip(adam.model.weights(), adam.grads, strict=True):
+        kept, slope = weights.copy(), float((grads.astype(float) ** 2).sum())
+        step = 0.02 / np.sqrt(slope)
+        ends = []
+        for sign in (1, -1):
+            weights[:] = kept + np.float32(sign * step) * grads
+            ends.append(loss())
+        weights[:] = kept
+        assert (ends[0] - ends[1]) / (2 * step) == pytest.approx(slope, rel=0.05)
+
+
 def test_decontamination_finds_cut_passages(spark):
     """Verbatim parts of items, cut anywhere, between other text."""
     rng = np.random.default_rng(8)
