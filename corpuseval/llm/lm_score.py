@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuseval.llm.subword import encoder
-from corpuseval.llm.units import LOWER, chunks, coded, gather, grouped, most_frequent, split_units, spread, text_bytes
+from corpuseval.llm.units import LOWER, chunks, coded, frugal, gather, grouped, most_frequent, split_units, spread, text_bytes
 from corpuseval.session import materialize, ship_package
 
 WINDOW, OVERLAP, WIDTH, HIDDEN = 32, 8, 16, 32
@@ -475,7 +475,7 @@ def _training(
         none = [pa.nulls(len(cells), kind) for kind in (pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells]), *none], names=names)
 
-    return run
+    return frugal(run)
 
 
 def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -528,7 +528,7 @@ def _refining(
         cells = np.append(np.arange(len(sums) - 1), -1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums)], names=["cell", "change"])
 
-    return run
+    return frugal(run)
 
 
 def refine(model: Attention, training: DataFrame, vocabulary: Vocabulary, file: str, batch: int = 192) -> Attention:
@@ -587,7 +587,7 @@ def _texts(file: str, hot: list[tuple[str, int]]) -> Callable[[Iterator[pa.Recor
             none = [pa.nulls(len(used), kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(used)), lists, *none], names=NAMES)
 
-    return run
+    return frugal(run)
 
 
 def _score(file: str, model: Attention, vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -596,7 +596,7 @@ def _score(file: str, model: Attention, vocabulary: Vocabulary) -> Callable[[Ite
             found = score(model, vocabulary, *_stream(file, part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "score"])
 
-    return run
+    return frugal(run)
 
 
 def score_texts(
@@ -617,7 +617,7 @@ def score_texts(
     out = F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(folds)) == held_out_fold, F.lit(False))
     texts = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
 
-    counted = texts.where(~F.col("held_out")).select("text").mapInArrow(_word_counts, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = texts.where(~F.col("held_out")).select("text").mapInArrow(frugal(_word_counts), "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     vocab = materialize(counted)
     total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, n_words = total.n or 0, total.v
