@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ class TernaryTree:
 
 def shard_nodes(table: pa.Table) -> pa.Table:
     """The nodes of one shard; those shared with a neighbour have a path and partial sums."""
-    table = table.take(pa.compute.sort_indices(table, sort_keys=[("place", "ascending")]))
+    table = table.take(pc.sort_indices(table, sort_keys=[("place", "ascending")]))
     sequences, lengths = table["ids"].to_pylist(), table["lengths"].to_pylist()
     counts, least, ends = (table[c].to_pylist() for c in ("n", "least", "ends"))
     before, after = table["before"][0].as_py(), table["after"][0].as_py()

@@ -7,10 +7,12 @@ import hashlib
 import os
 import random
 import re
+import subprocess
 import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -237,6 +239,23 @@ def test_trie_of_nothing_and_of_turnless(spark):
     assert NO_ENDS == hashlib.sha256(b"").hexdigest()
 
 
+def test_shard_in_a_fresh_worker():
+    """A shard may be the first work of a Python process, where nothing else has loaded Arrow's submodules."""
+    rows = {"ids": [[1, 2], [1]], "lengths": [[5, 6], [5]], "n": [1, 2], "least": [7, 3], "ends": ["b", "a"], "place": [1, 0]}
+    table = pa.table(rows | {"before": [-1, -1], "after": [-1, -1]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    code = (
+        "import sys, pyarrow as pa\nfrom corpuseval.llm.conversation_trie import shard_nodes\n"
+        "for row in sorted(map(str, shard_nodes(pa.ipc.open_stream(sys.stdin.buffer.read()).read_all())['ends_sha256'].to_pylist())): print(row)"
+    )
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", code], input=sink.getvalue().to_pybytes(), capture_output=True, cwd=top, check=False)
+    assert run.returncode == 0, run.stderr.decode()
+    assert run.stdout.split() == [b"None", b"a", b"b"]
+
+
 def test_trie_is_balanced():
     tree = TernaryTree()
     tree.plant([[i] for i in range(1000)], [[1]] * 1000)
