@@ -1,12 +1,12 @@
 """Prefix trie of conversations: shared openings, what they save, and who ends where.
 
-Turns (role, text) get dictionary ids in the order of (role, text). Distinct id sequences, each with its number of members,
-are dealt in order to range shards. A shard plants its sequences in a ternary search tree, the median first, so the tree is
-balanced; a traversal with an explicit stack then sums members, children, leaves and savings from the leaves up. A node lies
-whole in one shard unless it is on the path of the shard's first or last sequence down to the depth shared with the neighbouring
-shard. Such boundary nodes give partial sums under the digest of their path. All sums add up over shards, because a node's
-own length and its place among its parent's children are counted by the first shard that holds it, and a node is a leaf only
-where neither its shard nor the next one has a longer sequence.
+Turns (role, text) get dictionary ids by their digests. Texts are sorted only where turns of a conversation tie in number, and
+none goes to the driver whole. Distinct id sequences, each with its number of members, are dealt in order to range shards. A shard
+plants its sequences in a ternary search tree, the median first, so the tree is balanced; a traversal with an explicit stack then
+sums members, children, leaves and savings from the leaves up. A node lies whole in one shard unless it is on the path of the
+shard's first or last sequence down to the depth shared with the neighbouring shard. Such boundary nodes give partial sums under
+the digest of their path. All sums add up over shards, because a node's own length and its place among its parent's children are
+counted by the first shard that holds it, and a node is a leaf only where neither its shard nor the next one has a longer sequence.
 
 Copies of a conversation are one sequence, so a group of any size is a count; its member ids are sorted by ranges, joined into
 short pieces, and the pieces are hashed one after another, so no task holds the ids of a group. Turn ids, 12 bytes a turn, of
@@ -34,6 +34,7 @@ from corpuseval.operators.keyed import lookup_join
 from corpuseval.session import materialize, ship_package
 
 SHARD_TURNS = 250_000  # turns of distinct sequences in a shard
+RANGE_CHARS = 64  # leading characters of role and text by which tied turns are dealt to tasks
 SHARED_TURNS = 5  # the most that a conversation takes from its base
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 NODE = (
@@ -47,6 +48,26 @@ NODE_ARROW = pa.schema(
 RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 
 
+def _dictionary(turns: DataFrame, narrow: DataFrame) -> DataFrame:
+    """digest, id: ids of turns that tie in number with another are in the order of (role, text), others in any and negative."""
+    distinct = narrow.select("digest").distinct()
+    other = (-1 - F.monotonically_increasing_id()).alias("id")
+    numbers = narrow.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+    ties = materialize(numbers.where("n > 1").select(F.col("conv_id").alias("tied_conv"), F.col("turn").alias("tied_turn")))
+    if ties.isEmpty():
+        return distinct.select("digest", other)
+    same = (F.col("conv_id") == F.col("tied_conv")) & F.col("turn").eqNullSafe(F.col("tied_turn"))
+    tied = materialize(narrow.join(ties, same, "left_semi").select("digest").distinct())
+    texts = lookup_join(turns.select("digest", "role", "text"), tied, "digest", "left_semi")
+    texts = texts.groupBy("digest").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    # a key that sorts as (role, text) does, of bounded size, since samples of it go to the driver
+    long = F.length("role") > RANGE_CHARS
+    key = [F.substring("role", 1, RANGE_CHARS), long, F.when(~long, F.substring("text", 1, RANGE_CHARS))]
+    ordered = texts.repartitionByRange(*key).sortWithinPartitions("role", "text")
+    rest = distinct.join(tied, "digest", "left_anti").select("digest", other)
+    return ordered.select("digest", F.monotonically_increasing_id().alias("id")).unionByName(rest)
+
+
 def encode_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turns (array of id, n_chars in order): one row per conversation, with ids of a dictionary of all turns."""
     texts = conversations.where("conv_id is not null").select(
@@ -57,10 +78,8 @@ def encode_turns(conversations: DataFrame) -> DataFrame:
     )
     name = F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
     turns = texts.withColumn("digest", name)
-    distinct = turns.groupBy("digest").agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    ordered = distinct.repartitionByRange("role", "text").sortWithinPartitions("role", "text")
-    dictionary = materialize(ordered.select("digest", F.monotonically_increasing_id().alias("id")))
     narrow = materialize(turns.select("conv_id", "turn", "digest", F.length("text").alias("n_chars")))
+    dictionary = materialize(_dictionary(turns, narrow))
     coded = lookup_join(narrow, dictionary, "digest")
     in_order = F.array_sort(F.collect_list(F.struct("turn", "id", "n_chars")))
     return coded.groupBy("conv_id").agg(in_order.alias("turns")).select(

@@ -239,6 +239,43 @@ def test_trie_of_nothing_and_of_turnless(spark):
     assert NO_ENDS == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.fixture
+def small_results(spark):
+    """Tasks may send 4 MB to the driver in all."""
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "4m")
+    yield
+    conf.remove("spark.driver.maxResultSize")
+
+
+@pytest.mark.parametrize("turn", [0, None])
+def test_trie_of_long_texts(spark, small_results, turn):
+    """200 texts of 102,400 characters, two to a conversation; with equal numbers they go by their text."""
+    numbers = spark.range(200, numPartitions=4).select(
+        F.expr("CASE WHEN id < 100 THEN 700 ELSE 700 + id DIV 2 END").alias("conv_id"),
+        (F.lit(turn) if turn is None else F.col("id")).cast("int").alias("turn"), F.lit("u").alias("role"),
+        F.repeat(F.sha2(F.col("id").cast("string"), 256), 1600).alias("text"),
+    )
+    rows = [
+        (700 if i < 100 else 700 + i // 2, turn if turn is None else i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 1600)
+        for i in range(200)
+    ]
+    got = sorted((tuple(r) for r in conversation_trie(numbers).collect()), key=lambda r: (r[0], r[1]))
+    assert got == trie_of(rows)
+
+
+@pytest.mark.parametrize("shard_turns", [40, 250_000])
+def test_trie_of_ties_by_long_prefixes(spark, shard_turns):
+    rng, rows = random.Random(3), []
+    starts = ["", "a", "a" * 63, "a" * 64, "a" * 65, "a" * 64 + "b", "é" * 64, "é" * 64 + "\U0001f600", "é" * 64 + "\uffff", "z"]
+    for c in [*range(100, 180), 900, 901]:
+        for _ in range(rng.randrange(1, 9)):
+            role, text = rng.choice(starts), rng.choice(starts) + rng.choice(["", "x", "y"])
+            rows.append((c, rng.choice([None, None, 0, 1, 2]), rng.choice([role, None]), rng.choice([text, None]), "p", 1, 2))
+    got = conversation_trie(spark.createDataFrame(rows, CONV).repartition(5), shard_turns)
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[1])) == trie_of([r[:4] for r in rows])
+
+
 def test_shard_in_a_fresh_worker():
     """A shard may be the first work of a Python process, where nothing else has loaded Arrow's submodules."""
     rows = {"ids": [[1, 2], [1]], "lengths": [[5, 6], [5]], "n": [1, 2], "least": [7, 3], "ends": ["b", "a"], "place": [1, 0]}
