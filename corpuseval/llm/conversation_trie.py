@@ -35,6 +35,7 @@ from corpuseval.session import materialize, ship_package
 
 SHARD_TURNS = 250_000  # turns of distinct sequences in a shard
 RANGE_CHARS = 64  # leading characters of role and text by which tied turns are dealt to tasks
+RANGE_IDS = 16  # leading ids by which sequences are dealt to shards, or more where many turns share them
 SHARED_TURNS = 5  # the most that a conversation takes from its base
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 NODE = (
@@ -271,6 +272,18 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), -1).when(first > 0, first - 1).otherwise(F.size(a))
 
 
+def _leading_ids(unique: DataFrame, longest: int, most: int) -> Column:
+    """A start of ``ids`` that sequences of more than ``most`` turns in all don't share. Samples of it go to the driver."""
+    k, size = RANGE_IDS, F.size("ids")
+    while k < longest:
+        start = F.slice("ids", 1, k)
+        alike = unique.where(size >= k).groupBy(F.xxhash64(start)).agg(F.count("*").alias("n"), F.sum(size).alias("turns"))
+        if alike.where((F.col("n") > 1) & (F.col("turns") > most)).isEmpty():
+            return start
+        k *= 8
+    return F.col("ids")
+
+
 def prefix_trie(convs: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """The nodes of conversations given as (conv_id, turns: array of id and n_chars); see RESULT for the columns."""
     ship_package(convs.sparkSession)
@@ -283,10 +296,11 @@ def prefix_trie(convs: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     unique = materialize(grouped.join(member_digests(members), "sequence").select(
         ids.alias("ids"), lengths.alias("lengths"), "n", "least", "ends"
     ))
-    total = unique.agg(F.coalesce(F.sum(F.size("ids") + 1), F.lit(0)).alias("n")).first()["n"]
+    size = F.size("ids")
+    total, longest = unique.agg(F.coalesce(F.sum(size + 1), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     shards = 1 + total // shard_turns
     dealt = materialize(
-        unique.repartitionByRange(shards, "ids").sortWithinPartitions("ids")
+        unique.repartitionByRange(shards, _leading_ids(unique, longest, shard_turns)).sortWithinPartitions("ids")
         .withColumn("place", F.monotonically_increasing_id()).withColumn("shard", F.shiftright("place", 33))
     )
     # a row per shard: their number is the number of turns divided by shard_turns

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+from corpuseval.llm import conversation_trie as trie
 from corpuseval.llm import personal_data, spelling
 from corpuseval.llm.conversation_trie import NO_ENDS, TernaryTree, conversation_trie
 from corpuseval.llm.spans import placed_matches
@@ -276,6 +277,25 @@ def test_trie_of_ties_by_long_prefixes(spark, shard_turns):
     assert sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[1])) == trie_of([r[:4] for r in rows])
 
 
+def test_trie_of_long_conversations(spark, small_results):
+    """60 conversations of 10,000 turns, the first 20 the same; all their ids are 4.8 MB."""
+    numbers = spark.range(600_000, numPartitions=4).selectExpr(
+        "id DIV 10000 * 100 AS conv_id", "id % 10000 AS turn", "'u' AS role",
+        "CASE WHEN id % 10000 < 20 THEN concat('t', id % 10000) ELSE string(id) END AS text",
+    )
+    total = conversation_trie(numbers).agg(*[F.sum(x) for x in (F.lit(1), "depth", "n_convs", "n_leaves", "n_children")])
+    own = 60 * 9980
+    assert tuple(total.first()) == (21 + own, sum(range(21)) + 60 * sum(range(21, 10001)), 21 * 60 + own, 21 * 60 + own, 20 + own)
+
+
+def test_trie_dealt_by_few_leading_ids(spark, monkeypatch):
+    monkeypatch.setattr(trie, "RANGE_IDS", 1)
+    rows = conversations(random.Random(4))
+    frame = spark.createDataFrame(rows, CONV).repartition(5)
+    got = sorted((tuple(r) for r in conversation_trie(frame, 60).collect()), key=lambda r: (r[0], r[1]))
+    assert got == trie_of([r[:4] for r in rows])
+
+
 def test_shard_in_a_fresh_worker():
     """A shard may be the first work of a Python process, where nothing else has loaded Arrow's submodules."""
     rows = {"ids": [[1, 2], [1]], "lengths": [[5, 6], [5]], "n": [1, 2], "least": [7, 3], "ends": ["b", "a"], "place": [1, 0]}
